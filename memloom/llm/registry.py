@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-_OPS = {"op9_quality": "quality", "op10_langid": "langid"}
+from memloom.llm import urls
+
+_OPS = {"op1_packing": "packing", "op6_rules": "rules", "op5_sharding": "sharding", "op8_urls": "urls", "op9_quality": "quality", "op10_langid": "langid"}
 
 QUERIES = {name: getattr(importlib.import_module(f"memloom.llm.{module}"), name) for name, module in _OPS.items()}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_urls": urls.OP8_SQL}
