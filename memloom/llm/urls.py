@@ -30,6 +30,8 @@ from memloom.llm import common
 HOST_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Words that get a host blocked where no host rule fits.
 HOST_WORDS = ("ads", "adserver", "adult", "bets", "betting", "casino", "escort", "malware", "phishing", "pills", "poker", "porn", "sex", "spam", "tracker", "viagra", "xxx")
+#: The index is broadcast up to so many rules and joined by shuffle beyond.
+MOST_RULES = 50_000
 _RULE = "kind string, rule string, verdict string, pattern string, tokens array<string>"
 
 
@@ -67,13 +69,14 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id") -> DataFrame
     urls = pages.select(key, host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     urls = urls.withColumn("_at", F.concat("host", "path")).withColumn("_tokens", F.array_distinct(F.regexp_extract_all(F.lower("_at"), F.lit("[a-z0-9]+"), F.lit(0))))
     wanted = rules.select(F.explode("tokens").alias("_token")).distinct()
-    seen = urls.select(F.explode("_tokens").alias("_token")).join(wanted, "_token", "left_semi").groupBy("_token").count()
+    seen = urls.select(F.explode("_tokens").alias("_token")).groupBy("_token").count().join(wanted, "_token", "left_semi")
     filed = rules.select("kind", "rule", "verdict", "pattern", F.explode_outer("tokens").alias("_token")).join(seen, "_token", "left")
     filed = filed.groupBy("kind", "rule", "verdict", "pattern").agg(F.min(F.struct(F.coalesce("count", F.lit(0)), "_token"))["_token"].alias("_token"))
     filed = filed.withColumn("_token", F.coalesce("_token", F.lit("")))
     # The empty token stands for the rules that have none.
     spread = urls.withColumn("_row", F.monotonically_increasing_id()).select("_row", key, "host", "path", "_at", F.explode(F.concat("_tokens", F.array(F.lit("")))).alias("_token"))
-    tried = spread.join(filed, "_token", "left").withColumn("_hit", F.coalesce(F.regexp_like("_at", F.col("pattern")), F.lit(False)))
+    side = F.broadcast(filed) if rules.count() <= MOST_RULES else filed
+    tried = spread.join(side, "_token", "left").withColumn("_hit", F.coalesce(F.regexp_like("_at", F.col("pattern")), F.lit(False)))
     best = F.max(F.when(F.col("_hit") & (F.col("kind") == "host"), F.struct(F.length("rule").alias("n"), "rule", "verdict")))
     word = F.max(F.when(F.col("_hit") & (F.col("kind") == "word"), F.lit(1)))
     judged = tried.groupBy("_row").agg(F.first(key).alias(key), F.first("host").alias("host"), F.first("path").alias("path"), best.alias("_best"), word.alias("_word"))
