@@ -6,7 +6,7 @@ import importlib
 
 from memloom.llm import urls
 
-_OPS = {"op3_bpe": "bpe", "op7_html": "html", "op1_packing": "packing", "op6_rules": "rules", "op5_sharding": "sharding", "op8_urls": "urls", "op9_quality": "quality", "op10_langid": "langid"}
+_OPS = {"op4_embeddings": "embeddings", "op3_bpe": "bpe", "op7_html": "html", "op1_packing": "packing", "op6_rules": "rules", "op5_sharding": "sharding", "op8_urls": "urls", "op9_quality": "quality", "op10_langid": "langid"}
 
 QUERIES = {name: getattr(importlib.import_module(f"memloom.llm.{module}"), name) for name, module in _OPS.items()}
 ORACLES: dict[str, str] = {"op8_urls": urls.OP8_SQL}
