@@ -34,22 +34,37 @@ from memloom.llm import common
 CAPACITY, END = 4096, 1
 #: Least salts of a length's group, and rows for which one more is added.
 LEAST_SALTS, ROWS_PER_SALT = 16, 4_000_000
-#: Chunks whose ids a worker remembers before it starts over.
-CACHE = 500_000
+#: Chunks, and pieces, whose ids a worker remembers before it starts over.
+CACHE = 800_000
 #: Texts of these characters only split at their white space alike everywhere; others go to the tokenizer whole.
 _PLAIN = re.compile(r"[\t\n\r -~¡-ɏ]*\Z")
 _ENCODERS: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """ids of a tokenizers file as little-endian unsigned 32-bit bytes; chunks between white space are remembered."""
+    """ids of a tokenizers file as little-endian unsigned 32-bit bytes.
+
+    The file's tokenizer lower-cases, drops white space and cuts by a pattern, so a plain text is the row of its chunks
+    between white space, and a chunk the row of its pieces; both are remembered. Pieces that are new go to the tokenizer
+    in long rows, with a word between them that no plain piece contains.
+    """
+
+    GAP = "\N{FACE WITH TEARS OF JOY}"
 
     def __init__(self, path: str):
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            stated = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.cut = regex.compile(stated["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        (self.gap,) = self.tokenizer.encode(self.GAP, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -57,18 +72,29 @@ class Encoder:
             _ENCODERS[path] = Encoder(path)
         return _ENCODERS[path]
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _learn(self, chunks: set[str]) -> None:
+        cuts = [(c, self.cut(c)) for c in chunks]
+        new = list({p for _, cut in cuts for p in cut if p not in self.pieces})
+        for a in range(0, len(new), 5_000):
+            some = new[a : a + 5_000]
+            raw = self.whole(f" {self.GAP} ".join(some))
+            gaps = 4 * np.flatnonzero(np.frombuffer(raw, "<u4") == self.gap)
+            starts, ends = [0, *(gaps + 4).tolist()], [*gaps.tolist(), len(raw)]
+            self.pieces.update((p, raw[i:j]) for p, i, j in zip(some, starts, ends, strict=True))
+        ids = self.pieces.__getitem__
+        self.known.update((c, b"".join(map(ids, cut))) for c, cut in cuts)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [t.lower().split() if _PLAIN.match(t) else None for t in texts]
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = list({c for chunks in plain if chunks for c in chunks if c not in known})
-        for a in range(0, len(new), 20_000):
-            known.update(zip(new[a : a + 20_000], self.whole(new[a : a + 20_000]), strict=True))
-        return [self.whole([t])[0] if chunks is None else b"".join(map(known.__getitem__, chunks)) for t, chunks in zip(texts, plain, strict=True)]
+        for known in (self.known, self.pieces):
+            if len(known) > CACHE:
+                known.clear()
+        self._learn({c for chunks in plain if chunks for c in chunks if c not in self.known})
+        ids = self.known.__getitem__
+        return [self.whole(t) if chunks is None else b"".join(map(ids, chunks)) for t, chunks in zip(texts, plain, strict=True)]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
