@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-import importlib
+import corpus_pipeline
+from memloom.llm import bpe, dedup, embeddings, html, langid, packing, quality, rules, sharding, urls
 
-from memloom.llm import urls
-
-_OPS = {"op4_embeddings": "embeddings", "op3_bpe": "bpe", "op7_html": "html", "op1_packing": "packing", "op6_rules": "rules", "op5_sharding": "sharding", "op8_urls": "urls", "op9_quality": "quality", "op10_langid": "langid"}
-
-QUERIES = {name: getattr(importlib.import_module(f"memloom.llm.{module}"), name) for name, module in _OPS.items()}
+QUERIES = {
+    "op1_packing": packing.op1_packing,
+    "op2_dedup": dedup.op2_dedup,
+    "op3_bpe": bpe.op3_bpe,
+    "op4_embeddings": embeddings.op4_embeddings,
+    "op5_sharding": sharding.op5_sharding,
+    "op6_rules": rules.op6_rules,
+    "op7_html": html.op7_html,
+    "op8_urls": urls.op8_urls,
+    "op9_quality": quality.op9_quality,
+    "op10_langid": langid.op10_langid,
+    "pipeline": corpus_pipeline.run,
+}
 ORACLES: dict[str, str] = {"op8_urls": urls.OP8_SQL}
