@@ -1,6 +1,469 @@
-"""Named queries over the driver tables, each beside its DuckDB twin."""
+"""Named queries over the driver tables, each beside its DuckDB twin.
+
+QUERIES: name -> (spark, sf_dir) -> DataFrame. ORACLES: name -> SQL for DuckDB over the same tables.
+"""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from memloom.config import DEFAULT
+from memloom.functions import text as T
+from memloom.operators import capture, continuity, episodes, memory_files, recall, search
+from memloom.operators import messages as M
+from memloom.plans import relations as R
+
+NOW, NOW_MS = "2026-07-01T00:00:00.000Z", 1_782_864_000_000
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLES[key] = sql
+        return f
+
+    return add
+
+
+# --- texts ---------------------------------------------------------------------------------------------------------
+
+_M = f"WITH messages AS ({R.MESSAGES})"
+_TEXTS = f"{_M}, texts AS (SELECT session_key, idx, role || ': ' || left(content, 2000) AS text FROM messages WHERE role IN ('user', 'assistant') AND length(content) > 20)"
+
+
+def _clean(x: str) -> str:
+    """The sanitizer for DuckDB (all steps but the one that needs look-ahead, which the relations never trigger)."""
+    for tag in ("memory-context", "memory-continuity", "relevant-memories"):
+        x = f"regexp_replace({x}, '(?s)<{tag}>.*?</{tag}>', '', 'g')"
+    x = f"""regexp_replace({x}, '(?s)```json\\s*\\n\\s*\\{{["\\s]*schema["\\s]*:\\s*"inbound_meta.*?```', '', 'g')"""
+    x = f"regexp_replace({x}, '(?m)^\\[Subagent Context\\][^\\n\\r]*', '', 'g')"
+    x = f"regexp_replace({x}, '(?m)^\\[(Mon|Tue|Wed|Thu|Fri|Sat|Sun)\\s+\\d{{4}}-\\d{{2}}-\\d{{2}}\\s+\\d{{2}}:\\d{{2}}\\s+[A-Za-z]{{2,5}}\\][ \\t]*', '', 'g')"
+    x = f"regexp_replace({x}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _described(event: str, session: str = "session_key") -> str:
+    return f"""'{{"plugin":"memloom","event":"' || {event} || '","ts":"{NOW}","group_id":"core","session_key":"' || {session} || '"}}'"""
+
+
+def _episode(rows: str, content: str, prefix: str, event: str, role_type: str = "user", role: str = "conversation") -> str:
+    return f"SELECT session_key, {content} AS content, '{role_type}' AS role_type, '{role}' AS role, '{prefix}-' || session_key || '-{NOW_MS}' AS name, '{NOW}' AS \"timestamp\", {_described(event)} AS source_description FROM {rows}"
+
+
+_JOINED = "SELECT session_key, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS text, count(*) AS n FROM texts GROUP BY session_key"
+
+
+@_query(f"{_TEXTS} SELECT session_key, idx, CAST(0 AS BIGINT) AS block, text FROM texts")
+def extract_texts(spark, sf_dir):
+    """Labelled texts of all messages."""
+    return M.extract_texts(R.messages(spark, sf_dir)).withColumn("block", F.col("block").cast("long"))
+
+
+@_query(f"{_M} SELECT session_key, idx, {_clean('content')} AS text FROM messages")
+def sanitize_messages(spark, sf_dir):
+    """The sanitizer on every message."""
+    return R.messages(spark, sf_dir).select("session_key", "idx", T.sanitize(F.col("content")).alias("text"))
+
+
+_NOISY = "CASE doc_id % 4 WHEN 0 THEN '<memory-context>' || chr(10) || 'f' || chr(10) || '</memory-context>' || text WHEN 1 THEN text || chr(10) || '[Subagent Context] x' || chr(10) || chr(10) || chr(10) || 'z ' WHEN 2 THEN '[Fri 2026-01-02 03:04 UTC] ' || text ELSE text END"
+
+
+@_query(f"SELECT doc_id, md5(clean) AS digest, CAST(length(clean) AS BIGINT) AS n FROM (SELECT doc_id, {_clean(_NOISY)} AS clean FROM documents)")
+def sanitize_documents(spark, sf_dir):
+    """The sanitizer on whole documents with noise."""
+    rows = R.table(spark, sf_dir, "documents").select("doc_id", T.sanitize(F.expr(_NOISY)).alias("clean"))
+    return rows.select("doc_id", F.md5("clean").alias("digest"), F.length("clean").cast("long").alias("n"))
+
+
+# --- capture -------------------------------------------------------------------------------------------------------
+
+
+@_query(
+    f"{_M}, c AS (SELECT session_key, idx, role, {_clean('content')} AS clean FROM messages WHERE role IN ('user', 'assistant') AND length(content) > 20) "
+    f"SELECT session_key, idx, role || ': ' || left(clean, 2000) AS content, role AS role_type, role, 'ingest-' || session_key || '-{NOW_MS}' AS name, '{NOW}' AS \"timestamp\", {_described(chr(39) + 'ingest' + chr(39))} AS source_description FROM c WHERE length(clean) >= 20"
+)
+def capture_single(spark, sf_dir):
+    """An episode for each message."""
+    return capture.single(R.messages(spark, sf_dir), NOW, NOW_MS)
+
+
+@_query(f"{_TEXTS}, clean AS (SELECT session_key, idx, {_clean('text')} AS text FROM texts), j AS (SELECT session_key, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS text FROM clean WHERE text <> '' GROUP BY session_key) " + _episode("j", "left(text, 12000)", "batch", "'ingest_batch'"))
+def capture_batch(spark, sf_dir):
+    """An episode of each session's messages, each sanitized by itself."""
+    return capture.batch(R.messages(spark, sf_dir), NOW, NOW_MS)
+
+
+@_query(f"{_TEXTS}, j AS ({_JOINED}) " + _episode("j", f"left({_clean('text')}, 12000)", "compact", "'compact'"))
+def capture_compact(spark, sf_dir):
+    """An episode of each session before compaction."""
+    return capture.compact(R.messages(spark, sf_dir), NOW, NOW_MS)
+
+
+_SMALL = 700
+
+
+@_query(f"{_TEXTS}, j AS ({_JOINED}) " + _episode("j", f"left({_clean('text')}, {_SMALL})", "compact", "'compact'"))
+def capture_compact_capped(spark, sf_dir):
+    """As capture_compact with a cap that binds."""
+    return capture.compact(R.messages(spark, sf_dir), NOW, NOW_MS, replace(DEFAULT, episode_cap=_SMALL))
+
+
+_BEFORE = "CASE conv_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 2 WHEN 2 THEN 50 ELSE 0 END"
+_TURN = f"""{_M}, n AS (SELECT *, count(*) OVER (PARTITION BY session_key) AS n, row_number() OVER (PARTITION BY session_key ORDER BY idx) - 1 AS place, {_BEFORE} AS before FROM messages),
+kept AS (SELECT *, coalesce(before > n, false) AS sweep FROM n),
+texts AS (SELECT session_key, idx, sweep, role || ': ' || left(content, 2000) AS text FROM kept WHERE place >= CASE WHEN sweep THEN 0 ELSE coalesce(before, 0) END AND role IN ('user', 'assistant') AND length(content) > 20),
+j AS (SELECT session_key, bool_or(sweep) AS sweep, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS text FROM texts GROUP BY session_key),
+c AS (SELECT session_key, sweep, {_clean("text")} AS text FROM j) """
+
+
+@_query(_TURN + _episode("c", f"CASE WHEN sweep THEN right(text, {_SMALL}) ELSE left(text, {_SMALL}) END", "turn", "CASE WHEN sweep THEN 'after_turn_sweep' ELSE 'after_turn' END") + " WHERE text <> ''")
+def capture_after_turn(spark, sf_dir):
+    """An episode of each session's new messages, sweeps included, with a cap that binds."""
+    messages = R.messages(spark, sf_dir)
+    counts = messages.select("session_key", F.expr(_BEFORE).alias("before")).distinct()
+    return capture.after_turn(messages, counts, NOW, NOW_MS, replace(DEFAULT, episode_cap=_SMALL))
+
+
+_HOOK = "enough AS (SELECT session_key FROM messages GROUP BY session_key HAVING count(*) >= 4)"
+
+
+@_query(f"{_TEXTS}, {_HOOK}, j AS ({_JOINED} HAVING count(*) >= 2) " + _episode("j", f"left({_clean('text')}, 12000)", "compaction", "'before_compaction'") + " WHERE session_key IN (SELECT session_key FROM enough)")
+def capture_before_compaction(spark, sf_dir):
+    """The compaction hook with its least counts."""
+    return capture.before_compaction(R.messages(spark, sf_dir), NOW, NOW_MS)
+
+
+@_query(
+    f"{_M}, {_HOOK}, texts AS (SELECT session_key, idx, role || ': ' || left(content, 1000) AS text FROM messages WHERE role IN ('user', 'assistant') AND length(content) > 20), "
+    "few AS (SELECT *, count(*) OVER (PARTITION BY session_key) AS n, row_number() OVER (PARTITION BY session_key ORDER BY idx DESC) AS rn FROM texts), "
+    "j AS (SELECT session_key, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS text FROM few WHERE n >= 2 AND rn <= 3 GROUP BY session_key) "
+    + _episode("j", f"left({_clean('text')}, 12000)", "session-reset", "'before_reset'") + " WHERE session_key IN (SELECT session_key FROM enough)"
+)
+def capture_before_reset(spark, sf_dir):
+    """The reset hook, with a sample of the last 3 texts."""
+    return capture.before_reset(R.messages(spark, sf_dir), NOW, NOW_MS, replace(DEFAULT, reset_sample=3))
+
+
+_SUMMARY = "CASE conv_id % 3 WHEN 0 THEN 'summary of the child session ' || CAST(conv_id AS STRING) WHEN 1 THEN 'too short' ELSE NULL END"
+
+
+@_query(f"{_TEXTS}, s AS (SELECT DISTINCT session_key, {_SUMMARY} AS summary FROM messages), j AS ({_JOINED}), k AS (SELECT session_key, CASE WHEN length(summary) >= 20 THEN summary ELSE text END AS text FROM j FULL JOIN s USING (session_key)) " + _episode("k", f"left({_clean('text')}, 12000)", "subagent", "'subagent_ended'", "system", "subagent-result") + " WHERE text IS NOT NULL")
+def capture_subagent(spark, sf_dir):
+    """An episode of each ended subagent."""
+    messages = R.messages(spark, sf_dir)
+    return capture.subagent_ended(messages, messages.select("session_key", F.expr(_SUMMARY).alias("summary")).distinct(), NOW, NOW_MS)
+
+
+@_query(f"""{_M} SELECT session_key, content, 'user' AS role_type, 'manual' AS role, 'manual-' || session_key || '-{NOW_MS}' AS name, '{NOW}' AS "timestamp",
+  '{{"plugin":"memloom","event":"manual","ts":"{NOW}","group_id":"core","session_key":"' || session_key || '","source":"' || CASE WHEN idx % 2 = 0 THEN 'note' ELSE 'manual' END || '"}}' AS source_description FROM messages""")
+def capture_manual(spark, sf_dir):
+    """Texts taken as they are."""
+    return capture.manual(R.messages(spark, sf_dir).select("session_key", "content", F.when(F.col("idx") % 2 == 0, "note").otherwise("").alias("source")), NOW, NOW_MS)
+
+
+@_query(f"""SELECT 'notes/' || source || '/' || doc_id || '.md' AS path, left(text, 12000) AS content, length(text) > 12000 AS truncated, 'cli-' || doc_id || '.md-{NOW_MS}' AS name, '{NOW}' AS "timestamp",
+  '{{"plugin":"memloom","event":"cli_ingest","ts":"{NOW}","group_id":"core","file":"notes/' || source || '/' || doc_id || '.md","source":"' || doc_id || '.md"}}' AS source_description FROM documents""")
+def capture_cli(spark, sf_dir):
+    """Whole files cut to an episode's length."""
+    files = R.table(spark, sf_dir, "documents").select(F.concat(F.lit("notes/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content"))
+    return capture.cli_ingest(files, NOW, NOW_MS)
+
+
+# --- continuity and recall -----------------------------------------------------------------------------------------
+
+_LABELLED = f"{_M}, l AS (SELECT session_key, idx, CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || content AS text FROM messages WHERE role IN ('user', 'assistant') AND length(content) > 0)"
+
+
+def _tail(budget: int) -> str:
+    return f"{_LABELLED}, w AS (SELECT *, sum(length(text)) OVER (PARTITION BY session_key ORDER BY idx DESC) AS total, row_number() OVER (PARTITION BY session_key ORDER BY idx DESC) AS rn FROM l), tail AS (SELECT session_key, string_agg(text, chr(10) ORDER BY idx) AS text FROM w WHERE total <= {budget} OR rn = 1 GROUP BY session_key)"
+
+
+@_query(f"{_tail(1500)} SELECT session_key, text FROM tail")
+def session_tail(spark, sf_dir):
+    """The newest messages of each session within 1500 characters."""
+    return continuity.session_tail(R.messages(spark, sf_dir), 1500)
+
+
+@_query(
+    f"""WITH e AS ({R.EPISODES}), p AS (SELECT *, CASE WHEN json_valid(source_description) THEN json_extract_string(source_description, '$.session_key') END AS session_key, CASE WHEN json_valid(source_description) THEN json_extract_string(source_description, '$.thread_id') END AS thread FROM e WHERE content <> ''),
+s AS (SELECT *, CASE WHEN thread = 't1' THEN 2 ELSE 1 END AS score FROM p WHERE session_key IS NOT NULL),
+o AS (SELECT *, row_number() OVER w AS rn, sum(length(content)) OVER w + 2 * (row_number() OVER w - 1) AS total FROM s WINDOW w AS (PARTITION BY session_key ORDER BY score DESC, created_at DESC, uuid)),
+k AS (SELECT session_key, rn, CASE WHEN total <= 1200 THEN content ELSE left(content, CAST(1200 - (total - length(content)) AS BIGINT)) END AS content FROM o WHERE total <= 1200 OR 1200 - (total - length(content)) > 100)
+SELECT session_key, string_agg(content, chr(10) || chr(10) ORDER BY rn) AS text FROM k GROUP BY session_key"""
+)
+def episode_continuity(spark, sf_dir):
+    """Each session's episodes within 1200 characters, thread t1 first."""
+    rows = R.episodes(spark, sf_dir)
+    sessions = rows.select(F.get_json_object("source_description", "$.session_key").alias("session_key")).where("session_key is not null").distinct().withColumn("thread_id", F.lit("t1"))
+    return continuity.episode_continuity(rows, sessions, 1200)
+
+
+_DEICTIC_SQL = "regexp_matches({x}, '(?i)\\b(" + "|".join(T.DEICTIC) + ")\\b')"
+_CALLS = "SELECT session_key, idx AS seq, CASE WHEN role = 'system' THEN CASE WHEN conv_id % 2 = 0 THEN 'bootstrap' ELSE 'compact' END ELSE 'assemble' END AS kind, idx < 3 AS gap, {d} AS deictic, (conv_id + idx) % 4 <> 0 AS nonempty FROM messages"
+
+
+@_query(
+    f"""WITH RECURSIVE messages AS ({R.MESSAGES}), calls AS ({_CALLS.format(d=_DEICTIC_SQL.format(x="content"))}),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY seq) AS rn FROM calls),
+run AS (
+  SELECT session_key, seq, rn, CAST(0 AS BIGINT) AS epoch, false AS pending, false AS recalled, CAST(NULL AS BOOLEAN) AS fire, CAST(NULL AS BOOLEAN) AS injected FROM (SELECT session_key, CAST(-1 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS rn FROM r GROUP BY session_key)
+  UNION ALL
+  SELECT session_key, seq, rn, epoch + CASE WHEN life THEN 1 ELSE 0 END, CASE WHEN life THEN true WHEN go THEN false ELSE pending END, CASE WHEN life THEN false ELSE recalled OR (go AND nonempty) END, CASE WHEN NOT life THEN go END, CASE WHEN NOT life THEN go AND nonempty END
+  FROM (SELECT r.session_key, r.seq, r.rn, s.epoch, s.pending, s.recalled, r.nonempty, r.kind <> 'assemble' AS life, r.kind = 'assemble' AND NOT (s.recalled AND NOT s.pending AND NOT r.deictic) AND (s.pending OR r.gap OR r.deictic) AS go FROM run s JOIN r ON r.session_key = s.session_key AND r.rn = s.rn + 1)
+) SELECT session_key, seq, epoch, fire, injected FROM run WHERE rn > 0"""
+)
+def recall_gate(spark, sf_dir):
+    """The gate over every call and lifecycle event; the twin steps through the state machine row by row."""
+    calls = R.messages(spark, sf_dir).selectExpr(*[c.strip() for c in ("session_key", "idx AS seq", "CASE WHEN role = 'system' THEN CASE WHEN conv_id % 2 = 0 THEN 'bootstrap' ELSE 'compact' END ELSE 'assemble' END AS kind", "idx < 3 AS gap", "(conv_id + idx) % 4 <> 0 AS nonempty", "content")])
+    calls = calls.withColumn("deictic", T.has_deictic(F.col("content")))
+    return recall.gate(calls).select("session_key", "seq", "epoch", "fire", "injected")
+
+
+@_query(f"{_M}, r AS (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY idx DESC) AS rn FROM messages) SELECT session_key, idx, role, left(content, 200) AS content FROM r WHERE rn <= 3 AND role IN ('user', 'assistant') AND length(content) > 1")
+def memory_query_window(spark, sf_dir):
+    """The last 3 messages of each session, then the speakers' among them."""
+    return M.query_window(R.messages(spark, sf_dir), 3, 200)
+
+
+@_query(f"{_M}, u AS (SELECT session_key, arg_max(content, idx) AS c FROM messages WHERE role = 'user' GROUP BY session_key) SELECT session_key, CASE WHEN length(c) > 1 THEN c END AS last_user_text FROM u")
+def last_user_text(spark, sf_dir):
+    """The latest user text of each session."""
+    return M.last_user_text(R.messages(spark, sf_dir))
+
+
+@_query(f"{_M} SELECT session_key, idx, {_DEICTIC_SQL.format(x='content')} AS deictic, coalesce(length(content) >= 10 AND NOT contains(content, 'HEARTBEAT') AND NOT contains(content, 'boot check'), false) AS passes, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens FROM messages")
+def prompt_flags(spark, sf_dir):
+    """References back, the prompt gate and the token estimate of every message."""
+    c = F.col("content")
+    return R.messages(spark, sf_dir).select("session_key", "idx", T.has_deictic(c).alias("deictic"), T.prompt_passes(c).alias("passes"), T.tokens_estimate(c).alias("tokens"))
+
+
+# --- search --------------------------------------------------------------------------------------------------------
+
+_BM25 = """asked AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM queries),
+words AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM docs),
+size AS (SELECT count(*) AS n, sum(len(w)) AS total FROM words WHERE len(w) > 0),
+post AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM words) GROUP BY ALL),
+idf AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post, size WHERE term IN (SELECT term FROM asked) GROUP BY term, n),
+scored AS (SELECT query_id, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len * n / total))), 6) AS score FROM post JOIN idf USING (term) JOIN asked USING (term), size GROUP BY query_id, doc_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)"""
+_BY_TEXT = f"docs AS (SELECT doc_id, text FROM documents), queries AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id % 50 = 0), {_BM25}"
+_BY_VECTOR = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+near AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(v.e, q.e), 6) AS score FROM v, v q WHERE q.vec_id % 50 = 0),
+nearest AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM near)"""
+
+
+def _text_search(spark, sf_dir):
+    queries = R.table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return search.bm25(R.table(spark, sf_dir, "documents").select("doc_id", "text"), queries)
+
+
+def _vector_search(spark, sf_dir):
+    rows = R.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    return search.cosine_top(rows, rows.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q")))
+
+
+@_query(f"WITH {_BY_TEXT} SELECT query_id, doc_id, score, rank FROM best WHERE rank <= 10")
+def bm25_search(spark, sf_dir):
+    """The 10 best documents for every 50th benchmark item."""
+    return _text_search(spark, sf_dir)
+
+
+@_query(f"WITH {_BY_VECTOR} SELECT query_id, doc_id, score, rank FROM nearest WHERE rank <= 10")
+def vector_topk(spark, sf_dir):
+    """The 10 nearest vectors for every 50th one."""
+    return _vector_search(spark, sf_dir)
+
+
+@_query(f"WITH {_BY_TEXT}, {_BY_VECTOR}, f AS (SELECT query_id, doc_id, round(sum(s), 6) AS score FROM (SELECT query_id, doc_id, 1.0 / (60 + rank) AS s FROM best WHERE rank <= 10 UNION ALL SELECT query_id, doc_id, 1.0 / (60 + rank) FROM nearest WHERE rank <= 10) GROUP BY query_id, doc_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10")
+def hybrid_rrf(spark, sf_dir):
+    """Both searches fused."""
+    return search.fuse(_text_search(spark, sf_dir), _vector_search(spark, sf_dir))
+
+
+_ASSEMBLE = f"""{_tail(1500)}, last AS (SELECT session_key, count(*) AS n, arg_max(content, idx) FILTER (WHERE role = 'user') AS c FROM messages GROUP BY session_key),
+due AS (SELECT session_key FROM last WHERE n <= 3 OR coalesce({_DEICTIC_SQL.format(x="c")}, false)),
+facts AS ({R.FACTS}), docs AS (SELECT uuid AS doc_id, name || ' ' || fact AS text FROM facts),
+queries AS (SELECT session_key AS query_id, right(text, 200) AS query FROM tail WHERE session_key IN (SELECT session_key FROM due)), {_BM25},
+b AS (SELECT query_id AS session_key, '<memory-context>' || chr(10) || 'Relevant knowledge graph facts (auto-recalled):' || chr(10) || string_agg('- **' || name || '**: ' || fact, chr(10) ORDER BY rank) || chr(10) || '</memory-context>' AS facts FROM best JOIN facts ON uuid = doc_id WHERE rank <= 5 GROUP BY query_id),
+t AS (SELECT session_key, '<memory-continuity>' || chr(10) || 'Recent session context (recovered from transcript):' || chr(10) || text || chr(10) || '</memory-continuity>' AS continuity FROM tail WHERE session_key IN (SELECT session_key FROM due))"""
+
+
+@_query(f"{_ASSEMBLE} SELECT session_key, md5(continuity) AS continuity, md5(facts) AS facts, CAST(ceil(length(concat_ws(chr(10) || chr(10), continuity, facts)) / 4.0) AS BIGINT) AS tokens FROM t LEFT JOIN b USING (session_key)")
+def assemble_context(spark, sf_dir):
+    """What each session in need of context gets: its tail and the facts found by the tail's last 200 characters."""
+    config = replace(DEFAULT, semantic_query_chars=200, recall_max_facts=5)
+    out = recall.assemble(R.messages(spark, sf_dir), R.facts(spark, sf_dir), config, 1500)
+    return out.select("session_key", F.md5("continuity").alias("continuity"), F.md5("facts").alias("facts"), "tokens")
+
+
+# --- episodes and facts --------------------------------------------------------------------------------------------
+
+_OF = "CASE WHEN json_valid(source_description) AND trim(source_description) <> 'null' THEN coalesce(json_extract_string(source_description, '$.session_key') = 's7', false) ELSE coalesce(contains(source_description, 'session=s7'), false) OR coalesce(contains(name, 's7'), false) END"
+_E = f"WITH e AS ({R.EPISODES})"
+
+
+@_query(f"{_E}, l AS (SELECT * FROM e WHERE group_id = 'core' ORDER BY created_at DESC, uuid LIMIT 50) SELECT uuid, created_at, name FROM l WHERE {_OF} ORDER BY created_at DESC, uuid LIMIT 10")
+def episodes_limit_then_filter(spark, sf_dir):
+    """A session's episodes among the newest 50 of the group."""
+    return episodes.listed(R.episodes(spark, sf_dir), "s7", 10).select("uuid", "created_at", "name")
+
+
+@_query(f"{_E}, l AS (SELECT * FROM e WHERE group_id = 'core' ORDER BY created_at DESC, uuid LIMIT 50) SELECT uuid, created_at, name FROM l WHERE {_OF}")
+def episodes_cli(spark, sf_dir):
+    """The same without a wider fetch, as the command line does."""
+    return episodes.listed(R.episodes(spark, sf_dir), "s7", 50, overfetch=False).select("uuid", "created_at", "name")
+
+
+@_query(f"{_E} SELECT uuid, created_at, name FROM e WHERE {_OF} ORDER BY created_at DESC, uuid LIMIT 10")
+def episodes_filter_then_limit(spark, sf_dir):
+    """A session's newest 10 episodes."""
+    return episodes.of_session(R.episodes(spark, sf_dir), "s7", 10).select("uuid", "created_at", "name")
+
+
+@_query(f"{_E} SELECT group_id, least(count(*), 100) AS episodes, max(created_at) AS latest, CAST(least(count(*), 100) AS VARCHAR) || CASE WHEN count(*) >= 100 THEN '+' ELSE '' END AS label FROM e GROUP BY group_id")
+def episode_stats(spark, sf_dir):
+    """Counts up to a ceiling and latest times by group."""
+    return episodes.stats(R.episodes(spark, sf_dir), replace(DEFAULT, count_ceiling=100)).withColumn("episodes", F.col("episodes").cast("long"))
+
+
+def _part(label: str, key: str) -> str:
+    return f"'{label}=' || nullif(json_extract_string(source_description, '$.{key}'), '')"
+
+
+_AGO = f"CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN CAST(s // 60 AS VARCHAR) || 'm ago' WHEN s < 86400 THEN CAST(s // 3600 AS VARCHAR) || 'h ago' ELSE CAST(s // 86400 AS VARCHAR) || 'd ago' END"
+_AGED = f"{_E}, a AS (SELECT *, CAST(floor(epoch(TIMESTAMP '2026-07-01') - epoch(CAST(replace(replace(created_at, 'T', ' '), 'Z', '') AS TIMESTAMP))) AS BIGINT) AS s, json_valid(source_description) AND source_description <> 'null' AS ok FROM e)"
+
+
+@_query(
+    f"""{_AGED} SELECT uuid,
+'**uuid: ' || uuid || '** ' || CASE WHEN coalesce(name, '') <> '' THEN '**' || name || '**' ELSE '(unnamed)' END || ' ' || CASE WHEN ok THEN concat_ws(' ', {_part("event", "event")}, {_part("session", "session_key")}, {_part("file", "file")}) ELSE coalesce(source_description, '') END || ' (' || {_AGO} || ')' || CASE WHEN coalesce(content, '') <> '' THEN chr(10) || '   ' || left(content, 100) ELSE '' END AS tool,
+'• ' || coalesce(name, uuid) || '  ' || CASE WHEN ok THEN concat_ws(' ', '[' || json_extract_string(source_description, '$.event') || ']', {_part("source", "source")}, {_part("file", "file")}, {_part("session", "session_key")}, {_part("agent", "agent")}, {_part("channel", "channel")}) ELSE coalesce(source_description, '') END || '  ' || {_AGO} AS cli FROM a"""
+)
+def episode_lines(spark, sf_dir):
+    """Every episode as the tool and as the command line print it."""
+    now = F.lit("2026-07-01 00:00:00").cast("timestamp")
+    return R.episodes(spark, sf_dir).select("uuid", episodes.tool_line(now).alias("tool"), episodes.cli_line(now).alias("cli"))
+
+
+_F = f"WITH facts AS ({R.FACTS})"
+
+
+@_query(f"{_F} SELECT uuid, '**' || name || '**: ' || fact || ' [' || coalesce(valid_at, 'ongoing') || ']' AS tool, '• **' || name || '**: ' || fact || ' [' || coalesce(valid_at, 'ongoing') || coalesce(' → ' || invalid_at, '') || ']' AS cli, '[' || uuid || '] **' || name || '**: ' || fact AS candidate, CASE WHEN length(fact) > 100 THEN left(fact, 100) || '...' ELSE fact END AS preview FROM facts")
+def fact_lines(spark, sf_dir):
+    """Every fact as the search tool, the command line and the delete list print it."""
+    return R.facts(spark, sf_dir).select("uuid", episodes.search_line().alias("tool"), episodes.cli_search_line().alias("cli"), episodes.candidate_line().alias("candidate"), T.preview(F.col("fact")).alias("preview"))
+
+
+@_query(f"{_F}, b AS (SELECT group_id, '<memory-context>' || chr(10) || 'Relevant knowledge graph facts (auto-recalled):' || chr(10) || string_agg('- **' || name || '**: ' || replace(fact, chr(10), ' '), chr(10) ORDER BY uuid) || chr(10) || '</memory-context>' AS block, count(*) AS n FROM facts GROUP BY group_id) SELECT group_id, md5(block) AS block, CAST(n AS BIGINT) AS n FROM b")
+def format_facts(spark, sf_dir):
+    """The facts of each group as a block, and their number read off the block."""
+    rows = R.facts(spark, sf_dir).withColumn("line", T.fact_line(F.col("name"), F.replace("fact", F.lit("\n"), F.lit(" "))))
+    parts = F.array_sort(F.collect_list(F.struct("uuid", "line")))
+    blocks = rows.groupBy("group_id").agg(T.context_block(F.array_join(F.transform(parts, lambda x: x["line"]), "\n")).alias("block"))
+    return blocks.select("group_id", F.md5("block").alias("block"), T.count_facts(F.col("block")).cast("long").alias("n"))
+
+
+@_query(f"{_F} SELECT uuid, name, group_id FROM facts WHERE group_id IN ('core') AND uuid NOT IN (SELECT uuid FROM facts WHERE valid_at IS NULL)")
+def delete_facts(spark, sf_dir):
+    """What is left of a group once facts without a start are deleted."""
+    rows = R.facts(spark, sf_dir)
+    return episodes.delete(episodes.in_groups(rows), rows.where("valid_at is null")).select("uuid", "name", "group_id")
+
+
+_REQUESTS = "SELECT conv_id * 100 + turn AS request_id, CASE WHEN turn % 3 = 0 THEN NULL ELSE 'q' END AS query, CASE WHEN turn % 5 = 0 THEN '0123abcd-0000-4000-8000-00000000000' || CAST(conv_id % 10 AS STRING) WHEN turn % 5 = 1 THEN 'fact-1' ELSE '' END AS uuid, CASE WHEN turn % 4 = 0 THEN 'episode' WHEN turn % 4 = 1 THEN NULL ELSE 'fact' END AS type, conv_id % 4 AS hits FROM conversations"
+
+
+@_query(
+    f"""WITH r AS ({_REQUESTS}), d AS (SELECT *, CASE WHEN coalesce(query, '') = '' AND coalesce(uuid, '') = '' THEN 'missing_params' WHEN coalesce(uuid, '') <> '' AND NOT regexp_matches(lower(uuid), '^[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}$') THEN 'invalid_uuid' WHEN coalesce(uuid, '') <> '' THEN NULL WHEN coalesce(type, 'fact') = 'episode' THEN 'episode_query_not_supported' WHEN hits = 0 THEN 'no_matches' WHEN hits > 1 THEN 'multiple_matches' END AS reason FROM r)
+SELECT request_id, reason IS NULL AS deleted, reason, CASE WHEN reason IS NULL THEN coalesce(nullif(uuid, ''), 'm0') END AS target FROM d"""
+)
+def forget_decision(spark, sf_dir):
+    """The decision on every delete request."""
+    rows = R._select(spark, _REQUESTS, conversations=R.table(spark, sf_dir, "conversations"))
+    matches = rows.where("hits > 0").select("request_id", F.explode(F.expr("transform(sequence(0L, hits - 1), i -> concat('m', i))")).alias("uuid"))
+    return episodes.forget(rows.drop("hits"), matches)
+
+
+@_query("SELECT 'fact-' || event_id AS uuid, upper(event_type) AS name, 'user ' || user_id || ' did ' || event_type AS fact, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS valid_to, 'g' || (user_id % 4) AS group_id FROM events")
+def fact_intervals(spark, sf_dir):
+    """Facts with the time until the next of their kind."""
+    return episodes.intervals(R.table(spark, sf_dir, "events")).drop("user_id", "event_type")
+
+
+@_query("WITH i AS (SELECT event_id, user_id, event_type, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS valid_to FROM events), m AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS at FROM events) SELECT 'fact-' || event_id AS uuid, user_id, event_type, valid_from FROM i, m WHERE valid_from <= date_trunc('second', at) AND (valid_to IS NULL OR valid_to > date_trunc('second', at))")
+def fact_as_of(spark, sf_dir):
+    """The facts that hold in the middle of the time covered."""
+    events = R.table(spark, sf_dir, "events")
+    middle = events.select(F.date_trunc("second", F.timestamp_micros(F.floor((F.min(F.unix_micros(F.col("ts").cast("timestamp"))) + F.max(F.unix_micros(F.col("ts").cast("timestamp")))) / 2).cast("long"))).alias("at"))
+    return episodes.as_of(episodes.intervals(events).crossJoin(F.broadcast(middle)), F.col("at")).select("uuid", "user_id", "event_type", "valid_from")  # one row
+
+
+# --- memory files and the log --------------------------------------------------------------------------------------
+
+_FS = f"WITH files AS ({R.FILES_SQL}), state AS ({R.STATE}), x AS (SELECT f.*, s.last_modified AS known, lower(regexp_extract(f.path, '[^/]+?(\\.[^./]*)?$', 1)) AS ext FROM files f LEFT JOIN state s USING (path))"
+_RUN = "CASE WHEN ext NOT IN ('.md', '.txt') THEN 'filtered' WHEN last_modified IS NULL THEN 'unreadable' WHEN known = last_modified THEN 'unchanged' ELSE 'indexed' END"
+
+
+@_query(f"{_FS} SELECT path, CASE WHEN ext NOT IN ('.md', '.txt') THEN 'filtered' WHEN known IS NULL THEN 'new' WHEN last_modified IS NOT NULL AND known <> last_modified THEN 'updated' ELSE 'unchanged' END AS status FROM x")
+def index_classify(spark, sf_dir):
+    """The dry run over every file."""
+    return memory_files.classify(R.files(spark, sf_dir), R.state(spark, sf_dir), dry_run=True).select("path", "status")
+
+
+@_query(f"{_FS} SELECT {_RUN} AS status, count(*) AS files FROM x GROUP BY 1")
+def index_counts(spark, sf_dir):
+    """Counters of a run."""
+    return memory_files.counts(memory_files.classify(R.files(spark, sf_dir), R.state(spark, sf_dir)))
+
+
+@_query(
+    f"""{_FS} SELECT path, md5('---' || chr(10) || 'type: memory-index' || chr(10) || 'file: ' || path || chr(10) || 'last_modified: ' || last_modified || chr(10) || 'size: ' || size || chr(10) || '---' || chr(10) || excerpt) AS content, 'memory-index::' || path AS name, last_modified AS "timestamp",
+'{{"plugin":"memloom","event":"memory_index","ts":"' || last_modified || '","group_id":"core","file":"' || path || '","file_type":"' || ext || '"}}' AS source_description FROM x WHERE {_RUN} = 'indexed'"""
+)
+def index_episodes(spark, sf_dir):
+    """The index episodes of new and changed files."""
+    out = memory_files.episodes(memory_files.classify(R.files(spark, sf_dir), R.state(spark, sf_dir)))
+    return out.select("path", F.md5("content").alias("content"), "name", "timestamp", "source_description")
+
+
+@_query(f"{_FS}, c AS (SELECT path, last_modified FROM x WHERE {_RUN} = 'indexed') SELECT path, last_modified, '{NOW}' AS last_indexed FROM c UNION ALL SELECT path, last_modified, last_indexed FROM state WHERE path NOT IN (SELECT path FROM c)")
+def index_state(spark, sf_dir):
+    """The state after a run."""
+    state = R.state(spark, sf_dir)
+    return memory_files.next_state(memory_files.classify(R.files(spark, sf_dir), state), state, NOW)
+
+
+_CALLED = "SELECT conv_id * 100 + turn AS id, CASE turn % 4 WHEN 0 THEN 'Write' WHEN 1 THEN 'edit' WHEN 2 THEN 'read' ELSE 'create_file' END AS tool, CASE WHEN conv_id % 3 = 0 THEN '/home/u/notes/x.md' WHEN conv_id % 3 = 1 THEN '/w/memory/a/memory/' || CAST(conv_id AS STRING) || '.md' END AS file_path, CASE WHEN turn % 2 = 0 THEN 'memory/p' || CAST(turn AS STRING) || '.png' END AS path FROM conversations"
+
+
+@_query(f"WITH c AS ({_CALLED}) SELECT id, CASE WHEN tool <> 'read' THEN coalesce(CASE WHEN strpos(file_path, '/memory/') > 0 THEN substr(file_path, strpos(file_path, '/memory/') + 1) WHEN starts_with(file_path, 'memory/') THEN file_path END, CASE WHEN strpos(path, '/memory/') > 0 THEN substr(path, strpos(path, '/memory/') + 1) WHEN starts_with(path, 'memory/') THEN path END) END AS memory_path FROM c")
+def memory_path(spark, sf_dir):
+    """The memory file that each tool call names."""
+    rows = R._select(spark, _CALLED, conversations=R.table(spark, sf_dir, "conversations"))
+    params = F.create_map(F.lit("file_path"), F.col("file_path"), F.lit("path"), F.col("path"), F.lit("filePath"), F.lit(None).cast("string"), F.lit("target_file"), F.lit(None).cast("string"))
+    return rows.select("id", T.memory_path(F.col("tool"), params).alias("memory_path"))
+
+
+@_query(
+    """SELECT event_id, '2026 [memloom] ' || CASE WHEN length(event_type) < 12 THEN rpad(event_type, 12, ' ') ELSE event_type END || ' ' || concat_ws(' ', 'user=' || user_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'props=' || CASE WHEN contains(props, ' ') THEN '"' || replace(props, '"', '\\"') || '"' ELSE replace(props, '"', '\\"') END END) AS line FROM events"""
+)
+def log_format(spark, sf_dir):
+    """Every event as a log line."""
+    rows = R.table(spark, sf_dir, "events")
+    fields = [("user", F.col("user_id")), ("props", F.when(F.col("user_id") % 3 != 0, F.col("props")))]
+    return rows.select("event_id", T.log_line(F.lit("2026"), F.col("event_type"), fields).alias("line"))
+
+
+@_query("SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' ELSE (s // 86400) || 'd ago' END AS age FROM (SELECT event_id, CAST(floor((epoch_us(m) - epoch_us(ts)) / 1000000) AS BIGINT) AS s FROM events, (SELECT max(ts) AS m FROM events))")
+def time_ago(spark, sf_dir):
+    """The age of every event at the time of the last."""
+    events = R.table(spark, sf_dir, "events")
+    last = events.agg(F.max("ts").alias("m"))  # one row
+    return events.crossJoin(F.broadcast(last)).select("event_id", T.time_ago(F.col("ts"), F.col("m")).alias("age"))
