@@ -28,25 +28,28 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from memloom.llm import common
 
-CACHE, LONG, WORDS = 250_000, 128, 50_000
+CACHE, LONG, WORDS = 400_000, 128, 50_000
 #: Texts of these characters with single spaces and line ends only, whose chunks can be cut one by one.
 _PLAIN = re.compile(r"[\n -~¡-ɏ]*\Z")
 _CODERS: dict[tuple[str, str], Coder] = {}
 
 _MERGE = """
-WITH RECURSIVE step(w, p, id, next_id, done) AS (
-  SELECT w, p, id, lead(id) OVER (PARTITION BY w ORDER BY p), false FROM pos
+WITH RECURSIVE step(w, p, id, next_p, next_id, done) AS (
+  SELECT w, p, id, next_p, next_id, false FROM pos
   UNION ALL (
-    WITH pair AS (SELECT s.w, s.p, s.id, s.next_id, m.merged FROM (SELECT * FROM step WHERE NOT done) s LEFT JOIN merges m ON s.id = m.left_id AND s.next_id = m.right_id),
-    best AS (SELECT w, min(merged::BIGINT * 4294967296 + p) AS k FROM pair GROUP BY w),
-    put AS (SELECT w, p, k, CASE WHEN p = k & 4294967295 THEN (k >> 32)::INT ELSE id END AS id FROM pair JOIN best USING (w)),
-    left_over AS (SELECT *, coalesce(lag(p = k & 4294967295, 1, false) OVER (PARTITION BY w ORDER BY p), false) AS gone FROM put)
-    SELECT w, p, id, lead(id) OVER (PARTITION BY w ORDER BY p), k IS NULL FROM left_over WHERE NOT gone
+    WITH pair AS MATERIALIZED (SELECT s.w, s.p, s.id, s.next_p, s.next_id, m.merged::BIGINT * 4294967296 + s.p AS k FROM (SELECT * FROM step WHERE NOT done) s LEFT JOIN merges m ON s.id = m.left_id AND s.next_id = m.right_id),
+    best AS (SELECT w, min(k) AS k, arg_min(next_p, k) AS gone FROM pair GROUP BY w),
+    hit AS MATERIALIZED (SELECT b.w, (b.k >> 32)::INT AS merged, (b.k & 4294967295)::INT AS p, b.gone, g.next_p, g.next_id FROM best b LEFT JOIN pair g ON g.w = b.w AND g.p = b.gone)
+    SELECT a.w, a.p, CASE WHEN a.p = h.p THEN h.merged ELSE a.id END, CASE WHEN a.p = h.p THEN h.next_p ELSE a.next_p END,
+      CASE WHEN a.p = h.p THEN h.next_id WHEN a.next_p = h.p THEN h.merged ELSE a.next_id END, h.p IS NULL
+    FROM pair a JOIN hit h ON a.w = h.w WHERE a.p IS DISTINCT FROM h.gone
   )
 ) SELECT w, id FROM step WHERE done ORDER BY w, p"""
 _MERGE_LONG = """
@@ -87,14 +90,12 @@ class Coder:
         self.ranks = read_ranks(path)
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.cut = regex.compile(pattern).findall
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         for name, rows in (("merges", merge_table(self.ranks)), ("vocabulary", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "token": pa.array(self.ranks.keys(), pa.binary())}))):
             self.db.register("given", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
-        self.pieces: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.pieces, self.first, self.later = (common.Remembered(CACHE) for _ in range(3))
 
     @staticmethod
     def of(path: str, pattern: str) -> Coder:
@@ -105,8 +106,11 @@ class Coder:
     def _merge(self, words: list[bytes], query: str) -> list[bytes]:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.frombuffer(b"".join(words), np.uint8)
-        at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.db.register("pos", pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "p": at, "id": self.byte[flat]}))
+        at = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        ids, last = self.byte[flat], np.zeros(len(flat), bool)
+        last[np.cumsum(sizes) - 1] = True
+        w = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        self.db.register("pos", pa.table({"w": w, "p": at, "id": ids, "next_p": pa.array(at + 1, mask=last), "next_id": pa.array(np.roll(ids, -1), mask=last)}))
         found = self.db.sql(query).to_arrow_table()
         ids = found["id"].to_numpy().astype("<u4").tobytes()
         ends = 4 * np.searchsorted(found["w"].to_numpy(), np.arange(1, len(words) + 1))
@@ -114,47 +118,42 @@ class Coder:
 
     def learn(self, pieces: set[str]) -> None:
         """Adds the ids of pieces that aren't known yet."""
-        short, long = [], []
-        for piece in pieces:
+        short, long, known = [], [], self.pieces.of
+        for piece in self.pieces.missing(pieces):
             word = piece.encode()
             if (whole := self.ranks.get(word)) is not None:
-                self.pieces[piece] = whole.to_bytes(4, "little")
+                known[piece] = whole.to_bytes(4, "little")
             else:
                 (long if len(word) > LONG else short).append((piece, word))
         for rows, query in ((short, _MERGE), (long, _MERGE_LONG)):
             for a in range(0, len(rows), WORDS):
                 some = rows[a : a + WORDS]
-                self.pieces.update(zip([p for p, _ in some], self._merge([w for _, w in some], query), strict=True))
+                known.update(zip([p for p, _ in some], self._merge([w for _, w in some], query), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        for known in (self.pieces, self.first, self.later):
-            if len(known) > CACHE:
-                known.clear()
-        plan, new, first, later = [], set(), set(), set()
-        for text in texts:
-            lines = [line.split(" ") for line in text.split("\n")] if _PLAIN.match(text) else None
-            if lines is None or any("" in line for line in lines):
-                cut = self.cut(text)
-                new.update(p for p in cut if p not in self.pieces)
-                plan.append((None, cut))
-            else:
-                for line in lines:
-                    if line[0] not in self.first:
-                        first.add(line[0])
-                    later.update(c for c in line[1:] if c not in self.later)
-                plan.append((lines, None))
-        chunks = [(self.first, c, self.cut(c)) for c in first] + [(self.later, c, self.cut(" " + c)) for c in later]
-        new.update(p for _, _, cut in chunks for p in cut if p not in self.pieces)
-        if "\n" not in self.pieces:
-            new.add("\n")
-        self.learn(new)
-        ids = self.pieces.__getitem__
-        for known, chunk, cut in chunks:
-            known[chunk] = b"".join(map(ids, cut))
-        end, head, rest, out = self.pieces["\n"], self.first.__getitem__, self.later.__getitem__, []
-        for lines, cut in plan:
-            out.append(b"".join(map(ids, cut)) if lines is None else end.join([head(line[0]) + b"".join(map(rest, line[1:])) for line in lines]))
-        return out
+        for kept in (self.pieces, self.first, self.later):
+            kept.trim()
+        plain = [bool(_PLAIN.match(t)) and not (t.startswith(" ") or t.endswith(" ") or "  " in t or " \n" in t or "\n " in t) for t in texts]
+        cut = [None if ok else self.cut(t) for t, ok in zip(texts, plain, strict=True)]
+        pieces = {p for some in cut if some for p in some}
+        # Chunks between single spaces: each is met once a batch, however often it occurs.
+        lists = pc.split_pattern(pa.array([t for t, ok in zip(texts, plain, strict=True) if ok], pa.large_string()), " ")
+        chunks = lists.flatten().dictionary_encode()
+        names = chunks.dictionary.to_pylist()
+        edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        heads = [names[i] for i in chunks.indices.to_numpy()[edges[:-1]].tolist()]
+        new = [(self.first.of, c, self.cut(c)) for c in self.first.missing(set(heads))] + [(self.later.of, c, self.cut(" " + c)) for c in self.later.missing(set(names))]
+        for _, _, some in new:
+            pieces.update(some)
+        self.learn(pieces)
+        ids = self.pieces.of.__getitem__
+        for known, chunk, some in new:
+            known[chunk] = b"".join(map(ids, some))
+        coded = pa.array(list(map(self.later.of.__getitem__, names)), pa.large_binary()).take(chunks.indices)
+        data, ends = memoryview(coded.buffers()[2] or b""), np.frombuffer(coded.buffers()[1], np.int64)
+        starts, stops = ends[edges[:-1] + 1].tolist(), ends[edges[1:]].tolist()
+        rows = (self.first.of[h] + data[a:b] for h, a, b in zip(heads, starts, stops, strict=True))
+        return [next(rows) if some is None else b"".join(map(ids, some)) for some in cut]
 
     def decode(self, rows: list[bytes]) -> list[bytes]:
         sizes = np.fromiter((len(r) // 4 for r in rows), np.int64, len(rows))
@@ -176,31 +175,38 @@ class Coder:
         return out
 
 
-def _cut(column: pa.Array, most: int):
-    for batch in common.slices([pa.record_batch({"x": column})], "x", most):
-        yield batch.column("x").to_pylist()
+def _mapped(rows: DataFrame, source: str, path: str, pattern: str, steps: tuple[str, ...]) -> DataFrame:
+    """rows with the columns that steps name (ids, decoded), made batch by batch in one worker."""
+    rows = rows.drop(*steps)
+
+    def work(batches):
+        coder = Coder.of(path, pattern)
+        for batch in common.slices(batches, source, 4 << 20):
+            columns, names = list(batch.columns), list(batch.schema.names)
+            given = batch.column(source).to_pylist()
+            for step in steps:
+                given = coder.encode([t or "" for t in given]) if step == "ids" else coder.decode([i or b"" for i in given])
+                columns.append(pa.array(given, pa.binary()))
+                names.append(step)
+            yield pa.record_batch(columns, names=names)
+
+    schema = StructType([*rows.schema.fields, *(StructField(step, BinaryType()) for step in steps)])
+    return rows.mapInArrow(work, schema)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs with ids: the token ids of the text as little-endian unsigned 32-bit bytes."""
-
-    @F.arrow_udf("binary")
-    def coded(text: pa.Array) -> pa.Array:
-        coder = Coder.of(path, pattern)
-        return pa.array([x for some in _cut(text, 3 << 20) for x in coder.encode([t or "" for t in some])], pa.binary())
-
-    return docs.withColumn("ids", coded("text"))
+    return _mapped(docs, "text", path, pattern, ("ids",))
 
 
 def decode(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     """rows with decoded: the bytes that ids stand for."""
+    return _mapped(rows, "ids", path, pattern, ("decoded",))
 
-    @F.arrow_udf("binary")
-    def plain(ids: pa.Array) -> pa.Array:
-        coder = Coder.of(path, pattern)
-        return pa.array([x for some in _cut(ids, 3 << 20) for x in coder.decode([i or b"" for i in some])], pa.binary())
 
-    return rows.withColumn("decoded", plain("ids"))
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """docs with ids and with decoded, which is made from ids alone."""
+    return _mapped(docs, "text", path, pattern, ("ids", "decoded"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,5 +215,5 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs, path, pattern), path, pattern)
+    out = round_trip(docs, path, pattern)
     return out.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -127,3 +127,24 @@ def hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def words(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, end) of every word: a run without ASCII white space."""
     return spans(offsets, raw, _SPACE)
+
+
+class Remembered:
+    """Results by key in a worker, about `most` at a time; on overflow those stay that were asked for again."""
+
+    def __init__(self, most: int):
+        self.most, self.of, self.again = most, {}, set()
+
+    def missing(self, keys: set) -> set:
+        """The keys without a result; the others are marked as asked for again."""
+        new = keys.difference(self.of)
+        self.again |= keys - new
+        return new
+
+    def trim(self) -> None:
+        """To be called between batches."""
+        if len(self.of) > self.most:
+            self.of = {k: self.of[k] for k in self.again if k in self.of}
+            self.again = set()
+            if len(self.of) > self.most // 2:
+                self.of = {}

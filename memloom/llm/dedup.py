@@ -39,6 +39,10 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 HASHES = BANDS * ROWS
 AGREE = 0.68
+#: Bytes of text that are hashed at a time; a longer text stands alone.
+SLICE = 1 << 20
+#: Ids of candidates are broadcast up to so many and joined by shuffle beyond.
+MOST_IDS = 1_000_000
 #: Members of a bucket that one task compares, rows that it gets, and how many pairs of two components come at a time.
 BLOCK, TASK_ROWS, WINDOWS = 1000, 20_000, ((0, 16), (16, 256), (256, None))
 
@@ -137,7 +141,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n, k1, k2, sig, bands): bag size and checksums, 16 bits of each component, and a hash of each band."""
 
     def sign(batches):
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", SLICE):
             offsets, raw = common.utf8(batch.column("text"))
             n = batch.num_rows
             doc, h = shingles(offsets, raw)
@@ -163,8 +167,8 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, k1 long, k2 long, sig binary, bands array<long>")
 
 
-def verified(pairs: DataFrame, marks: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """pairs (u, v) whose sizes and signatures allow it, with their exact overlap as sim."""
+def verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """pairs (u, v) whose sizes and signatures allow it, with their exact overlap as sim. held: (doc_id, n, sig, text)."""
 
     @F.arrow_udf("double")
     def agreement(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -175,17 +179,17 @@ def verified(pairs: DataFrame, marks: DataFrame, docs: DataFrame, similarity: fl
     def overlap(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array(overlaps(a, b))
 
-    side = lambda k: marks.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}"))
+    side = lambda k: held.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}"))
     near = pairs.join(side("u"), "u").join(side("v"), "v").where(F.least("n_u", "n_v") >= F.greatest("n_u", "n_v") * similarity)
     near = near.withColumn("agree", agreement("sig_u", "sig_v")).where(F.col("agree") >= AGREE).select("u", "v")
-    text = lambda k: docs.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
+    text = lambda k: held.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
     return near.join(text("u"), "u").join(text("v"), "v").select("u", "v", overlap("text_u", "text_v").alias("sim"))
 
 
 def overlaps(left: pa.Array, right: pa.Array) -> np.ndarray:
     """The weighted Jaccard similarity of the shingle bags of each pair of texts."""
     out = [np.zeros(0)]
-    for batch in common.slices([pa.record_batch({"a": left, "b": right})], "a", 2 << 20):
+    for batch in common.slices([pa.record_batch({"a": left, "b": right})], "a", SLICE):
         sides = []
         for k, name in enumerate("ab"):
             d, h, c = _bags(*shingles(*common.utf8(batch.column(name))))
@@ -245,20 +249,23 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     marks = common.staged(signatures(known), "signatures")
     bags = marks.where("n > 0")
     reps = common.staged(bags.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id")), "representatives")
-    own = bags.join(reps.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    own = common.staged(own, "marks")
+    own = bags.join(reps.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     band = own.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("bucket"))
     lead = band.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("members")).where("members > 1")
     shared = common.staged(band.join(lead, "bucket").where("id != lead"), "buckets")
+    # What verification needs of the documents that share a bucket at all, written once.
+    ids = common.staged(shared.select(F.col("id").alias("doc_id")).union(shared.select("lead")).distinct(), "candidate-ids")
+    side = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+    held = known.join(side, "doc_id", "left_semi").join(bags.join(side, "doc_id", "left_semi").select("doc_id", "n", "sig"), "doc_id")
+    held = common.staged(held.dropDuplicates(["doc_id"]), "candidates")
     pairs = shared.select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct()
-    texts = known.join(own.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    tried = common.staged(verified(pairs, own, texts, similarity), "verified")
+    tried = common.staged(verified(pairs, held, similarity), "verified")
     links = tried.where(F.col("sim") >= similarity)
     groups = common.staged(graph.components(links.select("u", "v")), "components")
     # Buckets that still hold several components, without their lead, whom all have met.
     wide = shared.where("members > 2").join(groups.withColumnRenamed("component", "comp0"), "id", "left").withColumn("comp0", F.coalesce("comp0", "id"))
     mixed = wide.groupBy("bucket").agg(F.min("comp0").alias("a"), F.max("comp0").alias("b"), F.count("*").alias("k")).where("a < b").select("bucket", "k")
-    rest = common.staged(wide.join(mixed, "bucket").join(own.select(F.col("doc_id").alias("id"), "sig"), "id").select("bucket", "k", "id", "n", "comp0", "sig"), "mixed-buckets")
+    rest = common.staged(wide.join(mixed, "bucket").join(held.select(F.col("doc_id").alias("id"), "sig"), "id").select("bucket", "k", "id", "n", "comp0", "sig"), "mixed-buckets")
     many = rest.count()
     tasks = max(1, -(-many // TASK_ROWS))
     for window in WINDOWS if many else ():
@@ -269,7 +276,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         keys = [F.when(alone, F.pmod(F.xxhash64("bucket"), F.lit(tasks))).otherwise(F.col("bucket")).alias("t"), F.least("block", "to").alias("x"), F.greatest("block", "to").alias("y"), alone.alias("z")]
         found = at.groupBy(*keys).applyInArrow(_compare(window, similarity), "u long, v long")
         found = common.staged(found.distinct(), "cross-pairs")
-        fresh = common.staged(verified(found.where("u >= 0").join(tried, ["u", "v"], "left_anti"), own, texts, similarity), "verified")
+        fresh = common.staged(verified(found.where("u >= 0").join(tried, ["u", "v"], "left_anti"), held, similarity), "verified")
         new = fresh.where(F.col("sim") >= similarity)
         if not new.isEmpty():
             links = links.union(new)

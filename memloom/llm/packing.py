@@ -35,7 +35,7 @@ CAPACITY, END = 4096, 1
 #: Least salts of a length's group, and rows for which one more is added.
 LEAST_SALTS, ROWS_PER_SALT = 16, 4_000_000
 #: Chunks, and pieces, whose ids a worker remembers before it starts over.
-CACHE = 800_000
+CACHE = 500_000
 #: Texts of these characters only split at their white space alike everywhere; others go to the tokenizer whole.
 _PLAIN = re.compile(r"[\t\n\r -~¡-ɏ]*\Z")
 _ENCODERS: dict[str, Encoder] = {}
@@ -63,8 +63,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.cut = regex.compile(stated["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         (self.gap,) = self.tokenizer.encode(self.GAP, add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known, self.pieces = common.Remembered(CACHE), common.Remembered(CACHE)
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -76,24 +75,22 @@ class Encoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def _learn(self, chunks: set[str]) -> None:
-        cuts = [(c, self.cut(c)) for c in chunks]
-        new = list({p for _, cut in cuts for p in cut if p not in self.pieces})
+        cuts = [(c, self.cut(c)) for c in self.known.missing(chunks)]
+        new, pieces = list(self.pieces.missing({p for _, cut in cuts for p in cut})), self.pieces.of
         for a in range(0, len(new), 5_000):
             some = new[a : a + 5_000]
             raw = self.whole(f" {self.GAP} ".join(some))
             gaps = 4 * np.flatnonzero(np.frombuffer(raw, "<u4") == self.gap)
             starts, ends = [0, *(gaps + 4).tolist()], [*gaps.tolist(), len(raw)]
-            self.pieces.update((p, raw[i:j]) for p, i, j in zip(some, starts, ends, strict=True))
-        ids = self.pieces.__getitem__
-        self.known.update((c, b"".join(map(ids, cut))) for c, cut in cuts)
+            pieces.update((p, raw[i:j]) for p, i, j in zip(some, starts, ends, strict=True))
+        self.known.of.update((c, b"".join(map(pieces.__getitem__, cut))) for c, cut in cuts)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [t.lower().split() if _PLAIN.match(t) else None for t in texts]
-        for known in (self.known, self.pieces):
-            if len(known) > CACHE:
-                known.clear()
-        self._learn({c for chunks in plain if chunks for c in chunks if c not in self.known})
-        ids = self.known.__getitem__
+        self.known.trim()
+        self.pieces.trim()
+        self._learn(set().union(*filter(None, plain)))
+        ids = self.known.of.__getitem__
         return [self.whole(t) if chunks is None else b"".join(map(ids, chunks)) for t, chunks in zip(texts, plain, strict=True)]
 
 
