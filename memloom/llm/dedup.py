@@ -11,11 +11,11 @@ similarity. Points beyond the latest component are never drawn.
 
 Equal bags become one representative. Representatives that agree on a band of ROWS
 components are candidates. First each member of a bucket meets the bucket's least
-id (a join, no pairs within buckets); members of buckets that then still hold
-several components are compared by signature in blocks inside tasks, which give
-only pairs of different components whose signatures agree enough, best first. Every
-candidate is verified by its exact multiset overlap from the whole texts, and
-connected components of the verified links are the classes.
+id (a join, no pairs within buckets) and is verified by its exact multiset overlap
+from the whole texts. Members of buckets that then still hold several components
+bring their bags along and are compared in blocks inside tasks: by signature, then
+exactly, and only while they are in different components. Tasks give the links that
+join components, never the pairs. Connected components of all links are the classes.
 
 A pair at the threshold is missed by all bands with a probability below 1e-4, and
 its signatures agree less than AGREE with one of about 2e-5; nothing else is left
@@ -43,8 +43,8 @@ AGREE = 0.68
 SLICE = 1 << 20
 #: Ids of candidates are broadcast up to so many and joined by shuffle beyond.
 MOST_IDS = 1_000_000
-#: Members of a bucket that one task compares, rows that it gets, and how many pairs of two components come at a time.
-BLOCK, TASK_ROWS, WINDOWS = 1000, 20_000, ((0, 16), (16, 256), (256, None))
+#: Members of a block of a bucket, and rows of a task; bytes of their bags, as a mean.
+BLOCK, TASK_ROWS, BLOCK_BYTES, TASK_BYTES = 1000, 20_000, 8 << 20, 32 << 20
 
 _STEP, _SIDE, _ROOT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 
@@ -153,10 +153,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 for k, salt in enumerate((_STEP, _SIDE)):
                     sums[k, some] = np.add.reduceat(common.mix(h ^ salt), heads)
             bits = bag_min_hash(*_bags(doc, h), n).view(np.uint64)
-            sig = (common.mix(bits.ravel()) & np.uint64(0xFFFF)).astype("<u2").reshape(n, HASHES)
+            short = common.mix(bits.ravel()) & np.uint64(0xFFFF)
+            sig = short.astype("<u2").reshape(n, HASHES)
             bands = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * _STEP, (n, 1))
             for k in range(ROWS):
-                bands = common.mix(bands ^ bits.reshape(n, BANDS, ROWS)[:, :, k])
+                bands = common.mix(bands ^ short.reshape(n, BANDS, ROWS)[:, :, k])
             yield pa.record_batch(
                 {
                     "doc_id": batch.column("doc_id").cast(pa.int64()), "n": size.astype(np.int64), "k1": sums[0].view(np.int64), "k2": sums[1].view(np.int64),
@@ -204,45 +205,65 @@ def overlaps(left: pa.Array, right: pa.Array) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _cross_pairs(table: pa.Table, window: tuple, similarity: float) -> pa.Table:
-    """Pairs of different components in each bucket of the table: the window's ranks, best agreement first."""
-    low, high = window
-    bucket, ids, n, start, now, block = (table.column(c).to_numpy() for c in ("bucket", "id", "n", "comp0", "comp", "block"))
+def keys(texts: pa.Array) -> pa.Array:
+    """Each text's bag as a sorted set of 64-bit keys, one for each occurrence of a shingle: overlaps of sets are those of bags."""
+    out = []
+    for batch in common.slices([pa.record_batch({"text": texts})], "text", SLICE):
+        doc, h = shingles(*common.utf8(batch.column("text")))
+        order = np.lexsort((h, doc))
+        doc, h = doc[order], h[order]
+        at = np.arange(len(doc))
+        fresh = np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])) if len(doc) else np.zeros(0, bool)
+        again = at - np.maximum.accumulate(np.where(fresh, at, 0)) if len(doc) else at
+        key = common.mix(h + again.astype(np.uint64) * _STEP)
+        key = key[np.lexsort((key, doc))].astype("<u8").tobytes()
+        ends = 8 * np.cumsum(np.bincount(doc, minlength=batch.num_rows))
+        out += [key[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    return pa.array(out, pa.binary())
+
+
+def _against(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """The similarity of a bag's keys to each of others."""
+    sizes = np.array([len(x) for x in others])
+    flat = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    both = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return both / (len(one) + sizes - both)
+
+
+def _cross_links(table: pa.Table, similarity: float) -> pa.Table:
+    """Links between different components in each bucket of the table (in one bucket as many as join its components).
+
+    A pair is looked at in the first band that it shares, and there only while its members are still apart.
+    """
+    bucket, band, ids, n, comp, block = (table.column(c).to_numpy() for c in ("bucket", "band", "id", "n", "comp0", "block"))
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
+    bags = [np.frombuffer(x, "<u8") for x in table.column("bag").to_pylist()]
     order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    us, vs, more = [], [], 0
-    for rows in np.split(order, cuts):
-        left, right = rows, rows
+    us, vs = [], []
+    for rows in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
+        label, k = comp[rows].copy(), int(band[rows[0]]) * ROWS
+        left = right = np.arange(len(rows))
         if len(halves := np.unique(block[rows])) > 1:
-            left, right = rows[block[rows] == halves[0]], rows[block[rows] == halves[1]]
-        found = []
-        for k, i in enumerate(left):
-            j = right[k + 1 :] if left is right else right
-            j = j[(start[j] != start[i]) & (now[j] != now[i]) & (np.minimum(n[j], n[i]) >= np.maximum(n[j], n[i]) * similarity)]
-            if len(j):
-                agree = (sig[j] == sig[i]).mean(1)
-                found += [(min(start[i], start[x]), max(start[i], start[x]), -a, min(ids[i], ids[x]), max(ids[i], ids[x])) for x, a in zip(j[agree >= AGREE], agree[agree >= AGREE], strict=True)]
-        rank, last = 0, None
-        for a, b, _, u, v in sorted(found):
-            rank = rank + 1 if (a, b) == last else 0
-            last = (a, b)
-            if rank >= low and (high is None or rank < high):
-                us.append(u), vs.append(v)
-            elif high is not None and rank >= high:
-                more = 1
-    if more:
-        us.append(-1), vs.append(-1)
+            left, right = (np.flatnonzero(block[rows] == x) for x in halves)
+        for at, i in enumerate(left):
+            j = right[at + 1 :] if left is right else right
+            size, sizes = n[rows[i]], n[rows[j]]
+            j = j[(label[j] != label[i]) & (np.minimum(sizes, size) >= np.maximum(sizes, size) * similarity)]
+            for a in range(0, len(j), 256):
+                some = j[a : a + 256]
+                same = sig[rows[some]] == sig[rows[i]]
+                earlier = same[:, :k].reshape(len(some), k // ROWS, ROWS).all(2).any(1)
+                some = some[(same.mean(1) >= AGREE) & ~earlier & (label[some] != label[i])]
+                if not len(some):
+                    continue
+                for x in some[_against(bags[rows[i]], [bags[rows[x]] for x in some]) >= similarity]:
+                    if label[x] != label[i]:
+                        us.append(min(ids[rows[i]], ids[rows[x]])), vs.append(max(ids[rows[i]], ids[rows[x]]))
+                        label[label == label[x]] = label[i]
     return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
 
-def _compare(window: tuple, similarity: float):
-    def compare(table: pa.Table) -> pa.Table:
-        return _cross_pairs(table, window, similarity)
-
-    return compare
-
-
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, kept) of each doc_id: the least id of its class, and whether it is that one itself."""
     known = docs.where("doc_id is not null").select("doc_id", "text")
@@ -250,7 +271,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     bags = marks.where("n > 0")
     reps = common.staged(bags.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id")), "representatives")
     own = bags.join(reps.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    band = own.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("bucket"))
+    band = own.select(F.col("doc_id").alias("id"), "n", F.posexplode("bands").alias("band", "bucket"))
     lead = band.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("members")).where("members > 1")
     shared = common.staged(band.join(lead, "bucket").where("id != lead"), "buckets")
     # What verification needs of the documents that share a bucket at all, written once.
@@ -259,30 +280,29 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     held = known.join(side, "doc_id", "left_semi").join(bags.join(side, "doc_id", "left_semi").select("doc_id", "n", "sig"), "doc_id")
     held = common.staged(held.dropDuplicates(["doc_id"]), "candidates")
     pairs = shared.select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct()
-    tried = common.staged(verified(pairs, held, similarity), "verified")
-    links = tried.where(F.col("sim") >= similarity)
+    links = common.staged(verified(pairs, held, similarity).where(F.col("sim") >= similarity), "verified")
     groups = common.staged(graph.components(links.select("u", "v")), "components")
     # Buckets that still hold several components, without their lead, whom all have met.
     wide = shared.where("members > 2").join(groups.withColumnRenamed("component", "comp0"), "id", "left").withColumn("comp0", F.coalesce("comp0", "id"))
-    mixed = wide.groupBy("bucket").agg(F.min("comp0").alias("a"), F.max("comp0").alias("b"), F.count("*").alias("k")).where("a < b").select("bucket", "k")
-    rest = common.staged(wide.join(mixed, "bucket").join(held.select(F.col("doc_id").alias("id"), "sig"), "id").select("bucket", "k", "id", "n", "comp0", "sig"), "mixed-buckets")
-    many = rest.count()
-    tasks = max(1, -(-many // TASK_ROWS))
-    for window in WINDOWS if many else ():
-        at = rest.join(groups.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        at = at.withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    mixed = wide.groupBy("bucket").agg(F.min("comp0").alias("a"), F.max("comp0").alias("b"), F.count("*").alias("k"), F.sum("n").alias("all")).where("a < b").select("bucket", "k", "all")
+    rest = common.staged(wide.join(mixed, "bucket").select("bucket", "band", "k", "all", "id", "n", "comp0"), "mixed-buckets")
+    many = rest.agg(F.count("*").alias("rows"), F.sum("n").alias("keys")).first()
+    if many["rows"]:
+        bag = F.arrow_udf(keys, "binary")
+        content = held.join(rest.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "sig", bag("text").alias("bag"))
+        tasks = max(1, -(-many["rows"] // TASK_ROWS), -(-8 * many["keys"] // TASK_BYTES))
+        blocks = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("all") * 8 / BLOCK_BYTES)).cast("int")
+        at = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(content, "id")
         at = at.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         alone = F.col("blocks") == 1
-        keys = [F.when(alone, F.pmod(F.xxhash64("bucket"), F.lit(tasks))).otherwise(F.col("bucket")).alias("t"), F.least("block", "to").alias("x"), F.greatest("block", "to").alias("y"), alone.alias("z")]
-        found = at.groupBy(*keys).applyInArrow(_compare(window, similarity), "u long, v long")
-        found = common.staged(found.distinct(), "cross-pairs")
-        fresh = common.staged(verified(found.where("u >= 0").join(tried, ["u", "v"], "left_anti"), held, similarity), "verified")
-        new = fresh.where(F.col("sim") >= similarity)
+        by = [F.when(alone, F.pmod(F.xxhash64("bucket"), F.lit(tasks))).otherwise(F.col("bucket")).alias("t"), F.least("block", "to").alias("x"), F.greatest("block", "to").alias("y"), alone.alias("z")]
+
+        def compare(table: pa.Table) -> pa.Table:
+            return _cross_links(table, similarity)
+
+        new = common.staged(at.groupBy(*by).applyInArrow(compare, "u long, v long"), "cross-links")
         if not new.isEmpty():
-            links = links.union(new)
-            groups = common.staged(graph.components(links.select("u", "v")), "components")
-        if found.where("u < 0").isEmpty():
-            break
+            groups = common.staged(graph.components(links.select("u", "v").union(new)), "components")
     grouped = reps.join(groups, "id", "left").select("k1", "k2", "n", F.coalesce("component", "id").alias("class_id"))
     out = bags.select("doc_id", "k1", "k2", "n").join(grouped, ["k1", "k2", "n"]).select("doc_id", "class_id")
     out = out.union(marks.where("n = 0").select("doc_id", "doc_id")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))

@@ -71,7 +71,7 @@ def test_near_duplicates_equal_brute_force(spark, planted):
 
 def test_near_duplicates_in_blocks(spark, planted, monkeypatch):
     monkeypatch.setattr(dedup, "BLOCK", 3)
-    monkeypatch.setattr(dedup, "WINDOWS", ((0, 1), (1, 4), (4, None)))
+    monkeypatch.setattr(dedup, "TASK_ROWS", 10)
     monkeypatch.setattr(dedup, "MOST_IDS", 0)
     got = {r.doc_id: r.class_id for r in dedup.classes(spark.createDataFrame(planted, "doc_id long, text string")).collect()}
     assert got == _brute(planted)
