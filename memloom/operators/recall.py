@@ -37,29 +37,69 @@ def gate(events: DataFrame) -> DataFrame:
     return rows.drop("pending", "candidate", "recalled")
 
 
-def assemble(messages: DataFrame, facts: DataFrame, config: Config = DEFAULT, budget: int | None = None) -> DataFrame:
-    """(session_key, continuity, facts, addition, tokens) for sessions in a gap or with a reference back, as of their last message.
+def found_facts(queries: DataFrame, facts: DataFrame, k: int) -> DataFrame:
+    """(query_id, uuid, name, fact, score, rank): the k best facts for each of queries (query_id, query)."""
+    found = search.bm25(facts.select(F.col("uuid").alias("doc_id"), F.concat_ws(" ", "name", "fact").alias("text")), queries, k)
+    return found.withColumnRenamed("doc_id", "uuid").join(facts.select("uuid", "name", "fact"), "uuid")
 
-    The continuity block comes from the transcript's tail, the facts from a search on its last characters.
+
+def fact_blocks(queries: DataFrame, facts: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(query_id, block): the facts found for each query as a tagged block; queries that find none have no row."""
+    parts = F.array_sort(F.collect_list(F.struct("rank", T.fact_line(F.col("name"), F.col("fact")).alias("line"))))
+    block = T.context_block(F.array_join(F.transform(parts, lambda x: x["line"]), "\n"), config)
+    return found_facts(queries, facts, config.recall_max_facts).groupBy("query_id").agg(block.alias("block"))
+
+
+def memory_queries(messages: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(query_id, query): the messages of each session's query window, in order, as one query."""
+    rows = M.query_window(messages, config.memory_query_messages, config.message_cap)
+    rows = rows.select("session_key", "idx", F.lit(0).alias("block"), F.col("content").alias("text"))
+    return M.joined(rows, "\n").select(F.col("session_key").alias("query_id"), F.col("text").alias("query"))
+
+
+def memory_search(messages: DataFrame, facts: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(session_key, uuid, name, fact, score, rank): the facts that fit each session's last messages."""
+    return found_facts(memory_queries(messages, config), facts, config.recall_max_facts).withColumnRenamed("query_id", "session_key")
+
+
+def due(messages: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(session_key) of sessions in a gap or whose last user text refers back."""
+    asked = M.last_user_text(messages).select("session_key", T.has_deictic(F.col("last_user_text")).alias("deictic"))
+    rows = messages.groupBy("session_key").agg(F.count("*").alias("n")).join(asked, "session_key", "left")
+    return rows.where(T.is_gap(F.col("n"), threshold=config.gap_threshold) | F.coalesce("deictic", F.lit(False))).select("session_key")
+
+
+def assemble(messages: DataFrame, facts: DataFrame, config: Config = DEFAULT, budget: int | None = None, tails: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """(session_key, continuity, facts, addition, tokens) for sessions that are due, as of their last message.
+
+    The continuity comes from tails (session_key, text), the transcripts' ends, or from the messages themselves if not
+    given; with stored episodes (as in continuity.episode_continuity) sessions without a tail take theirs. Facts are
+    searched by the continuity's last characters, or by the message window where there is none. Sessions for which
+    nothing is found have no row.
     """
-    asked = M.last_user_text(messages).select("session_key", F.coalesce(T.has_deictic(F.col("last_user_text")), F.lit(False)).alias("deictic"))
-    counts = messages.groupBy("session_key").agg(F.count("*").alias("n"))
-    due = counts.join(asked, "session_key", "left").where(T.is_gap(F.col("n"), threshold=config.gap_threshold) | F.coalesce("deictic", F.lit(False))).select("session_key")
-    tail = continuity.session_tail(messages.join(due, "session_key", "left_semi"), budget or config.continuity_budget)
+    budget = budget or config.continuity_budget
+    wanted = due(messages, config)
+    asked = messages.join(wanted, "session_key", "left_semi")
+    tail = continuity.session_tail(asked, budget) if tails is None else tails.join(wanted, "session_key", "left_semi").select("session_key", "text")
+    if stored is not None:
+        without = wanted.join(tail, "session_key", "left_anti").withColumn("thread_id", F.lit(None).cast("string"))
+        tail = tail.unionByName(continuity.episode_continuity(stored, without, budget))
     queries = tail.select(F.col("session_key").alias("query_id"), F.right("text", F.lit(config.semantic_query_chars)).alias("query"))
-    found = search.bm25(facts.select(F.col("uuid").alias("doc_id"), F.concat_ws(" ", "name", "fact").alias("text")), queries, config.recall_max_facts)
-    found = found.join(facts.select(F.col("uuid").alias("doc_id"), "name", "fact"), "doc_id")
-    parts = F.array_sort(F.collect_list(F.struct("rank", T.fact_line(F.col("name"), F.col("fact")).alias("line"))))
-    found = found.groupBy(F.col("query_id").alias("session_key")).agg(T.context_block(F.array_join(F.transform(parts, lambda x: x["line"]), "\n"), config).alias("facts"))
-    rows = tail.select("session_key", T.continuity_block(F.col("text"), config).alias("continuity")).join(found, "session_key", "left")
+    if tails is not None:
+        queries = queries.unionByName(memory_queries(asked.join(tail, "session_key", "left_anti"), config))
+    found = fact_blocks(queries, facts, config).withColumnsRenamed({"query_id": "session_key", "block": "facts"})
+    rows = tail.select("session_key", T.continuity_block(F.col("text"), config).alias("continuity"))
+    rows = rows.join(found, "session_key", "left" if tails is None else "full")
     addition = F.concat_ws("\n\n", "continuity", "facts")
     return rows.select("session_key", "continuity", "facts", addition.alias("addition"), T.tokens_estimate(addition).alias("tokens"))
 
 
 def hook_recall(prompts: DataFrame, facts: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(query_id, addition) for prompts (query_id, query) that pass the prompt gate and find facts."""
-    asked = prompts.where(T.prompt_passes(F.col("query"), config))
-    found = search.bm25(facts.select(F.col("uuid").alias("doc_id"), F.concat_ws(" ", "name", "fact").alias("text")), asked, config.recall_max_facts)
-    found = found.join(facts.select(F.col("uuid").alias("doc_id"), "name", "fact"), "doc_id")
-    parts = F.array_sort(F.collect_list(F.struct("rank", T.fact_line(F.col("name"), F.col("fact")).alias("line"))))
-    return found.groupBy("query_id").agg(T.context_block(F.array_join(F.transform(parts, lambda x: x["line"]), "\n"), config).alias("addition"))
+    return spawn_context(prompts.where(T.prompt_passes(F.col("query"), config)), facts, config)
+
+
+def spawn_context(tasks: DataFrame, facts: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(query_id, addition) for tasks (query_id, query) with a text that find facts, whether or not recall is on."""
+    asked = tasks.where(F.coalesce("query", F.lit("")) != "")
+    return fact_blocks(asked, facts, config).withColumnRenamed("block", "addition")

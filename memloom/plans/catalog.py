@@ -14,6 +14,7 @@ from memloom.functions import text as T
 from memloom.operators import capture, continuity, episodes, memory_files, recall, search
 from memloom.operators import messages as M
 from memloom.plans import relations as R
+from memloom.streaming import capture as streamed
 
 NOW, NOW_MS = "2026-07-01T00:00:00.000Z", 1_782_864_000_000
 QUERIES: dict = {}
@@ -303,6 +304,28 @@ def assemble_context(spark, sf_dir):
     return out.select("session_key", F.md5("continuity").alias("continuity"), F.md5("facts").alias("facts"), "tokens")
 
 
+_FOUND = f"SELECT query_id, '<memory-context>' || chr(10) || 'Relevant knowledge graph facts (auto-recalled):' || chr(10) || string_agg('- **' || name || '**: ' || fact, chr(10) ORDER BY rank) || chr(10) || '</memory-context>' AS addition FROM best JOIN facts ON uuid = doc_id WHERE rank <= 10 GROUP BY query_id"
+_FACT_DOCS = f"facts AS ({R.FACTS}), docs AS (SELECT uuid AS doc_id, name || ' ' || fact AS text FROM facts)"
+
+
+@_query(
+    f"{_M}, {_FACT_DOCS}, r AS (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY idx DESC) AS rn FROM messages WHERE conv_id % 50 = 0), "
+    f"queries AS (SELECT session_key AS query_id, string_agg(left(content, 200), chr(10) ORDER BY idx) AS query FROM r WHERE rn <= 3 AND role IN ('user', 'assistant') AND length(content) > 1 GROUP BY session_key), {_BM25} "
+    "SELECT query_id AS session_key, uuid, name, fact, score, rank FROM best JOIN facts ON uuid = doc_id WHERE rank <= 10"
+)
+def memory_search(spark, sf_dir):
+    """The facts that fit the last 3 messages of every 50th session."""
+    asked = R.messages(spark, sf_dir).where("conv_id % 50 = 0")
+    return recall.memory_search(asked, R.facts(spark, sf_dir), replace(DEFAULT, memory_query_messages=3, message_cap=200))
+
+
+@_query(f"WITH {_FACT_DOCS}, queries AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id % 50 = 0), {_BM25} SELECT query_id, md5(addition) AS addition FROM ({_FOUND})")
+def spawn_context(spark, sf_dir):
+    """The facts that a task, every 50th benchmark item, is given."""
+    tasks = R.table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return recall.spawn_context(tasks, R.facts(spark, sf_dir)).select("query_id", F.md5("addition").alias("addition"))
+
+
 # --- episodes and facts --------------------------------------------------------------------------------------------
 
 _OF = "CASE WHEN json_valid(source_description) AND trim(source_description) <> 'null' THEN coalesce(json_extract_string(source_description, '$.session_key') = 's7', false) ELSE coalesce(contains(source_description, 'session=s7'), false) OR coalesce(contains(name, 's7'), false) END"
@@ -397,7 +420,7 @@ def fact_intervals(spark, sf_dir):
     return episodes.intervals(R.table(spark, sf_dir, "events")).drop("user_id", "event_type")
 
 
-@_query("WITH i AS (SELECT event_id, user_id, event_type, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS valid_to FROM events), m AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS at FROM events) SELECT 'fact-' || event_id AS uuid, user_id, event_type, valid_from FROM i, m WHERE valid_from <= date_trunc('second', at) AND (valid_to IS NULL OR valid_to > date_trunc('second', at))")
+@_query("WITH i AS (SELECT event_id, user_id, event_type, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS valid_to FROM events), m AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS middle FROM events) SELECT 'fact-' || event_id AS uuid, user_id, event_type, valid_from FROM i, m WHERE valid_from <= date_trunc('second', middle) AND (valid_to IS NULL OR valid_to > date_trunc('second', middle))")
 def fact_as_of(spark, sf_dir):
     """The facts that hold in the middle of the time covered."""
     events = R.table(spark, sf_dir, "events")
@@ -405,6 +428,12 @@ def fact_as_of(spark, sf_dir):
     return episodes.as_of(episodes.intervals(events).crossJoin(F.broadcast(middle)), F.col("at")).select("uuid", "user_id", "event_type", "valid_from")  # one row
 
 
+@_query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, max(value) AS most FROM events GROUP BY ALL")
+def event_rates(spark, sf_dir):
+    """Events by hour and type, as the stream of them counts."""
+    return streamed.rates(R.table(spark, sf_dir, "events"))
+
+
 # --- memory files and the log --------------------------------------------------------------------------------------
 
 _FS = f"WITH files AS ({R.FILES_SQL}), state AS ({R.STATE}), x AS (SELECT f.*, s.last_modified AS known, lower(regexp_extract(f.path, '[^/]+?(\\.[^./]*)?$', 1)) AS ext FROM files f LEFT JOIN state s USING (path))"

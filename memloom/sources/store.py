@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -11,34 +9,86 @@ from pyspark.sql import types as S
 from memloom.config import DEFAULT, Config
 from memloom.operators import continuity, memory_files
 
-EPISODE = S.StructType().add("uuid", "string", False).add("name", "string").add("labels", "array<string>").add("created_at", "string").add("source", "string").add("source_description", "string").add("content", "string").add("valid_at", "string").add("entity_edges", "array<string>").add("group_id", "string")
+EPISODE = S.StructType().add("uuid", "string", False).add("name", "string").add("labels", S.ArrayType(S.StringType())).add("created_at", "string").add("source", "string").add("source_description", "string").add("content", "string").add("valid_at", "string").add("entity_edges", S.ArrayType(S.StringType())).add("group_id", "string")
 FACT = S.StructType().add("uuid", "string", False).add("name", "string").add("fact", "string").add("valid_at", "string").add("invalid_at", "string").add("created_at", "string").add("expired_at", "string").add("group_id", "string")
 STATE = S.StructType().add("path", "string").add("last_modified", "string").add("last_indexed", "string")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _place(spark: SparkSession, path: str) -> tuple:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _place(spark, path)
+    return files.exists(place)
 
 
 def read(spark: SparkSession, path: str, schema: S.StructType) -> DataFrame:
     """A store's rows; a missing store has none."""
-    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", False).parquet(path).select(*schema.names)
 
 
-def append_episodes(captured: DataFrame, path: str, config: Config = DEFAULT) -> None:
-    """Captured rows appended as episodes by group; the uuid follows from name and content, so a repeated write can be told."""
-    made = F.concat_ws("\x1f", "name", "timestamp", F.sha2("content", 256))
-    hexed = F.sha2(made, 256)
+def as_episodes(captured: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Captured rows as stored episodes; the uuid follows from name, time and content, so a repeated write can be told."""
+    hexed = F.sha2(F.concat_ws("\x1f", "name", "timestamp", F.sha2("content", 256)), 256)
     dashed = F.concat_ws("-", *[F.substring(hexed, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
-    rows = captured.select(dashed.alias("uuid"), "name", F.array().cast("array<string>").alias("labels"), F.col("timestamp").alias("created_at"), F.lit("message").alias("source"), "source_description", "content", F.col("timestamp").alias("valid_at"), F.array().cast("array<string>").alias("entity_edges"), F.lit(config.group).alias("group_id"))
-    rows.write.mode("append").partitionBy("group_id").parquet(path)
+    none = F.array().cast("array<string>")
+    return captured.select(dashed.alias("uuid"), "name", none.alias("labels"), F.col("timestamp").alias("created_at"), F.lit("message").alias("source"), "source_description", "content", F.col("timestamp").alias("valid_at"), none.alias("entity_edges"), F.lit(config.group).alias("group_id"))
+
+
+def append_episodes(captured: DataFrame, path: str, config: Config = DEFAULT) -> None:
+    """Captured rows appended as episodes by group."""
+    as_episodes(captured, config).write.mode("append").partitionBy("group_id").parquet(path)
+
+
+def write_batch(captured: DataFrame, path: str, number: int, config: Config = DEFAULT) -> None:
+    """The episodes of one micro-batch, in a folder of its number; a repeated batch replaces itself."""
+    as_episodes(captured, config).write.mode("overwrite").partitionBy("group_id").parquet(f"{path}/batch={number}")
+
+
+def delete_episodes(spark: SparkSession, path: str, uuids: DataFrame) -> None:
+    """The store without the episodes of uuids (uuid): written beside it, then put in its place by renames, the old one kept until the new one stands."""
+    files, place = _place(spark, path)
+    _, fresh = _place(spark, f"{path}.next")
+    _, old = _place(spark, f"{path}.old")
+    if files.exists(old) and not files.exists(place):
+        files.rename(old, place)  # an earlier deletion broke off between its renames
+    if files.exists(old):
+        files.delete(old, True)
+    if not files.exists(place):
+        return
+    rows = read(spark, path, EPISODE)
+    rows.join(uuids.select("uuid").distinct(), "uuid", "left_anti").write.mode("overwrite").partitionBy("group_id").parquet(f"{path}.next")
+    files.rename(place, old)
+    files.rename(fresh, place)
+    files.delete(old, True)
+
+
+def _snapshots(spark: SparkSession, folder: str) -> list[str]:
+    files, place = _place(spark, folder)
+    if not files.exists(place):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(place) if s.isDirectory()]
+    return sorted(n for n in names if exists(spark, f"{folder}/{n}/_SUCCESS"))
+
+
+def current(spark: SparkSession, folder: str, schema: S.StructType) -> DataFrame:
+    """The rows of the newest whole snapshot of a folder; none if there is none."""
+    found = _snapshots(spark, folder)
+    return read(spark, f"{folder}/{found[-1]}" if found else f"{folder}/none", schema)
 
 
 def replace(rows: DataFrame, folder: str) -> str:
-    """Writes a new snapshot beside the old ones and gives its path; what is being read is never overwritten."""
-    path = f"{folder}/{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    """Writes the next snapshot beside the old ones and gives its path; what is being read is never overwritten.
+
+    A snapshot counts once its success mark is there, so a failed write leaves the last one in force. One writer at a time.
+    """
+    found = _snapshots(rows.sparkSession, folder)
+    path = f"{folder}/{int(found[-1]) + 1 if found else 1:012d}"
+    rows.write.mode("overwrite").parquet(path)
     return path
 
 
@@ -47,7 +97,7 @@ def transcript(spark: SparkSession, path: str) -> DataFrame:
 
     A file's lines keep their order by position; the session key is the file's name without its ending.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("session_key"), F.posexplode(F.split("value", "\n")).alias("idx", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("session_key"), F.posexplode(F.split("value", "\n")).alias("idx", "line"))
     parsed = lines.withColumn("v", F.try_parse_json("line"))
     get = lambda p, t: F.try_variant_get("v", p, t)
     rows = parsed.where(get("$.type", "string") == "message")
@@ -77,7 +127,7 @@ def memory_folder(spark: SparkSession, folder: str, prefix: str = "memory", conf
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of text files as wholes."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
 
 
 def append_log(lines: DataFrame, path: str) -> None:
@@ -87,7 +137,7 @@ def append_log(lines: DataFrame, path: str) -> None:
 
 def tail_log(spark: SparkSession, path: str, n: int = 100) -> DataFrame:
     """(line): the n last lines by their leading time stamp; none if there is no log."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], "line string")
     return spark.read.text(path).select(F.col("value").alias("line")).where("line != ''").orderBy(F.desc("line")).limit(n)
 
