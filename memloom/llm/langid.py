@@ -29,6 +29,8 @@ BUCKETS = 1 << 15
 MAX_TRAIN = 20_000
 #: A text counts as so many grams at most when scores are turned into a probability.
 EVIDENCE = 64.0
+#: Bytes of text whose grams are made at a time, each of which takes about a hundred bytes; a longer text stands alone.
+SLICE = 1 << 19
 _LETTER = re.compile(r"[^\W\d_]")
 _KIND = None
 
@@ -97,7 +99,7 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", SLICE):
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
             row, bucket = grams(texts)
             names = sorted(set(langs))
@@ -128,7 +130,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def judged(text: pa.Array) -> pa.Array:
         langs, scores = [], [np.zeros(0)]
-        for b in common.slices([pa.record_batch({"text": text})], "text"):
+        for b in common.slices([pa.record_batch({"text": text})], "text", SLICE):
             found, score = shared.value.predict([t or "" for t in b.column("text").to_pylist()])
             langs += found
             scores.append(score)
