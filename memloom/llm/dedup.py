@@ -40,7 +40,7 @@ BANDS, ROWS = 32, 6
 HASHES = BANDS * ROWS
 AGREE = 0.68
 #: Bytes of text that are hashed at a time; a longer text stands alone.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Ids of candidates are broadcast up to so many and joined by shuffle beyond.
 MOST_IDS = 1_000_000
 #: Members of a block of a bucket, and rows of a task; bytes of their bags, as a mean.

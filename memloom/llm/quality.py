@@ -23,6 +23,8 @@ from memloom.llm import common
 
 #: At most about so many labelled rows fit the trees (a hash of the id draws them).
 MAX_TRAIN = 20_000
+#: Bytes of text whose statistics are made at a time, each of which takes some tens of bytes; a longer text stands alone.
+SLICE = 1 << 19
 TREES, DEPTH, BINS, RATE, RIDGE, LEAST = 80, 4, 64, 0.15, 1.0, 5
 
 _CLASSES = ("upper", "lower", "digit", "space", "newline", "bang", "bar", "symbol", "stop", "punct", "high", "other")
@@ -161,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tre
 
     @F.arrow_udf("array<double>")
     def stats(text: pa.Array) -> pa.Array:
-        parts = [statistics(b.column("text")) for b in common.slices([pa.record_batch({"text": text})], "text")]
+        parts = [statistics(b.column("text")) for b in common.slices([pa.record_batch({"text": text})], "text", SLICE)]
         rows = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
         return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * len(FEATURES), rows.ravel())
 
@@ -176,7 +178,7 @@ def score(docs: DataFrame, trees: Trees) -> DataFrame:
 
     @F.arrow_udf("double")
     def scored(text: pa.Array) -> pa.Array:
-        parts = [shared.value.score(statistics(b.column("text"))) for b in common.slices([pa.record_batch({"text": text})], "text")]
+        parts = [shared.value.score(statistics(b.column("text"))) for b in common.slices([pa.record_batch({"text": text})], "text", SLICE)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     return docs.withColumn("score", scored("text"))
