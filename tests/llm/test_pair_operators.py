@@ -136,6 +136,18 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     assert sum(got[i][1] == want[i][1] for i in got) >= 0.99 * len(got)
 
 
+def test_embeddings_hot_group_over_many_lists(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=64) / 8
+    rows = list(enumerate([(centre + rng.normal(size=64) * 0.0265).tolist() for _ in range(800)] + rng.normal(size=(1600, 64)).tolist()))
+    monkeypatch.setattr(embeddings, "PER_LIST", 8)  # 300 lists, about a hundred of them in the group
+    monkeypatch.setattr(embeddings, "BLOCK", 300)
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(docs).collect()}
+    want = _brute_vectors(rows)
+    assert sum(n for n, _ in want.values()) > 300_000 and got == want
+
+
 def test_embeddings_query_recall(spark):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
     want = _brute_vectors(rows)
