@@ -6,7 +6,10 @@ the base rule form a vector; for each language and source the minimum covariance
 determinant estimate is found by concentration steps: a robust start (median and
 spread), then, again and again, mean and covariance of the three quarters of the
 documents nearest by Mahalanobis distance. A document is rejected where its
-distance under the last estimate is beyond CUTOFF.
+distance under the last estimate is beyond CUTOFF. Groups of fewer than LEAST_GROUP
+passing documents are judged by the estimate from all passing documents of their
+language, or where those are too few from all there are; so every document that
+passes the base rule is judged.
 
 A concentration step is one aggregation: sums and products are gathered by
 group and distance bin, the bins below the quantile are added up. Bins make the
@@ -15,9 +18,9 @@ short row a group; they are broadcast while there are at most MOST_GROUPS groups
 and joined by shuffle beyond.
 
 Defined cases: a null text has no words and fails the base rule; null lang or
-source count as empty names; groups of fewer than LEAST_GROUP passing documents
-reject none; constant statistics keep a floor of variance, so nothing is divided
-by zero; repeated rows are each counted and judged; extra columns stay unread.
+source count as empty names; constant statistics keep a floor of variance, so
+nothing is divided by zero; repeated rows are each counted and judged; extra columns
+stay unread.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ SHARE, CONSISTENT = 0.75, 1.485
 #: Squared distance beyond which a document goes: chi2_4 at about 1 - 1e-9, for tails heavier than normal ones.
 CUTOFF = 50.0
 STEPS, BIN_STEP, LEAST_GROUP, MOST_GROUPS = 4, 0.05, 25, 20_000
+#: What an estimate is made of: a group (level 2), a language (1, no source) or all documents (0, neither).
+POOL = ("level", "pool_lang", "pool_source")
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -94,48 +99,62 @@ def _factor(estimate: DataFrame) -> DataFrame:
         out = out.withColumn(f"w{i}{i}", 1.0 / F.col(f"l{i}{i}"))
         for j in range(i - 1, -1, -1):
             out = out.withColumn(f"w{i}{j}", -sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l{i}{i}"))
-    return out.select("lang", "source", "n_group", *[f"m_{n}" for n in NAMES], *[f"w{i}{j}" for i in range(4) for j in range(i + 1)])
+    return out.select(*POOL, "n_group", *[f"m_{n}" for n in NAMES], *[f"w{i}{j}" for i in range(4) for j in range(i + 1)])
 
 
 def _start(rows: DataFrame) -> DataFrame:
-    """Median and spread of each statistic by group."""
+    """Median and spread of each statistic by pool."""
     quart = lambda n: F.percentile_approx(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(2000)).alias(f"q_{n}")
-    out = rows.groupBy("lang", "source").agg(F.count("*").alias("n_group"), *[quart(n) for n in NAMES])
+    out = rows.groupBy(*POOL).agg(F.count("*").alias("n_group"), *[quart(n) for n in NAMES])
     zero = {f"c{i}{j}": F.lit(0.0) for i in range(4) for j in range(i)}
     spread = {f"c{i}{i}": F.pow((F.get(F.col(f"q_{n}"), F.lit(2)) - F.get(F.col(f"q_{n}"), F.lit(0))) / 1.349, F.lit(2.0)) + FLOOR[i] for i, n in enumerate(NAMES)}
     return _factor(out.withColumns({f"m_{n}": F.get(F.col(f"q_{n}"), F.lit(1)) for n in NAMES} | zero | spread))
 
 
 def _concentrate(rows: DataFrame, joined) -> DataFrame:
-    """Mean and covariance of the nearest SHARE of each group, by the distances under the estimate that joined() adds."""
+    """Mean and covariance of the nearest SHARE of each pool, by the distances under the estimate that joined() adds."""
     binned = joined(rows).withColumn("bin", F.floor(F.log1p(_distance()) / BIN_STEP))
     sums = [F.sum(n).alias(f"s_{n}") for n in NAMES]
     products = [F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"p{i}{j}") for i in range(4) for j in range(i + 1)]
-    bins = binned.groupBy("lang", "source", "bin").agg(F.count("*").alias("n"), *sums, *products)
-    group = Window.partitionBy("lang", "source")
+    bins = binned.groupBy(*POOL, "bin").agg(F.count("*").alias("n"), *sums, *products)
+    group = Window.partitionBy(*POOL)
     below = F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
     bins = bins.withColumn("n_group", F.sum("n").over(group)).withColumn("below", F.coalesce(below, F.lit(0))).where(F.col("below") < F.col("n_group") * SHARE)
     names = [f"s_{n}" for n in NAMES] + [f"p{i}{j}" for i in range(4) for j in range(i + 1)]
-    out = bins.groupBy("lang", "source", "n_group").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names])
+    out = bins.groupBy(*POOL, "n_group").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names])
     out = out.withColumns({f"m_{n}": F.col(f"s_{n}") / F.col("n") for n in NAMES})
     cov = {f"c{i}{j}": (F.col(f"p{i}{j}") / F.col("n") - F.col(f"m_{NAMES[i]}") * F.col(f"m_{NAMES[j]}")) * CONSISTENT + (FLOOR[i] if i == j else 0.0) for i in range(4) for j in range(i + 1)}
     return _factor(out.withColumns(cov))
 
 
+def _pools(passed: DataFrame) -> DataFrame:
+    """(lang, source, pool, feeds): the pool that judges each group, and the pools in use that its documents are counted in."""
+    sizes = passed.groupBy("lang", "source").agg(F.count("*").alias("_n"))
+    langs = sizes.groupBy("lang").agg(F.sum("_n").alias("_n_lang"), F.min("_n").alias("_least"))
+    every = langs.agg(F.min("_n_lang").alias("_least_lang"))
+    pool = lambda level, lang, source: F.struct(F.lit(level).alias(POOL[0]), lang.alias(POOL[1]), source.alias(POOL[2]))
+    own, tongue, whole = pool(2, F.col("lang"), F.col("source")), pool(1, F.col("lang"), F.lit("")), pool(0, F.lit(""), F.lit(""))
+    large, spoken = F.col("_n") >= LEAST_GROUP, F.col("_n_lang") >= LEAST_GROUP
+    feeds = F.array(F.when(large, own), F.when(spoken & (F.col("_least") < LEAST_GROUP), tongue), F.when(F.col("_least_lang") < LEAST_GROUP, whole))
+    rows = sizes.join(langs, "lang").crossJoin(F.broadcast(every))
+    return rows.select("lang", "source", F.when(large, own).when(spoken, tongue).otherwise(whole).alias("pool"), F.array_compact(feeds).alias("feeds"))
+
+
 def outliers(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """stats (staged) with base_failed, distance (null where the base rule fails or the group is small) and kept."""
+    """stats (staged) with base_failed, distance (null where the base rule fails) and kept."""
     rows = stats.withColumns({c: F.coalesce(c, F.lit("")) for c in ("lang", "source")})
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     rows = _vector(rows.withColumn("base_failed", failed))
     passed = rows.where("not base_failed")
-    few = passed.select("lang", "source").distinct().count() <= MOST_GROUPS
+    pools = common.staged(_pools(passed), "pools")
+    few = pools.count() <= MOST_GROUPS
     side = F.broadcast if few else (lambda x: x)
-    estimate = _start(passed)
+    counted = passed.join(side(pools), ["lang", "source"]).select(F.explode("feeds").alias("_pool"), *NAMES).select("_pool.*", *NAMES)
+    estimate = _start(counted)
     for _ in range(STEPS):
-        estimate = _concentrate(passed, lambda r, e=estimate: r.join(side(e), ["lang", "source"]))
-    judged = rows.join(side(estimate), ["lang", "source"], "left")
-    known = ~F.col("base_failed") & (F.col("n_group") >= LEAST_GROUP)
-    judged = judged.withColumn("distance", F.when(known, _distance()))
+        estimate = _concentrate(counted, lambda r, e=estimate: r.join(side(e), list(POOL)))
+    judged = rows.join(side(pools.select("lang", "source", "pool.*")), ["lang", "source"], "left").join(side(estimate), list(POOL), "left")
+    judged = judged.withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
 
 

@@ -216,6 +216,24 @@ def test_outliers_match_numpy_and_find_junk(spark):
     assert all(got[i].kept == (i % 20 != 0) for i in range(400))
 
 
+def test_outliers_of_small_groups(spark):
+    rnd = random.Random(3)
+    rows = []
+    for i in range(160):  # 3 documents a source; en has 117, de 40, fr 3; source big has 40
+        words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) for _ in range(rnd.randint(30, 300))]
+        if i % 20 == 1:
+            words = [w + "$$$" for w in words]
+        lang, source = ("fr", "few") if i < 3 else ("de", "big") if i < 43 else ("en", f"s{i // 3}")
+        rows.append((i, " ".join(words), lang, source, 1, "", "", ""))
+    stats = common.staged(rules.statistics(spark.createDataFrame(rows, SCHEMA)), "t")
+    got = {r.doc_id: r for r in rules.outliers(stats).collect()}
+    assert len(got) == 160 and all(got[i].kept == (i % 20 != 1) for i in range(160))
+    x = np.array([[getattr(got[i], n) for n in rules.NAMES] for i in range(160)])
+    assert np.allclose([got[i].distance for i in range(3)], _robust(x)[:3], rtol=1e-6)
+    assert np.allclose([got[i].distance for i in range(3, 43)], _robust(x[3:43]), rtol=1e-6)
+    assert np.allclose([got[i].distance for i in range(43, 160)], _robust(x[43:]), rtol=1e-6)
+
+
 def test_rules_keep_clean_documents(spark):
     kept = rules.op6_rules(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("not base_failed")
     good, bad = (kept.where(f"quality = {q}").agg(F.avg(F.col("kept").cast("int"))).first()[0] for q in (1, 0))
