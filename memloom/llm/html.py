@@ -6,7 +6,9 @@ many pages of its host, with different main texts, is that site's template and i
 deleted, as are menus, headers, footers, sidebars, notices, adverts, forms, reader
 comments and the like known by their element, class, id or role. Subtrees in or
 around an article element are never template, so copies of an article keep it.
-Where a page has article or main elements only these are its text.
+Where a page has article or main elements only these are its text. A class or id
+never drops the element around main; it drops the one around an article only where
+the page has another main text outside (as beside a list of related articles).
 
 Counts: distinct (host, page text, hash) rows, then partial sums; a host whose
 pages are a third of all is no single task. The list of a host's recurring hashes
@@ -65,7 +67,9 @@ class Page:
     """The element tree of a page: for each node its parent, subtree hash and kind; the texts by block."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.out, self.main, self.parts = ["#root"], [-1], [False], [False], [[]]
+        self.tags, self.parents, self.parts = ["#root"], [-1], [[]]
+        #: Never main text; by its words unless it holds the main text; as the page's head unless it stands in main; 1 for an article, 2 for main.
+        self.never, self.worded, self.headed, self.kind = [False], [False], [False], [0]
         self.names: list[str] = [""]
         self.blocks: list[list[tuple[str, int]]] = [[]]
         self.open = [0]
@@ -90,6 +94,7 @@ class Page:
                 at = close.start() if close else len(source)
         while len(self.open) > 1:
             self._close()
+        self._judge()
         self.hashes = [0] * len(self.tags)
         for i in range(len(self.tags) - 1, 0, -1):  # children come after their parents
             kept = [p if isinstance(p, str) else f"\x01{self.hashes[p]}" for p in self.parts[i]]
@@ -102,7 +107,7 @@ class Page:
         node = self.open[-1]
         if stripped := " ".join(text.split()):
             self.parts[node].append(stripped)
-        if not self.out[node]:
+        if not self.never[node]:
             self.blocks[-1].append((text, node))
 
     def _break(self) -> None:
@@ -115,7 +120,7 @@ class Page:
             self._break()
         if name in _SIBLINGS:
             self._pop(*_SIBLINGS[name])
-        if name == "br" and not self.out[self.open[-1]]:
+        if name == "br" and not self.never[self.open[-1]]:
             self.blocks[-1].append((" ", self.open[-1]))
         if name in _VOID:
             return
@@ -124,18 +129,17 @@ class Page:
             for key, *value in _ATTRIBUTE.findall(rest):
                 marks[key.lower()] = "".join(value).lower()
         words = set(_WORD.findall(f"{marks.get('class', '')} {marks.get('id', '')}")) if marks else frozenset()
-        inside = self.main[parent]
-        out = self.out[parent] or name in _OUT or marks.get("role") in _OUT_ROLES
-        if not out and name not in ("html", "body", "main"):
-            if name == "article":
-                out = bool(words & {"comment", "comments", "reply"})
-            else:
-                out = bool(words & _OUT_WORDS) or not inside and (name == "header" or bool(words & _HEAD))
+        never = self.never[parent] or name in _OUT or marks.get("role") in _OUT_ROLES
+        if name == "article":
+            never = never or bool(words & {"comment", "comments", "reply"})
+        plain = name in ("html", "body", "main", "article")
         node = len(self.tags)
         self.tags.append(name)
         self.parents.append(parent)
-        self.out.append(out)
-        self.main.append(not out and (inside or name in ("article", "main") or marks.get("role") == "main"))
+        self.never.append(never)
+        self.worded.append(not plain and bool(words & _OUT_WORDS))
+        self.headed.append(not plain and (name == "header" or bool(words & _HEAD)))
+        self.kind.append(0 if never else 2 if name == "main" or marks.get("role") == "main" else int(name == "article"))
         self.names.append(f"{name} {marks.get('class', '')}")
         self.parts.append([])
         self.parts[parent].append(node)
@@ -165,6 +169,22 @@ class Page:
             if name not in _BLOCK and tag in _BLOCK:
                 return  # the end of an inline element doesn't close blocks
 
+    def _judge(self) -> None:
+        """Sets out and main of each node."""
+        holds = list(self.kind)
+        for i in range(len(self.tags) - 1, 0, -1):
+            holds[self.parents[i]] = max(holds[self.parents[i]], holds[i])
+        for least in (2, 1):
+            self.out, self.main = [False], [False]
+            for i in range(1, len(self.tags)):
+                inside = self.main[self.parents[i]]
+                marked = holds[i] < least and (self.worded[i] or self.headed[i] and not inside)
+                out = self.never[i] or self.out[self.parents[i]] or marked
+                self.out.append(out)
+                self.main.append(not out and (inside or self.kind[i] > 0))
+            if not holds[0] or any(self.main):
+                break
+
     def text(self, template: frozenset[int] | set[int] = frozenset()) -> str:
         """The main text without the subtrees whose hash is in template."""
         only, gone = any(self.main), [False] * len(self.tags)
@@ -176,7 +196,7 @@ class Page:
                 gone[i] = gone[self.parents[i]] or (not holds[i] and self.hashes[i] in template)
         blocks = []
         for block in self.blocks:
-            if words := "".join(t for t, node in block if not gone[node] and (self.main[node] or not only)).split():
+            if words := "".join(t for t, node in block if not gone[node] and not self.out[node] and (self.main[node] or not only)).split():
                 blocks.append(" ".join(words))
         return "\n".join(blocks)
 

@@ -176,6 +176,14 @@ def test_main_text():
     assert html.Page("plain &lt; simple").text() == "plain < simple"
 
 
+def test_layout_words_keep_the_article():
+    article = "<article><header>T</header><p>a</p><div class='share'>no</div></article>"
+    for wrapper in ("<div class='content has-sidebar'>%s</div>", "<div id='page-with-comments'><div class='widget'>%s</div></div>", "<div class=social><main>%s</main></div>", "<div role=main class='no-footer'>%s</div>"):
+        assert html.Page("<body><nav>no</nav>" + wrapper % article + "<footer>no</footer>").text() == "T\na"
+    assert html.Page(article + "<div class='related'><article>other</article></div><section id=comments><article class=comment>no</article></section>").text() == "T\na"
+    assert html.Page("<p>x</p><section id=comments><article class=comment>no</article></section>").text() == "x"
+
+
 def test_templates_are_removed_by_host(spark):
     rows = [(i, f"http://a.org/{i}", f"<body><div><p>Menu of the site</p></div><div><p>Own text number {i}.</p></div><div>Imprint</div></body>") for i in range(8)]
     rows += [(20 + i, "http://b.org/", f"<body><div><p>Menu of the site</p></div><p>Text {i}</p></body>") for i in range(2)]
