@@ -59,7 +59,7 @@ FROM files WHERE size % 2 = 0
 """
 
 FACTS = """
-SELECT 'fact-' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS uuid, upper(role) AS name, left(text, 200) AS fact,
+SELECT 'fact-' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS uuid, upper(role) AS name, text AS fact,
   CASE WHEN turn % 3 = 0 THEN NULL ELSE '2026-01-01T00:00:00Z' END AS valid_at,
   CASE WHEN turn % 4 = 1 THEN '2026-06-01T00:00:00Z' ELSE NULL END AS invalid_at,
   CASE WHEN conv_id % 5 = 0 THEN 'other' ELSE 'core' END AS group_id

@@ -210,3 +210,11 @@ def test_next_state_replaces(spark):
     state = spark.createDataFrame([("a.md", "1", "0"), ("b.md", "1", "0"), ("gone.md", "1", "0")], store.STATE)
     got = {tuple(r) for r in memory_files.next_state(memory_files.classify(files, state), state, NOW).collect()}
     assert got == {("a.md", "2", NOW), ("b.md", "1", "0"), ("gone.md", "1", "0")}
+
+
+def test_facts_hold_the_whole_text(spark, sf_dir):
+    from memloom.plans import relations
+
+    texts = {f"fact-{r.conv_id}-{r.turn}": r.text for r in relations.table(spark, sf_dir, "conversations").collect()}
+    got = {r.uuid: r.fact for r in relations.facts(spark, sf_dir).collect()}
+    assert got == texts and max(map(len, texts.values())) > 200
