@@ -3,18 +3,21 @@
 A text is cut by the published pattern; pieces that are tokens as a whole are
 looked up. All other pieces that a worker hasn't met become token-position rows
 of a DuckDB table. A recursive query joins neighbouring rows with the merge table
-(left id, right id -> merged id) and contracts, in each round, every word's
-leftmost pair of least rank, until no pair is left. Decoding joins ids with the
-vocabulary and aggregates the bytes in order of position.
+(left id, right id -> merged id) and contracts every word's leftmost pair of least
+rank, until no pair is left. It keeps the current rows only, not those of earlier
+rounds. Decoding joins ids with the vocabulary and aggregates the bytes in order
+of position.
 
 The merge table has the size of the vocabulary, whatever the corpus. What a worker
 remembers (chunks and pieces with their ids) is bounded by CACHE; it saves work
 and changes no result.
 
-Words longer than LONG bytes contract all places of their least pair in a round
-(from the left, without overlap). For rank files in which a token's parts have
-lower ranks than itself, as all trained ones, that is the same result, in as many
-rounds as a word has different merges.
+One round contracts all places of a word's least pair, from the left and without
+overlap. That equals one place after another wherever a contraction gives no pair of
+lower rank, which holds if every token comes from its own bytes by contractions of
+ranks up to its own: neighbours that could be joined at a lower rank would have been
+joined before. `ordered` checks this for the rank file, token by token; for a file
+that fails it the query contracts one place in a round, for all words.
 
 Defined cases: a null text is encoded as an empty one, to no ids; repeated rows
 are encoded alike; null or empty ids decode to empty bytes; an unknown id is an
@@ -24,7 +27,9 @@ error. Columns of the input stay; clashing `ids` or `decoded` are replaced.
 from __future__ import annotations
 
 import base64
+import functools
 import re
+import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -35,36 +40,41 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from memloom.llm import common
 
-CACHE, LONG, WORDS = 400_000, 128, 50_000
+CACHE = 400_000
+#: Words, and bytes of them, in one recursive query (a longer word stands alone).
+WORDS, WORD_BYTES = 50_000, 1 << 19
 #: Texts of these characters with single spaces and line ends only, whose chunks can be cut one by one.
 _PLAIN = re.compile(r"[\n -~¡-ɏ]*\Z")
-_CODERS: dict[tuple[str, str], Coder] = {}
 
+#: All places of the least pair at once, from the left and without overlap. `r` numbers the rounds, so that every row of an unfinished word is new to the next.
 _MERGE = """
-WITH RECURSIVE step(w, p, id, next_p, next_id, done) AS (
-  SELECT w, p, id, next_p, next_id, false FROM pos
-  UNION ALL (
-    WITH pair AS MATERIALIZED (SELECT s.w, s.p, s.id, s.next_p, s.next_id, m.merged::BIGINT * 4294967296 + s.p AS k FROM (SELECT * FROM step WHERE NOT done) s LEFT JOIN merges m ON s.id = m.left_id AND s.next_id = m.right_id),
+WITH RECURSIVE step(w, p, id, next_p, next_id, r, done) USING KEY (w, p) AS (
+  SELECT w, p, id, next_p, next_id, 0, false FROM pos
+  UNION (
+    WITH pair AS MATERIALIZED (SELECT s.w, s.p, s.id, s.next_p, s.next_id, s.r, m.merged FROM (SELECT * FROM step WHERE NOT done) s LEFT JOIN merges m ON s.id = m.left_id AND s.next_id = m.right_id),
+    best AS (SELECT w, min(merged) AS k FROM pair GROUP BY w),
+    site AS (SELECT w, p, next_p, k, row_number() OVER run AS n, lag(next_p) OVER run IS DISTINCT FROM p AS fresh FROM pair JOIN best USING (w) WHERE merged = k WINDOW run AS (PARTITION BY w ORDER BY p)),
+    taken AS MATERIALIZED (SELECT w, p, next_p AS gone, k FROM (SELECT *, max(CASE WHEN fresh THEN n END) OVER (PARTITION BY w ORDER BY p) AS since FROM site) WHERE (n - since) % 2 = 0),
+    moved AS (
+      SELECT a.w, a.p, a.r + 1 AS r, coalesce(t.k, a.id) AS id, CASE WHEN t.k IS NULL THEN a.next_p ELSE g.next_p END AS next_p, CASE WHEN t.k IS NULL THEN a.next_id ELSE g.next_id END AS next_id
+      FROM pair a LEFT JOIN taken t ON a.w = t.w AND a.p = t.p LEFT JOIN pair g ON g.w = t.w AND g.p = t.gone WHERE NOT EXISTS (FROM taken d WHERE d.w = a.w AND d.gone = a.p)
+    )
+    SELECT m.w, m.p, m.id, m.next_p, coalesce(n.k, m.next_id), m.r, b.k IS NULL FROM moved m JOIN best b ON b.w = m.w LEFT JOIN taken n ON n.w = m.w AND n.p = m.next_p
+  )
+) SELECT w, id FROM step WHERE done ORDER BY w, p"""
+#: One place in a round, for rank files that are not ordered.
+_MERGE_ONE = """
+WITH RECURSIVE step(w, p, id, next_p, next_id, r, done) USING KEY (w, p) AS (
+  SELECT w, p, id, next_p, next_id, 0, false FROM pos
+  UNION (
+    WITH pair AS MATERIALIZED (SELECT s.w, s.p, s.id, s.next_p, s.next_id, s.r, m.merged::BIGINT * 4294967296 + s.p AS k FROM (SELECT * FROM step WHERE NOT done) s LEFT JOIN merges m ON s.id = m.left_id AND s.next_id = m.right_id),
     best AS (SELECT w, min(k) AS k, arg_min(next_p, k) AS gone FROM pair GROUP BY w),
     hit AS MATERIALIZED (SELECT b.w, (b.k >> 32)::INT AS merged, (b.k & 4294967295)::INT AS p, b.gone, g.next_p, g.next_id FROM best b LEFT JOIN pair g ON g.w = b.w AND g.p = b.gone)
     SELECT a.w, a.p, CASE WHEN a.p = h.p THEN h.merged ELSE a.id END, CASE WHEN a.p = h.p THEN h.next_p ELSE a.next_p END,
-      CASE WHEN a.p = h.p THEN h.next_id WHEN a.next_p = h.p THEN h.merged ELSE a.next_id END, h.p IS NULL
+      CASE WHEN a.p = h.p THEN h.next_id WHEN a.next_p = h.p THEN h.merged ELSE a.next_id END, a.r + 1, h.p IS NULL
     FROM pair a JOIN hit h ON a.w = h.w WHERE a.p IS DISTINCT FROM h.gone
   )
 ) SELECT w, id FROM step WHERE done ORDER BY w, p"""
-_MERGE_LONG = """
-WITH RECURSIVE step(w, p, id, next_id, done) AS (
-  SELECT w, p, id, lead(id) OVER (PARTITION BY w ORDER BY p), false FROM pos
-  UNION ALL (
-    WITH pair AS (SELECT s.w, s.p, s.id, m.merged FROM (SELECT * FROM step WHERE NOT done) s LEFT JOIN merges m ON s.id = m.left_id AND s.next_id = m.right_id),
-    best AS (SELECT w, min(merged) AS k FROM pair GROUP BY w),
-    hit AS (SELECT w, p, id, k, coalesce(merged = k, false) AS h, row_number() OVER (PARTITION BY w ORDER BY p) AS n FROM pair JOIN best USING (w)),
-    run AS (SELECT *, n - row_number() OVER (PARTITION BY w, h ORDER BY p) AS run FROM hit),
-    put AS (SELECT w, p, id, k, h AND row_number() OVER (PARTITION BY w, h, run ORDER BY p) % 2 = 1 AS h FROM run),
-    left_over AS (SELECT w, p, k, CASE WHEN h THEN k ELSE id END AS id, lag(h, 1, false) OVER (PARTITION BY w ORDER BY p) AS gone FROM put)
-    SELECT w, p, id, lead(id) OVER (PARTITION BY w ORDER BY p), k IS NULL FROM left_over WHERE NOT gone
-  )
-) SELECT w, id FROM step WHERE done ORDER BY w, p"""
 _DECODE = "SELECT d, list(token ORDER BY p) AS tokens FROM (SELECT pos.d, pos.p, coalesce(v.token, error('unknown id')) AS token FROM pos LEFT JOIN vocabulary v USING (id)) GROUP BY d ORDER BY d"
 
 
@@ -80,17 +90,33 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
     return pa.table({"left_id": pa.array(left, pa.int32()), "right_id": pa.array(right, pa.int32()), "merged": pa.array(merged, pa.int32())})
 
 
+@functools.cache
+def ordered(path: str) -> bool:
+    """Whether every token comes from its own bytes by contractions of ranks up to its own."""
+    ranks = read_ranks(path)
+    for token, rank in ranks.items():
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 1:
+            least, at = min((ranks.get(a + b, len(ranks)), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if least > rank:
+                return False
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return True
+
+
 class Coder:
     """One worker's DuckDB with the merge table and the vocabulary."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, at_once: bool = True):
         import duckdb
         import regex
 
         self.ranks = read_ranks(path)
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.cut = regex.compile(pattern).findall
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.query = _MERGE if at_once else _MERGE_ONE
+        self.spill = tempfile.TemporaryDirectory()  # for one query over a word of many megabytes; gone with the worker's state
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": self.spill.name})
         for name, rows in (("merges", merge_table(self.ranks)), ("vocabulary", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "token": pa.array(self.ranks.keys(), pa.binary())}))):
             self.db.register("given", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -98,12 +124,11 @@ class Coder:
         self.pieces, self.first, self.later = (common.Remembered(CACHE) for _ in range(3))
 
     @staticmethod
-    def of(path: str, pattern: str) -> Coder:
-        if (path, pattern) not in _CODERS:
-            _CODERS[path, pattern] = Coder(path, pattern)
-        return _CODERS[path, pattern]
+    def of(path: str, pattern: str, at_once: bool = True) -> Coder:
+        return common.held(("bpe", path, pattern, at_once), lambda: Coder(path, pattern, at_once))
 
-    def _merge(self, words: list[bytes], query: str) -> list[bytes]:
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word (not empty) from its single bytes on."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.frombuffer(b"".join(words), np.uint8)
         at = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
@@ -111,24 +136,26 @@ class Coder:
         last[np.cumsum(sizes) - 1] = True
         w = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         self.db.register("pos", pa.table({"w": w, "p": at, "id": ids, "next_p": pa.array(at + 1, mask=last), "next_id": pa.array(np.roll(ids, -1), mask=last)}))
-        found = self.db.sql(query).to_arrow_table()
+        found = self.db.sql(self.query).to_arrow_table()
         ids = found["id"].to_numpy().astype("<u4").tobytes()
         ends = 4 * np.searchsorted(found["w"].to_numpy(), np.arange(1, len(words) + 1))
         return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def learn(self, pieces: set[str]) -> None:
         """Adds the ids of pieces that aren't known yet."""
-        short, long, known = [], [], self.pieces.of
+        new, sizes, known = [], [], self.pieces.of
         for piece in self.pieces.missing(pieces):
             word = piece.encode()
             if (whole := self.ranks.get(word)) is not None:
                 known[piece] = whole.to_bytes(4, "little")
             else:
-                (long if len(word) > LONG else short).append((piece, word))
-        for rows, query in ((short, _MERGE), (long, _MERGE_LONG)):
-            for a in range(0, len(rows), WORDS):
-                some = rows[a : a + WORDS]
-                known.update(zip([p for p, _ in some], self._merge([w for _, w in some], query), strict=True))
+                new.append((piece, word))
+                sizes.append(len(word))
+        bins = np.maximum(np.cumsum(np.array(sizes, np.int64)) // WORD_BYTES, np.arange(len(new)) // WORDS)
+        cuts = [0, *(np.flatnonzero(np.diff(bins)) + 1).tolist(), len(new)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                known.update(zip([p for p, _ in new[a:b]], self.merge([w for _, w in new[a:b]]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         for kept in (self.pieces, self.first, self.later):
@@ -177,10 +204,10 @@ class Coder:
 
 def _mapped(rows: DataFrame, source: str, path: str, pattern: str, steps: tuple[str, ...]) -> DataFrame:
     """rows with the columns that steps name (ids, decoded), made batch by batch in one worker."""
-    rows = rows.drop(*steps)
+    rows, at_once = rows.drop(*steps), ordered(path)
 
     def work(batches):
-        coder = Coder.of(path, pattern)
+        coder = Coder.of(path, pattern, at_once)
         for batch in common.slices(batches, source, 4 << 20):
             columns, names = list(batch.columns), list(batch.schema.names)
             given = batch.column(source).to_pylist()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -11,13 +12,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
+#: Bytes of an Arrow batch to a Python worker, unless the session names its own: 10,000 long rows would be too much.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; also lets Python workers started elsewhere find this package."""
+    """A driver table; also lets Python workers started elsewhere find this package, and bounds the Arrow batches they get by bytes."""
     env = spark.sparkContext.environment
+    if spark.sparkContext.getConf().get(ARROW_BYTES) is None:
+        spark.conf.set(ARROW_BYTES, str(4 << 20))
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep) and ROOT not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH")]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,6 +45,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key that a join may put into one task, and hot keys at most, whose list is broadcast; beyond, the rows a key may have grow.
+HOT_ROWS, MOST_HOT = 1000, 20_000
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """left (many rows a key) joined with right (one row a key); keys with many rows of left are split over salted copies of right's row.
+
+    counts: (keys, n), the rows of left by key, cheap to read. by: columns of left that tell its rows of a key apart.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    most = max(HOT_ROWS, total // MOST_HOT)
+    hot = counts.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("_salts"))
+    found = hot.collect()  # at most MOST_HOT rows
+    if not found:
+        return left.join(right, keys, how)
+    side = F.broadcast(left.sparkSession.createDataFrame(found, hot.schema))
+    salt = F.coalesce(F.pmod(F.xxhash64(*by), F.col("_salts")), F.lit(0)).cast("int")
+    many = left.join(side, keys, "left").withColumn("_salt", salt).drop("_salts")
+    copies = right.join(side, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return many.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string column, nulls as empty texts; text i is bytes[offsets[i]:offsets[i + 1]]."""
     if isinstance(column, pa.ChunkedArray):
@@ -70,7 +98,18 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 _ODD = 0x9E3779B97F4A7C15 | 1
 _TABLE = None
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_POWERS: list[np.ndarray] = []
+_HELD: list = [None, None]
+
+
+def held(key: tuple | None, make=lambda: None):
+    """What a worker keeps between tasks, made once: the state of one operator at a time, so that of another is let go first."""
+    if _HELD[0] != key:
+        _HELD[:] = [None, None]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _HELD[:] = [key, make()]
+    return _HELD[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -86,12 +125,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_ODD and its inverse to the powers 0..n, modulo 2**64."""
-    if len(_POWERS[0]) <= n:
-        size = max(n + 1, 1 << 20)
-        for k, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
-            out = np.full(size, np.uint64(base), np.uint64)
-            out[0] = 1
-            _POWERS[k] = np.multiply.accumulate(out)
+
+    def to(size: int) -> list[np.ndarray]:
+        both = [np.full(size, np.uint64(base), np.uint64) for base in (_ODD, pow(_ODD, -1, 1 << 64))]
+        for x in both:
+            x[0] = 1
+            np.multiply.accumulate(x, out=x)
+        return both
+
+    if n >= 1 << 20:
+        return tuple(to(n + 1))  # for a very long text only, not kept
+    if not _POWERS:
+        _POWERS[:] = to(1 << 20)
     return _POWERS[0], _POWERS[1]
 
 
@@ -130,7 +175,9 @@ def words(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class Remembered:
-    """Results by key in a worker, about `most` at a time; on overflow those stay that were asked for again."""
+    """Results by key in a worker, about `most` keys of `LETTERS` letters each at a time; on overflow those stay that were asked for again."""
+
+    LETTERS = 16
 
     def __init__(self, most: int):
         self.most, self.of, self.again = most, {}, set()
@@ -143,8 +190,9 @@ class Remembered:
 
     def trim(self) -> None:
         """To be called between batches."""
-        if len(self.of) > self.most:
+        room = self.most * self.LETTERS
+        if len(self.of) > self.most or sum(map(len, self.of)) > room:
             self.of = {k: self.of[k] for k in self.again if k in self.of}
             self.again = set()
-            if len(self.of) > self.most // 2:
+            if len(self.of) > self.most // 2 or sum(map(len, self.of)) > room // 2:
                 self.of = {}

@@ -22,8 +22,9 @@ its signatures agree less than AGREE with one of about 2e-5; nothing else is lef
 out, and no bucket is capped.
 
 Defined cases: null texts and texts without a word link with nothing; a null id
-stays alone; repeated rows of one id are one document; an empty table gives no
-rows; extra columns are not read.
+stays alone; repeated rows of one id are one document, of the least of their texts;
+an empty table gives no rows; extra columns are not read. The pipeline's stage keeps
+of the rows of one id the least, and every row without an id.
 """
 
 from __future__ import annotations
@@ -141,6 +142,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n, k1, k2, sig, bands): bag size and checksums, 16 bits of each component, and a hash of each band."""
 
     def sign(batches):
+        common.held(None)
         for batch in common.slices(batches, "text", SLICE):
             offsets, raw = common.utf8(batch.column("text"))
             n = batch.num_rows
@@ -181,10 +183,14 @@ def verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
         return pa.array(overlaps(a, b))
 
     side = lambda k: held.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}"))
-    near = pairs.join(side("u"), "u").join(side("v"), "v").where(F.least("n_u", "n_v") >= F.greatest("n_u", "n_v") * similarity)
-    near = near.withColumn("agree", agreement("sig_u", "sig_v")).where(F.col("agree") >= AGREE).select("u", "v")
+    per = lambda df: df.groupBy("u").agg(F.count("*").alias("n"))
+    # v has a pair in each band at most; u may be the lead of many and comes last, in salted copies: its text is never sent along with each of its pairs.
+    near = common.salted_join(pairs.join(side("v"), "v"), side("u"), ["u"], per(pairs), ["v"])
+    near = near.where(F.least("n_u", "n_v") >= F.greatest("n_u", "n_v") * similarity)
+    near = common.staged(near.withColumn("agree", agreement("sig_u", "sig_v")).where(F.col("agree") >= AGREE).select("u", "v"), "near")
     text = lambda k: held.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
-    return near.join(text("u"), "u").join(text("v"), "v").select("u", "v", overlap("text_u", "text_v").alias("sim"))
+    near = common.salted_join(near.join(text("v"), "v"), text("u"), ["u"], per(near), ["v"])
+    return near.select("u", "v", overlap("text_u", "text_v").alias("sim"))
 
 
 def overlaps(left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -267,25 +273,32 @@ def _cross_links(table: pa.Table, similarity: float) -> pa.Table:
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, kept) of each doc_id: the least id of its class, and whether it is that one itself."""
     known = docs.where("doc_id is not null").select("doc_id", "text")
+    twice = common.staged(known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    if not twice.isEmpty():
+        known = known.join(twice, "doc_id", "left_anti").union(known.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
     marks = common.staged(signatures(known), "signatures")
     bags = marks.where("n > 0")
-    reps = common.staged(bags.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id")), "representatives")
+    reps = common.staged(bags.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "representatives")
     own = bags.join(reps.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     band = own.select(F.col("doc_id").alias("id"), "n", F.posexplode("bands").alias("band", "bucket"))
-    lead = band.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("members")).where("members > 1")
-    shared = common.staged(band.join(lead, "bucket").where("id != lead"), "buckets")
+    lead = common.staged(band.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("members")).where("members > 1"), "leads")
+    shared = common.salted_join(band, lead, ["bucket"], lead.select("bucket", F.col("members").alias("n")), ["id"])
+    shared = common.staged(shared.where("id != lead"), "buckets")
     # What verification needs of the documents that share a bucket at all, written once.
     ids = common.staged(shared.select(F.col("id").alias("doc_id")).union(shared.select("lead")).distinct(), "candidate-ids")
     side = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
     held = known.join(side, "doc_id", "left_semi").join(bags.join(side, "doc_id", "left_semi").select("doc_id", "n", "sig"), "doc_id")
-    held = common.staged(held.dropDuplicates(["doc_id"]), "candidates")
-    pairs = shared.select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct()
+    held = common.staged(held, "candidates")
+    pairs = common.staged(shared.select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct(), "pairs")
     links = common.staged(verified(pairs, held, similarity).where(F.col("sim") >= similarity), "verified")
     groups = common.staged(graph.components(links.select("u", "v")), "components")
     # Buckets that still hold several components, without their lead, whom all have met.
     wide = shared.where("members > 2").join(groups.withColumnRenamed("component", "comp0"), "id", "left").withColumn("comp0", F.coalesce("comp0", "id"))
+    wide = common.staged(wide.select("bucket", "band", "id", "n", "comp0"), "wide-buckets")
     mixed = wide.groupBy("bucket").agg(F.min("comp0").alias("a"), F.max("comp0").alias("b"), F.count("*").alias("k"), F.sum("n").alias("all")).where("a < b").select("bucket", "k", "all")
-    rest = common.staged(wide.join(mixed, "bucket").select("bucket", "band", "k", "all", "id", "n", "comp0"), "mixed-buckets")
+    mixed = common.staged(mixed, "mixed")
+    rest = common.salted_join(wide, mixed, ["bucket"], mixed.select("bucket", F.col("k").alias("n")), ["id"])
+    rest = common.staged(rest.select("bucket", "band", "k", "all", "id", "n", "comp0"), "mixed-buckets")
     many = rest.agg(F.count("*").alias("rows"), F.sum("n").alias("keys")).first()
     if many["rows"]:
         bag = F.arrow_udf(keys, "binary")
@@ -303,9 +316,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         new = common.staged(at.groupBy(*by).applyInArrow(compare, "u long, v long"), "cross-links")
         if not new.isEmpty():
             groups = common.staged(graph.components(links.select("u", "v").union(new)), "components")
-    grouped = reps.join(groups, "id", "left").select("k1", "k2", "n", F.coalesce("component", "id").alias("class_id"))
-    out = bags.select("doc_id", "k1", "k2", "n").join(grouped, ["k1", "k2", "n"]).select("doc_id", "class_id")
-    out = out.union(marks.where("n = 0").select("doc_id", "doc_id")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    grouped = reps.join(groups, "id", "left").select("k1", "k2", F.col("n").alias("size"), F.coalesce("component", "id").alias("class_id"))
+    copies = reps.select("k1", "k2", F.col("n").alias("size"), F.col("copies").alias("n"))
+    out = common.salted_join(bags.select("doc_id", "k1", "k2", F.col("n").alias("size")), grouped, ["k1", "k2", "size"], copies, ["doc_id"]).select("doc_id", "class_id")
+    out = out.union(marks.where("n = 0").select("doc_id", "doc_id"))
     alone = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
     return out.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
@@ -320,4 +334,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay = classes(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept"))
     out = docs.join(stay, docs["doc_id"] == stay["_kept"], "left_semi")
     n = out.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    return (out if n["n"] == n["d"] else out.dropDuplicates(["doc_id"])).unionByName(docs.where("doc_id is null"))
+    if n["n"] != n["d"]:
+        names = sorted(docs.columns, key=lambda c: c != "text")
+        out = out.groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.struct(*names)).alias("_row")).select([F.col(f"_row.{c}").alias(c) for c in docs.columns])
+    return out.unionByName(docs.where("doc_id is null"))

@@ -17,13 +17,18 @@ ones cut by a hash of the id, and a task sees one pair of blocks, so no list is
 task; tasks return sums of links and a spanning forest of the links found, never
 the pairs.
 
-Defined cases: null, empty or zero vectors, vectors with null, nan or infinite
-components, and vectors of another dimension than most link with nothing; repeated
-rows of one id count once (the least vector stands); an empty table gives no rows.
+Defined cases: null, empty or zero vectors and vectors with null, nan or infinite
+components link with nothing; vectors link within their own dimension only, each
+dimension being a run of its own; every row is a vector of its own, so rows of one
+id stay several rows and equal ones link with each other; rows with a null id are
+linked like others, but name a component only where all its ids are null; an empty
+table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -170,19 +175,33 @@ def _links(index: Index, entries: pa.Table, queries: pa.Table, same: bool, cosin
 
 
 def near_duplicates(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of each vec_id in rows (vec_id, embedding)."""
-    spark = rows.sparkSession
-    rows = rows.groupBy("vec_id").agg(F.min("embedding").alias("v"))
+    """(vec_id, n_links, component_id, kept) of each of rows (vec_id, embedding)."""
+    rows = rows.select("vec_id", F.col("embedding").alias("v"))
     good = F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.withColumn("good", F.coalesce(F.col("vec_id").isNotNull() & good, F.lit(False)))
-    sizes = rows.where("good").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    width = sizes["d"] if sizes else 0
-    rows = common.staged(rows.withColumn("good", F.col("good") & (F.size("v") == width)), "vectors")
-    entries = rows.where("good").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
-    entries = common.staged(entries, "entries")
-    total = entries.count()
-    if not total:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
+    # Equal vectors are one entry, under a number of its own: ids may be null or belong to several vectors.
+    entries = rows.where("good").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+    entries = common.staged(entries.withColumn("id", F.monotonically_increasing_id()), "entries")
+    found = [_linked(entries.where(F.size("v") == r["d"]), r["d"], r["count"], cosine) for r in entries.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()]  # a row for each dimension
+    alone = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    if found:
+        links = common.staged(reduce(DataFrame.union, [n for n, _ in found]), "link-sums")
+        groups = common.staged(graph.components(reduce(DataFrame.union, [g for _, g in found])), "components")
+        # The least vec_id of each component, from partial sums; a component may be large, so its row is salted.
+        named = groups.join(entries.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+        named = common.staged(named, "component-names")
+        groups = common.salted_join(groups, named.drop("n"), ["component"], named.select("component", "n"), ["id"]).select("id", "component_id")
+        per = entries.join(links, "id", "left").join(groups, "id", "left")
+        per = per.select("v", F.col("weight").alias("n"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+        per = common.staged(per, "per-entry")
+        out = common.salted_join(rows.where("good"), per.drop("n"), ["v"], per.select("v", "n"), ["vec_id"])
+        alone = out.select("vec_id", "n_links", "component_id").union(alone)
+    return alone.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def _linked(entries: DataFrame, width: int, total: int, cosine: float) -> tuple[DataFrame, DataFrame]:
+    """(id, n) sums of links and (u, v) links that join the components of entries (v, id, weight) of one dimension."""
+    spark = entries.sparkSession
     share = min(1.0, SAMPLE / total)
     sample = entries.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) <= int(share * 1_000_000)).orderBy("id").select("v").toArrow()
     if sample.num_rows == 0:
@@ -195,6 +214,7 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     def homes(v: pa.Array) -> pa.Array:
         return pa.array(_nearest(_unit(pa.record_batch({"v": v})), shared.value.centres) if len(v) else [], pa.int32())
 
+    entries = entries.select("id", "weight", "v")
     homed = entries.withColumn("home", homes("v"))
     counts = {r["home"]: r["count"] for r in homed.groupBy("home").count().collect()}  # a row for each list
     first, n = _layout(index, counts, max(BLOCK, min(total // BLOCKS, COMPONENTS // width)))
@@ -224,13 +244,7 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
         return _links(shared.value, left, right, a == b, cosine)
 
     found = common.staged(pairs.groupBy("a", "b").applyInArrow(meet, "u long, v long, n long"), "links-found")
-    links = found.where("n > 0").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n"))
-    groups = graph.components(found.where("n = 0").select("u", "v"))
-    per = entries.join(links, "id", "left").join(groups, "id", "left")
-    per = per.select("v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "id").alias("component"))
-    out = rows.where("good").join(per, "v").select("vec_id", F.col("n").alias("n_links"), F.col("component").alias("component_id"))
-    out = out.union(rows.where("not good").select("vec_id", F.lit(0).cast("long"), "vec_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return found.where("n > 0").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n")), found.where("n = 0").select("u", "v")
 
 
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

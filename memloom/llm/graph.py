@@ -1,8 +1,9 @@
 """Connected components as Spark jobs: alternating large-star and small-star steps.
 
-Each step is an aggregation by node (its least neighbour) and a join back; the
-links of a node are never gathered in one place. Steps are written to the shared
-folder, so lineage stays short and a lost executor costs one step.
+Each step is an aggregation by node (its least neighbour and how many it has) and a
+join back, in which the links of a hub are split over salted copies of its one row,
+so they never meet in one task. Steps are written to the shared folder, so lineage
+stays short and a lost executor costs one step.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         # Large star: a node's greater neighbours move to its least neighbour.
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = common.staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+        large = common.salted_join(both.where("v > u"), least.drop("n"), ["u"], least.select("u", "n"), ["v"])
+        large = common.staged(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         # Small star: a node and its lesser neighbours move to the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        least = common.staged(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        joined = common.salted_join(large, least.drop("n"), ["u"], least.select("u", "n"), ["v"])
         small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         now = common.staged(small, "links")
         after = _state(now)

@@ -4,13 +4,15 @@ Texts are lower-cased and everything that is no letter becomes one kind of gap;
 character 2- and 3-grams are hashed into BUCKETS columns. Counts by language
 come from Spark (partial sums in each task, then a shuffle by bucket); the
 smoothed log-probability matrix, languages x buckets, is broadcast (its size is
-fixed by BUCKETS and the number of languages) and whole batches are scored by
-numpy gathers. Only the text is an input of a prediction.
+fixed by BUCKETS and the number of languages, which is checked) and whole batches
+are scored by numpy gathers. The score is the posterior probability of the language
+predicted. Only the text is an input of a prediction.
 
 Defined cases: null texts and texts without a letter are `und` with score 0;
 ties go to the language first in order; rows without lang teach nothing; with no
 teaching rows all is `und`; repeated rows are predicted alike. Columns of the
-input stay; clashing `lang_pred` and `score` are replaced.
+input stay; clashing `lang_pred` and `score` are replaced. More than MOST_LANGS
+languages are an error. The pipeline's stage drops null, empty and letterless texts.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from memloom.llm import common
 BUCKETS = 1 << 15
 #: At most about so many documents teach the model (a hash of the id draws them).
 MAX_TRAIN = 20_000
-#: A text counts as so many grams at most when scores are turned into a probability.
-EVIDENCE = 64.0
+#: More languages than this would make the broadcast matrix too large (64 MB at this bound).
+MOST_LANGS = 512
 #: Bytes of text whose grams are made at a time, each of which takes about a hundred bytes; a longer text stands alone.
 SLICE = 1 << 19
 _LETTER = re.compile(r"[^\W\d_]")
@@ -81,9 +83,7 @@ class Model:
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
         row, bucket = grams(texts)
-        many = np.bincount(row, minlength=len(texts))
-        total = np.stack([np.bincount(row, log[bucket], len(texts)) for log in self.logs], axis=1)
-        total = total * (np.minimum(many, EVIDENCE) / np.maximum(many, 1))[:, None] + self.prior
+        total = np.stack([np.bincount(row, log[bucket], len(texts)) for log in self.logs], axis=1) + self.prior
         best = total.argmax(1)
         score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
         blank = np.array([not _LETTER.search(t) for t in texts], bool)
@@ -98,6 +98,7 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def count(batches):
+        common.held(None)
         sums: dict[str, np.ndarray] = {}
         for batch in common.slices(batches, "text", SLICE):
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
@@ -112,13 +113,16 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
             at = np.flatnonzero(c)
             yield pa.record_batch({"lang": pa.array([name] * len(at)), "bucket": pa.array(at), "n": pa.array(c[at])})
 
+    some = [r["lang"] for r in rows.select("lang").distinct().limit(MOST_LANGS + 1).collect()]
+    if len(some) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     found = rows.select("lang", "text").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
     counts = np.zeros((len(langs), BUCKETS + 1))
     counts[found["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), found["bucket"].to_numpy(int)] = found["n"]
     if not langs:
         return Model([], np.zeros((0, BUCKETS)), np.zeros(0))
-    logs = np.log((counts[:, :-1] + 0.5) / (counts[:, :-1].sum(1, keepdims=True) + 0.5 * BUCKETS))
+    logs = np.log((counts[:, :-1] + 0.5) / (counts[:, :-1].sum(1, keepdims=True) + 0.5 * BUCKETS)).astype(np.float32)
     return Model(langs, logs, np.log((counts[:, -1] + 1) / (counts[:, -1] + 1).sum()))
 
 
@@ -129,6 +133,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def judged(text: pa.Array) -> pa.Array:
+        common.held(None)
         langs, scores = [], [np.zeros(0)]
         for b in common.slices([pa.record_batch({"text": text})], "text", SLICE):
             found, score = shared.value.predict([t or "" for t in b.column("text").to_pylist()])

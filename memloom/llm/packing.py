@@ -7,12 +7,14 @@ by two unpacked documents that fit the expanded gap more tightly.
 What a sequence holds depends on lengths alone, so the method runs on the
 histogram of lengths, which has one entry per possible length (4096) however
 large the corpus is. Every step makes as many equal sequences as the counts
-allow and uses up at least one length. The plan (runs of equal sequences) is
-broadcast; documents find their places by their rank among those of equal
-length, counted in salted groups, so a length that a third of all documents
-share is no single task.
-
-Defined cases: a null text is empty and holds only the end token; repeated rows
+allow, until of one length fewer are left than such a sequence takes. The plan
+(runs of equal sequences) is broadcast; documents find their places by their rank
+among those of equal length, counted in salted groups, so a length that a third
+of all documents share is no single task.
+
+Defined cases: a null text is empty and holds only the end token; special tokens
+written out in a text count as those tokens, as the tokenizers library reads them
+by default; repeated rows
 are packed as often as they occur; documents longer than a sequence are cut, the
 last piece may be shorter; an empty table gives no rows; extra columns are not
 read.
@@ -38,7 +40,6 @@ LEAST_SALTS, ROWS_PER_SALT = 16, 4_000_000
 CACHE = 500_000
 #: Texts of these characters only split at their white space alike everywhere; others go to the tokenizer whole.
 _PLAIN = re.compile(r"[\t\n\r -~¡-ɏ]*\Z")
-_ENCODERS: dict[str, Encoder] = {}
 
 
 class Encoder:
@@ -60,16 +61,15 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             stated = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Written-out special tokens in a text are those tokens, as the tokenizer reads them by itself.
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in stated["added_tokens"]) or r"(?!)", re.IGNORECASE).search
         self.cut = regex.compile(stated["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         (self.gap,) = self.tokenizer.encode(self.GAP, add_special_tokens=False).ids
         self.known, self.pieces = common.Remembered(CACHE), common.Remembered(CACHE)
 
     @staticmethod
     def of(path: str) -> Encoder:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = Encoder(path)
-        return _ENCODERS[path]
+        return common.held(("packing", path), lambda: Encoder(path))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
@@ -86,7 +86,7 @@ class Encoder:
         self.known.of.update((c, b"".join(map(pieces.__getitem__, cut))) for c, cut in cuts)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [t.lower().split() if _PLAIN.match(t) else None for t in texts]
+        plain = [t.lower().split() if _PLAIN.match(t) and not self.special(t) else None for t in texts]
         self.known.trim()
         self.pieces.trim()
         self._learn(set().union(*filter(None, plain)))
@@ -228,5 +228,5 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the pieces of docs with their places."""
+    """Pipeline stage: the pieces of docs with their places, by the cases above."""
     return pack_documents(docs)

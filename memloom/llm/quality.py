@@ -9,7 +9,8 @@ whole batch. Only the text is an input of a score.
 Defined cases: a null text counts as empty; empty texts get the score that the
 trees give to all-zero statistics; repeated rows are scored alike; without
 labelled rows every score is 0.5 (kept); with one class only, scores lie on that
-class's side of 0.5. Columns of the input stay; a clashing `score` is replaced.
+class's side of 0.5. Columns of the input stay; a clashing `score` is replaced
+(the pipeline's stage keeps the input's own).
 """
 
 from __future__ import annotations
@@ -160,9 +161,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tre
     marks = marks.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     share = min(1.0, max_train / max(1, marks.count()))
     marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    marks = F.broadcast(marks)  # about max_train rows at most, so texts needn't be shuffled
 
     @F.arrow_udf("array<double>")
     def stats(text: pa.Array) -> pa.Array:
+        common.held(None)
         parts = [statistics(b.column("text")) for b in common.slices([pa.record_batch({"text": text})], "text", SLICE)]
         rows = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
         return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * len(FEATURES), rows.ravel())
@@ -178,6 +181,7 @@ def score(docs: DataFrame, trees: Trees) -> DataFrame:
 
     @F.arrow_udf("double")
     def scored(text: pa.Array) -> pa.Array:
+        common.held(None)
         parts = [shared.value.score(statistics(b.column("text"))) for b in common.slices([pa.record_batch({"text": text})], "text", SLICE)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 

@@ -73,6 +73,7 @@ def test_near_duplicates_in_blocks(spark, planted, monkeypatch):
     monkeypatch.setattr(dedup, "BLOCK", 3)
     monkeypatch.setattr(dedup, "TASK_ROWS", 10)
     monkeypatch.setattr(dedup, "MOST_IDS", 0)
+    monkeypatch.setattr(dedup.common, "HOT_ROWS", 3)
     got = {r.doc_id: r.class_id for r in dedup.classes(spark.createDataFrame(planted, "doc_id long, text string")).collect()}
     assert got == _brute(planted)
 
@@ -84,6 +85,15 @@ def test_near_duplicates_odd_rows(spark):
     assert got == {1: (1, True), 2: (2, True), 3: (3, True), 4: (4, True), 5: (4, False), 6: (6, True), 7: (7, True), 8: (8, True), 9: (8, False), None: (None, True)}
     assert dedup.classes(docs.limit(0)).count() == 0
     assert sorted(r.doc_id or 0 for r in dedup.keep_one(spark, docs, "").collect()) == [0, 1, 2, 3, 4, 6, 7, 8]
+    twice = spark.createDataFrame([(1, "b b b"), (1, "a a a"), (1, None), (2, "a a a"), (3, "b b b")], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in dedup.classes(twice).collect()} == {1: 1, 2: 1, 3: 3}
+    assert sorted(map(tuple, dedup.keep_one(spark, twice, "").collect()), key=str) == [(1, None), (3, "b b b")]
+
+
+def test_dedup_query_equals_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    want = _brute([tuple(r) for r in docs])
+    assert {r.doc_id: r.class_id for r in dedup.op2_dedup(spark, sf_dir).collect()} == want
 
 
 def test_signatures_estimate_weighted_jaccard():
@@ -159,7 +169,28 @@ def test_embeddings_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embeddings.near_duplicates(none).count() == 0
     one = spark.createDataFrame([(3, [1.0, 2.0]), (3, [1.0, 2.0]), (4, [1.0, 2.0])], "vec_id long, embedding array<float>")
-    assert sorted(map(tuple, embeddings.near_duplicates(one).collect())) == [(3, 1, 3, True), (4, 1, 3, False)]
+    assert sorted(map(tuple, embeddings.near_duplicates(one).collect())) == [(3, 2, 3, True), (3, 2, 3, True), (4, 2, 3, False)]
+
+
+def test_embeddings_of_several_dimensions_and_repeated_ids(spark, monkeypatch):
+    """Equal to brute force over rows, with hot components and entries split."""
+    monkeypatch.setattr(embeddings.common, "HOT_ROWS", 2)
+    rng, rows = np.random.default_rng(9), []
+    for d in (2, 3, 5):
+        for _ in range(6):
+            centre = rng.normal(size=d)
+            rows += [(int(rng.integers(0, 40)), (centre + rng.normal(size=d) * rng.choice([0, 0.05])).tolist()) for _ in range(rng.integers(1, 7))]
+    rows += [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (5, [1.0, 0.0]), (None, [1.0, 0.01]), (None, [0.0, -1.0, 0.0]), (None, None), (5, None), (7, [0.0, 0.0])]
+    link = lambda a, b: a and b and len(a) == len(b) and any(a) and any(b) and np.dot(a, b) >= 0.95 * np.linalg.norm(a) * np.linalg.norm(b)
+    pairs = [(i, j) for i in range(len(rows)) for j in range(len(rows)) if i != j and link(rows[i][1], rows[j][1])]
+    many, classes = Counter(i for i, _ in pairs), _classes([p for p in pairs if p[0] < p[1]], range(len(rows)))
+    want = []
+    for i, (vec_id, _) in enumerate(rows):
+        names = [rows[j][0] for j in range(len(rows)) if classes[j] == classes[i] and rows[j][0] is not None]
+        least = min(names, default=None)
+        want.append((vec_id, many[i], least, vec_id is None or vec_id == least))
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
 # --- pages -----------------------------------------------------------------------------------------------------------

@@ -45,7 +45,6 @@ def _ids(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [1]
 
 
@@ -81,6 +80,42 @@ def test_packing_is_tight(spark):
     assert made <= 1.01 * sum(r.length for r in rows) / 4096 + 1
 
 
+def test_special_tokens_count_as_such():
+    texts = ["hello <|endoftext|> world", "<|StartOfText|>", "a<|startoftext|>b c", "<|endoftext", "plain"]
+    assert packing.Encoder.of(packing.tokenizer_path()).encode(texts) == [np.array(_ids(t)[:-1], "<u4").tobytes() for t in texts]
+    assert _ids(texts[0]) == [3306, 49407, 1002, 1]
+
+
+def _filled(lengths, capacity):
+    """Best-two-fit one sequence at a time: greedy filling, then the best two for the smallest."""
+    left, made = sorted(lengths), []
+    while left:
+        held, gap = [], capacity
+        for x in sorted(left, reverse=True):
+            if x <= gap:
+                held.append(x)
+                gap -= x
+        rest = list((Counter(left) - Counter(held)).elements())
+        if gap and len(held) > 1:
+            room = gap + held[-1]
+            pairs = [(a + b, a, b) for i, a in enumerate(rest) for b in rest[:i] + rest[i + 1 :] if a + b <= room]
+            if pairs and max(pairs)[0] > held[-1]:
+                held = [*held[:-1], *max(pairs)[1:]]
+        left = list((Counter(left) - Counter(held)).elements())
+        made.append(sum(held))
+    return made
+
+
+def test_plan_equals_filling_one_by_one():
+    rnd = random.Random(9)
+    for most, capacity in ((5, 10), (20, 23), (60, 100), (100, 100)):
+        for _ in range(12):
+            lengths = [rnd.randint(1, most) for _ in range(rnd.randint(1, 60))]
+            made = [sum(length * n for length, n in uses) for many, uses in packing.plan(dict(Counter(lengths)), capacity) for _ in range(many)]
+            want = _filled(lengths, capacity)
+            assert sum(made) == sum(lengths) and len(made) <= len(want) + 1 and made[0] == want[0]
+
+
 def test_plan_uses_every_length_once():
     rnd = random.Random(3)
     for most in (7, 100, 4096):
@@ -135,6 +170,39 @@ def test_bpe_random_texts():
     assert coder.decode(coder.encode(texts)) == [t.encode() for t in texts]
 
 
+def test_bpe_long_words():
+    """Any length by one query; what a worker keeps meanwhile is bounded."""
+    path, want = _reference()
+    assert bpe.ordered(path)
+    rnd = random.Random(6)
+    word = lambda n, letters="etaoinshrdlu": "".join(rnd.choice(letters) for _ in range(n))
+    words = [word(n) for n in (127, 128, 129, 130, 1000, 5000)] + [word(n, "ab") for n in (130, 3000)] + ["a" * n for n in (129, 40_001)] + ["ab" * 4000, "=" * 9999, "漢" * 700]
+    for at_once in (True, False):
+        coder = bpe.Coder(path, public_tokenizers.PATTERN, at_once)
+        some = words if at_once else [w for w in words if len(w) < 2000]
+        assert coder.encode(some) == [np.array(want.encode_ordinary(w), "<u4").tobytes() for w in some]
+    memory = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6
+    coder = bpe.Coder(path, public_tokenizers.PATTERN)
+    many, before = [word(100) for _ in range(4000)], memory()
+    got = coder.encode(many[:2000]) + coder.encode(many[2000:])
+    assert got == [np.array(want.encode_ordinary(w), "<u4").tobytes() for w in many] and memory() - before < 300
+
+
+def test_bpe_unordered_ranks(tmp_path):
+    """A file in which a merge gives a pair of lower rank: then one place in a round, as tiktoken does."""
+    import base64
+
+    import tiktoken
+
+    tokens = [bytes([i]) for i in range(256)] + [b"aba", b"ab"]
+    path = tmp_path / "ranks"
+    path.write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate(tokens)))
+    want = tiktoken.Encoding("odd", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    assert not bpe.ordered(str(path))
+    texts = ["abab", "ababab", "aabba", "babab"]
+    assert bpe.Coder(str(path), public_tokenizers.PATTERN, False).encode(texts) == [np.array(want.encode_ordinary(t), "<u4").tobytes() for t in texts]
+
+
 def test_bpe_query(spark, sf_dir):
     import hashlib
 
@@ -333,9 +401,16 @@ def test_language_odd_rows(odd, none):
     assert langid.predict(none, model).count() == 0
 
 
+def test_too_many_languages_are_an_error(odd, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 1)
+    with pytest.raises(ValueError):
+        langid.train(odd)
+
+
 def test_language_score_is_naive_bayes():
-    texts = ["ab ba", "abc", "xyz!", "x y z"]
-    logs = np.log(np.random.default_rng(2).dirichlet(np.ones(langid.BUCKETS), 2))
+    rnd = random.Random(8)
+    texts = ["ab ba", "abc", "xyz!", "x y z"] + ["".join(rnd.choice("abcdefgh xyz") for _ in range(rnd.randint(70, 900))) for _ in range(60)]
+    logs = np.log(np.random.default_rng(2).dirichlet(np.full(langid.BUCKETS, 50.0), 2))
     model = langid.Model(["a", "b"], logs, np.log([0.3, 0.7]))
     langs, scores = model.predict(texts)
     for k, t in enumerate(texts):
