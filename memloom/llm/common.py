@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -107,8 +109,10 @@ def held(key: tuple | None, make=lambda: None):
     if _HELD[0] != key:
         _HELD[:] = [None, None]
         gc.collect()
-        pa.default_memory_pool().release_unused()
         _HELD[:] = [key, make()]
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # memory freed inside the heap goes back to the system, where the C library can do that
+            ctypes.CDLL(None).malloc_trim(0)
     return _HELD[1]
 
 

@@ -41,7 +41,7 @@ def _folded() -> np.ndarray:
     """Code point -> itself for letters, 32 for all else."""
     global _KIND
     if _KIND is None:
-        _KIND = np.array([i if chr(i).isalpha() else 32 for i in range(0x110000)], np.uint32)
+        _KIND = np.fromiter((i if chr(i).isalpha() else 32 for i in range(0x110000)), np.uint32, 0x110000)
     return _KIND
 
 

@@ -37,7 +37,7 @@ CAPACITY, END = 4096, 1
 #: Least salts of a length's group, and rows for which one more is added.
 LEAST_SALTS, ROWS_PER_SALT = 16, 4_000_000
 #: Chunks, and pieces, whose ids a worker remembers before it starts over.
-CACHE = 500_000
+CACHE = 400_000
 #: Texts of these characters only split at their white space alike everywhere; others go to the tokenizer whole.
 _PLAIN = re.compile(r"[\t\n\r -~¡-ɏ]*\Z")
 
@@ -75,7 +75,7 @@ class Encoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def _learn(self, chunks: set[str]) -> None:
-        cuts = [(c, self.cut(c)) for c in self.known.missing(chunks)]
+        cuts = [(c, [c] if (cut := self.cut(c)) == [c] else cut) for c in self.known.missing(chunks)]  # one string for both memories
         new, pieces = list(self.pieces.missing({p for _, cut in cuts for p in cut})), self.pieces.of
         for a in range(0, len(new), 5_000):
             some = new[a : a + 5_000]
@@ -101,7 +101,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
 
     def cut(batches):
         encoder = Encoder.of(tokenizer)
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", 1 << 20):
             doc_ids, number, start, out = [], [], [], []
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
