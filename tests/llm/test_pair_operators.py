@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from memloom.llm import dedup, embeddings, graph, html, registry, urls
+from memloom.llm import common, dedup, embeddings, graph, html, registry, urls
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -215,6 +215,41 @@ def test_layout_words_keep_the_article():
     assert html.Page("<p>x</p><section id=comments><article class=comment>no</article></section>").text() == "x"
 
 
+def test_names_count_as_a_whole():
+    page = """<article><h1>T</h1><div class="social-history">a</div><p class="alert-quote">b</p><p id="related-work">c</p>
+    <math><mi>x</mi></math><div class="ad-box top">no</div><div id="site-footer">no</div><div class="x sidebar left">no</div><div class="main-content">d</div></article>"""
+    assert html.Page(page).text() == "T\na\nb\nc\nx\nd"
+
+
+def test_only_host_counts_tell_template_from_text(spark, monkeypatch):
+    """The same boxes with plain names, in and beside the article: template where they recur on the host, text where they don't."""
+    box = "<div class=x><p>Read our letter.</p><p>It is free.</p></div>"
+    page = lambda text, inner: f"<body><div>Top of all</div><article><h1>Common title</h1><p>{text}</p>{inner}<p>Shared passage of many articles.</p></article></body>"
+    rows = [(i, f"http://a.org/{i}", page(f"Own text {i}.", box)) for i in range(4)]
+    rows += [(10 + i, f"http://b.org/{i}", page(f"Own text {i}.", box)) for i in range(2)]
+    rows += [(20 + i, f"http://c.org/{i}", page("One copied text.", box)) for i in range(6)]
+    rows += [(30 + i, f"http://d.org/{i}", f"<body><div>Menu</div><div>Long text number {i} of the page itself.</div><div>Imprint</div></body>") for i in range(4)]
+    rows += [(40, "http://e.org/", None), (41, None, box)]
+    pages = spark.createDataFrame([(*r, "own", "t", 1) for r in rows], "page_id long, url string, html string, text string, template string, hash int")
+    for most, hot in ((100_000, 1000), (0, 1)):
+        monkeypatch.setattr(html, "MOST_HASHES", most)
+        monkeypatch.setattr(html.common, "HOT_ROWS", hot)
+        out = html.extract(pages, common.staged(html.templates(pages), "t"))
+        assert out.columns == ["page_id", "url", "template", "hash", "text"]
+        got = {r.page_id: r.text for r in out.collect()}
+        article = "Common title\n%s\n%sShared passage of many articles."
+        assert all(got[i] == article % (f"Own text {i}.", "") for i in range(4))
+        assert all(got[10 + i] == article % (f"Own text {i}.", "Read our letter.\nIt is free.\n") for i in range(2))
+        assert all(got[20 + i] == article % ("One copied text.", "Read our letter.\nIt is free.\n") for i in range(6))
+        assert all(got[30 + i] == f"Long text number {i} of the page itself." for i in range(4))
+        assert got[40] == "" and got[41] == "Read our letter.\nIt is free." and len(got) == len(rows)
+
+
+def test_very_long_page():
+    long = "<p>" + "word " * 200_000 + "</p>"
+    assert html.Page(f"<nav>no</nav><article>{long * 3}</article>").text().count("word") == 600_000
+
+
 def test_templates_are_removed_by_host(spark):
     rows = [(i, f"http://a.org/{i}", f"<body><div><p>Menu of the site</p></div><div><p>Own text number {i}.</p></div><div>Imprint</div></body>") for i in range(8)]
     rows += [(20 + i, "http://b.org/", f"<body><div><p>Menu of the site</p></div><p>Text {i}</p></body>") for i in range(2)]
