@@ -3,10 +3,12 @@
 Word statistics come from the whole text by array functions inside each row
 (nothing is exploded). Four transformed statistics of the documents that pass
 the base rule form a vector; for each language and source the minimum covariance
-determinant estimate is found by concentration steps: a robust start (median and
-spread), then, again and again, mean and covariance of the three quarters of the
-documents nearest by Mahalanobis distance. A document is rejected where its
-distance under the last estimate is beyond CUTOFF. Groups of fewer than LEAST_GROUP
+determinant estimate is found as by the deterministic algorithm for it: from each of
+four starts (median and spread, mean and covariance, covariance of tanh, covariance
+of directions), concentration steps take, again and again, mean and covariance of the
+three quarters of the documents nearest by Mahalanobis distance, until the
+determinants stand still; the start with the least determinant gives the estimate. A
+document is rejected where its distance under it is beyond CUTOFF. Groups of fewer than LEAST_GROUP
 passing documents are judged by the estimate from all passing documents of their
 language, or where those are too few from all there are; so every document that
 passes the base rule is judged.
@@ -14,7 +16,7 @@ passes the base rule is judged.
 A concentration step is one aggregation: sums and products are gathered by
 group and distance bin, the bins below the quantile are added up. Bins make the
 quantile exact to BIN_STEP and the state of a group bounded. Estimates are one
-short row a group; they are broadcast while there are at most MOST_GROUPS groups
+short row a group and start; they are written after each step, and broadcast while there are at most MOST_GROUPS groups
 and joined by shuffle beyond.
 
 Defined cases: a null text has no words and fails the base rule; null lang or
@@ -39,7 +41,7 @@ FLOOR = (0.16, 0.0225, 0.09, 0.09)
 SHARE, CONSISTENT = 0.75, 1.485
 #: Squared distance beyond which a document goes: chi2_4 at about 1 - 1e-9, for tails heavier than normal ones.
 CUTOFF = 50.0
-STEPS, BIN_STEP, LEAST_GROUP, MOST_GROUPS = 4, 0.05, 25, 20_000
+STEPS, SETTLED, BIN_STEP, LEAST_GROUP, MOST_GROUPS = 20, 0.01, 0.02, 25, 20_000
 #: What an estimate is made of: a group (level 2), a language (1, no source) or all documents (0, neither).
 POOL = ("level", "pool_lang", "pool_source")
 
@@ -50,7 +52,9 @@ def statistics(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     a = docs.select(*ids, text.alias("text"), F.array_remove(F.split(text, SPACE), "").alias("words"))
     a = a.withColumn("n_words", F.size("words")).withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    gram = F.transform(F.sequence(F.lit(0), F.col("n_words") - 5), lambda i: F.xxhash64(*[F.get(F.col("words"), i + k) for k in range(5)]))
+    # Each word is hashed once; a window is the hash of five of those numbers.
+    a = a.withColumn("hashed", F.transform("words", lambda w: F.xxhash64(w)))
+    gram = F.transform(F.sequence(F.lit(0), F.col("n_words") - 5), lambda i: F.xxhash64(*[F.get(F.col("hashed"), i + k) for k in range(5)]))
     b = a.select(
         *ids, F.col("n_words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -89,7 +93,7 @@ def _distance() -> Column:
 
 
 def _factor(estimate: DataFrame) -> DataFrame:
-    """From mean and covariance (m_*, c_ij) of each group to the inverse Cholesky factor w_ij."""
+    """From mean and covariance (m_*, c_ij) of each group and start to the inverse Cholesky factor w_ij and the covariance's log determinant."""
     out = estimate
     for i in range(4):
         for j in range(i + 1):
@@ -99,34 +103,65 @@ def _factor(estimate: DataFrame) -> DataFrame:
         out = out.withColumn(f"w{i}{i}", 1.0 / F.col(f"l{i}{i}"))
         for j in range(i - 1, -1, -1):
             out = out.withColumn(f"w{i}{j}", -sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l{i}{i}"))
-    return out.select(*POOL, "n_group", *[f"m_{n}" for n in NAMES], *[f"w{i}{j}" for i in range(4) for j in range(i + 1)])
+    out = out.withColumn("log_det", sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(4)), F.lit(0.0)))
+    return out.select(*POOL, "start", "log_det", *[f"m_{n}" for n in NAMES], *[f"w{i}{j}" for i in range(4) for j in range(i + 1)])
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Median and spread of each statistic by pool."""
+def _starts(rows: DataFrame, side) -> DataFrame:
+    """Four starts for each pool: median and spread; mean and covariance; and, about the median, the covariances of tanh and of directions."""
     quart = lambda n: F.percentile_approx(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(2000)).alias(f"q_{n}")
-    out = rows.groupBy(*POOL).agg(F.count("*").alias("n_group"), *[quart(n) for n in NAMES])
-    zero = {f"c{i}{j}": F.lit(0.0) for i in range(4) for j in range(i)}
-    spread = {f"c{i}{i}": F.pow((F.get(F.col(f"q_{n}"), F.lit(2)) - F.get(F.col(f"q_{n}"), F.lit(0))) / 1.349, F.lit(2.0)) + FLOOR[i] for i, n in enumerate(NAMES)}
-    return _factor(out.withColumns({f"m_{n}": F.get(F.col(f"q_{n}"), F.lit(1)) for n in NAMES} | zero | spread))
-
-
-def _concentrate(rows: DataFrame, joined) -> DataFrame:
-    """Mean and covariance of the nearest SHARE of each pool, by the distances under the estimate that joined() adds."""
-    binned = joined(rows).withColumn("bin", F.floor(F.log1p(_distance()) / BIN_STEP))
+    base = rows.groupBy(*POOL).agg(*[quart(n) for n in NAMES])
+    base = base.select(*POOL, *[F.get(F.col(f"q_{n}"), F.lit(1)).alias(f"m_{n}") for n in NAMES], *[F.sqrt(F.pow((F.get(F.col(f"q_{n}"), F.lit(2)) - F.get(F.col(f"q_{n}"), F.lit(0))) / 1.349, F.lit(2.0)) + FLOOR[i]).alias(f"d_{n}") for i, n in enumerate(NAMES)])
+    base = common.staged(base, "medians")
+    z = [(F.col(n) - F.col(f"m_{n}")) / F.col(f"d_{n}") for n in NAMES]
+    norm = F.greatest(sum((x * x for x in z), F.lit(0.0)), F.lit(1e-12))
+    squares = [(i, j) for i in range(4) for j in range(i + 1)]
+    kinds = {"p": lambda i, j: F.avg(F.col(NAMES[i]) * F.col(NAMES[j])), "t": lambda i, j: F.avg(F.tanh(z[i]) * F.tanh(z[j])), "g": lambda i, j: 4 * F.avg(z[i] * z[j] / norm)}
+    sums = rows.join(side(base), list(POOL)).groupBy(*POOL).agg(*[F.avg(n).alias(f"a_{n}") for n in NAMES], *[make(i, j).alias(f"{k}{i}{j}") for k, make in kinds.items() for i, j in squares])
+    both = sums.join(side(base), list(POOL))
+    spread = lambda i, j: F.col(f"d_{NAMES[i]}") * F.col(f"d_{NAMES[j]}")
+    floor = lambda i, j: FLOOR[i] if i == j else 0.0
+    cov = {
+        0: lambda i, j: spread(i, j) if i == j else F.lit(0.0),
+        1: lambda i, j: F.col(f"p{i}{j}") - F.col(f"a_{NAMES[i]}") * F.col(f"a_{NAMES[j]}") + floor(i, j),
+        2: lambda i, j: F.col(f"t{i}{j}") * spread(i, j) + floor(i, j),
+        3: lambda i, j: F.col(f"g{i}{j}") * spread(i, j) + floor(i, j),
+    }
+    kept = [F.struct(F.lit(k).alias("start"), *[F.col(f"{'a' if k == 1 else 'm'}_{n}").alias(f"m_{n}") for n in NAMES], *[make(i, j).alias(f"c{i}{j}") for i, j in squares]) for k, make in cov.items()]
+    return _factor(both.select(*POOL, F.explode(F.array(*kept)).alias("_e")).select(*POOL, "_e.*"))
+
+
+def _concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+    """From each start on: mean and covariance of the nearest SHARE of each pool, by the distances under the estimate."""
+    binned = rows.join(estimate, list(POOL)).withColumn("bin", F.floor(F.log1p(_distance()) / BIN_STEP))
     sums = [F.sum(n).alias(f"s_{n}") for n in NAMES]
     products = [F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"p{i}{j}") for i in range(4) for j in range(i + 1)]
-    bins = binned.groupBy(*POOL, "bin").agg(F.count("*").alias("n"), *sums, *products)
-    group = Window.partitionBy(*POOL)
+    bins = binned.groupBy(*POOL, "start", "bin").agg(F.count("*").alias("n"), *sums, *products)
+    group = Window.partitionBy(*POOL, "start")
     below = F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
     bins = bins.withColumn("n_group", F.sum("n").over(group)).withColumn("below", F.coalesce(below, F.lit(0))).where(F.col("below") < F.col("n_group") * SHARE)
     names = [f"s_{n}" for n in NAMES] + [f"p{i}{j}" for i in range(4) for j in range(i + 1)]
-    out = bins.groupBy(*POOL, "n_group").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names])
+    out = bins.groupBy(*POOL, "start").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names])
     out = out.withColumns({f"m_{n}": F.col(f"s_{n}") / F.col("n") for n in NAMES})
     cov = {f"c{i}{j}": (F.col(f"p{i}{j}") / F.col("n") - F.col(f"m_{NAMES[i]}") * F.col(f"m_{NAMES[j]}")) * CONSISTENT + (FLOOR[i] if i == j else 0.0) for i in range(4) for j in range(i + 1)}
     return _factor(out.withColumns(cov))
 
 
+def estimates(rows: DataFrame, side=lambda x: x) -> DataFrame:
+    """The minimum covariance determinant estimate of each pool of rows (pool columns, v1..v4; staged), with its log_det."""
+    now = common.staged(_starts(rows, side), "estimates")
+    for step in range(STEPS):
+        new = common.staged(_concentrate(rows, side(now)), "estimates")
+        if step:  # the first determinants are those of the starts, not of subsets
+            old = now.select(*POOL, "start", F.col("log_det").alias("was"))
+            moved = new.join(side(old), [*POOL, "start"]).agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0]
+        now = new
+        if step and (moved or 0.0) < SETTLED:
+            break
+    best = now.groupBy(*POOL).agg(F.min(F.struct("log_det", "start")).alias("_best")).select(*POOL, F.col("_best.start").alias("start"))
+    return common.staged(now.join(side(best), [*POOL, "start"]).drop("start"), "best-estimates")
+
+
 def _pools(passed: DataFrame) -> DataFrame:
     """(lang, source, pool, feeds): the pool that judges each group, and the pools in use that its documents are counted in."""
     sizes = passed.groupBy("lang", "source").agg(F.count("*").alias("_n"))
@@ -150,9 +185,7 @@ def outliers(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     few = pools.count() <= MOST_GROUPS
     side = F.broadcast if few else (lambda x: x)
     counted = passed.join(side(pools), ["lang", "source"]).select(F.explode("feeds").alias("_pool"), *NAMES).select("_pool.*", *NAMES)
-    estimate = _start(counted)
-    for _ in range(STEPS):
-        estimate = _concentrate(counted, lambda r, e=estimate: r.join(side(e), list(POOL)))
+    estimate = estimates(common.staged(counted, "vectors"), side)
     judged = rows.join(side(pools.select("lang", "source", "pool.*")), ["lang", "source"], "left").join(side(estimate), list(POOL), "left")
     judged = judged.withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
