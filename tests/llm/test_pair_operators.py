@@ -282,16 +282,21 @@ def _judge(url):
     path = found[2] if found else ""
     fits = [(len(rule), rule, verdict) for rule, verdict in urls.HOST_RULES for h, p in [rule.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
     rule = max(fits) if fits else (0, None, None)
-    words = set(re.split("[^a-z0-9]+", host))
-    return host, path, rule[1], rule[2] or ("block" if words & set(urls.HOST_WORDS) else "allow")
+    query = (url or "").split("://", 1)[-1].split("#")[0].partition("?")[2] if found else ""
+    bad = set(re.split("[^a-z0-9]+", host)) & set(urls.HOST_WORDS)
+    bad |= {x.lower().split(".")[0] for x in path.split("/")[1:]} & set(urls.PATH_WORDS)
+    bad |= {x.split("=")[0].lower() for x in query.split("&") if "=" in x} & set(urls.QUERY_NAMES)
+    return host, path, rule[1], rule[2] or ("block" if bad else "allow")
 
 
 def test_urls(spark):
     given = [None, "", "no scheme", "http://", "http://net/", "http://net", "http://A.NET/x", "http://planet/", "http://x.example.net/en/a", "http://example.net/en", "http://example.com/de/?q", "https://www.EXAMPLE.com/de/x#y", "ftp://a.org/fr/b", "http://a.org/fr", "http://a.org?fr/", "http://casino-x.io/", "http://casinos.io/", "http://a://b.net/", "http://ÄÖ.net/é", "http://net/"]
+    given += ["http://a.io/casino/x", "http://a.io/x/Casino.html?y=1", "http://a.io/casino-royale", "http://a.io/x?y=1&ClickID=7#z", "http://a.io/x?clickid", "http://a.io/?q=/porn/", "http://a.io/x#?adurl=1", "http://a.io?adurl=1", "http://a.io/adframe.js", "http://a.io/x?noadurl=1", "http://porn?x", "http://a.io/slots"]
     rows = [(i, u, "r") for i, u in enumerate(given)] + [(None, "http://net/", "r")]
     pages = spark.createDataFrame(rows, "page_id long, url string, rule string")
     got = urls.judge(pages, urls.default_rules(spark)).collect()
     assert sorted((tuple(r) for r in got), key=str) == sorted(((i, *_judge(u)) for i, u, _ in rows), key=str)
+    assert 100 < urls.default_rules(spark).count() < 200
     assert urls.judge(pages.limit(0), urls.default_rules(spark)).count() == 0
     nothing = spark.createDataFrame([], urls._RULE)
     assert {r.verdict for r in urls.judge(pages, nothing).collect()} == {"allow"}
@@ -303,6 +308,9 @@ def test_urls_query_equals_sql(spark):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{d}/pages.parquet'")
     want = sorted(con.execute(registry.ORACLES["op8_urls"]).fetchall())
     assert sorted(map(tuple, registry.QUERIES["op8_urls"](spark, d).collect())) == want
+    con.execute("CREATE OR REPLACE TABLE odd AS SELECT unnest(range(7)) AS page_id, unnest(['http://a.io/casino/x', 'http://a.io/x/Casino.html?y=1', 'http://a.io/casino-royale', 'http://a.io/x?y=1&ClickID=7#z', 'http://a.io/?q=/porn/', 'http://a.io?adurl=1', 'http://a.io/slots']) AS url")
+    got = con.execute(registry.ORACLES["op8_urls"].replace("FROM pages", "FROM odd")).fetchall()
+    assert [r[4] for r in sorted(got)] == ["block", "block", "allow", "block", "allow", "block", "block"]
 
 
 # --- pipeline --------------------------------------------------------------------------------------------------------
