@@ -27,6 +27,8 @@ def _show(rows: DataFrame, column: str, none: str) -> list[str]:
 def search(spark: SparkSession, root: str, text: str, limit: int) -> list[str]:
     asked = spark.createDataFrame([(0, text)], "query_id long, query string")
     facts = store.current(spark, f"{root}/facts", store.FACT)
+    if not 1 <= limit <= DEFAULT.list_max:
+        raise SystemExit(f"--limit must be 1 to {DEFAULT.list_max}")
     found = recall.found_facts(asked, facts, limit).select("uuid", "rank").join(facts, "uuid")
     return _show(found.orderBy("rank").select(episodes.cli_search_line().alias("line")), "line", "No facts found.")
 
@@ -129,7 +131,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> ob
     a = parser.parse_args(args)
     if a.command == "ingest" and not (a.path or a.content):
         parser.error("a file or --content is needed")
-    spark = spark or SparkSession.builder.appName("memloom").getOrCreate()
+    spark = spark or SparkSession.builder.appName("memloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     now = datetime.now(UTC)
     run = {
         "search": lambda: search(spark, a.root, a.text, a.limit),

@@ -75,17 +75,24 @@ def _long_enough(messages: DataFrame, texts: DataFrame, config: Config) -> DataF
     return texts.join(enough.join(some, "session_key").select("session_key"), "session_key", "left_semi")
 
 
+def _started(rows: DataFrame, messages: DataFrame) -> DataFrame:
+    """rows (session_key) with the session_start that messages carry, if they do."""
+    if "session_start" not in messages.columns:
+        return rows
+    return rows.join(messages.groupBy("session_key").agg(F.max("session_start").alias("session_start")), "session_key", "left")
+
+
 def before_compaction(messages: DataFrame, now: str, now_ms: int, config: Config = DEFAULT) -> DataFrame:
     """As compact, for sessions with at least 4 messages and 2 texts."""
     texts = _long_enough(messages, M.extract_texts(messages, config.message_cap, config.min_text), config)
-    return _episodes(M.joined(texts), F.left(T.sanitize(F.col("text"), config), F.lit(config.episode_cap)), "compaction", "before_compaction", now, now_ms, config)
+    return _episodes(_started(M.joined(texts), messages), F.left(T.sanitize(F.col("text"), config), F.lit(config.episode_cap)), "compaction", "before_compaction", now, now_ms, config)
 
 
 def before_reset(messages: DataFrame, now: str, now_ms: int, config: Config = DEFAULT) -> DataFrame:
     """As before_compaction with shorter messages and the last 20 texts."""
     texts = _long_enough(messages, M.extract_texts(messages, config.reset_message_cap, config.min_text), config)
     last = M.last_per_session(texts, config.reset_sample, "idx", "block")
-    return _episodes(M.joined(last), F.left(T.sanitize(F.col("text"), config), F.lit(config.episode_cap)), "session-reset", "before_reset", now, now_ms, config)
+    return _episodes(_started(M.joined(last), messages), F.left(T.sanitize(F.col("text"), config), F.lit(config.episode_cap)), "session-reset", "before_reset", now, now_ms, config)
 
 
 def subagent_ended(messages: DataFrame, summaries: DataFrame, now: str, now_ms: int, config: Config = DEFAULT) -> DataFrame:

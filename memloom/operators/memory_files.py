@@ -53,3 +53,9 @@ def written(calls: DataFrame, config: Config = DEFAULT) -> DataFrame:
     ok = calls.where(F.coalesce(F.col("error"), F.lit("")) == "")
     paths = ok.select(T.memory_path(F.col("tool"), F.col("params")).alias("path")).where("path is not null").distinct()
     return paths.where(T.is_indexable(F.col("path"), config.index_extensions))
+
+
+def auto_index(calls: DataFrame, files: DataFrame, state: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """files (classified) that tool calls have written: what the hook after a tool call indexes; none with auto_index off."""
+    paths = written(calls, config).where(F.lit(config.auto_index))
+    return classify(files.join(paths, "path", "left_semi"), state, config)

@@ -34,6 +34,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     one = F.broadcast(size)  # a single row
     weights = df.crossJoin(one).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weights = F.broadcast(weights) if terms.count() <= MOST_TERMS else weights
     scored = post.crossJoin(one).join(weights, "term").join(asked, "term")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") * F.col("n") / F.col("total")))
     scored = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))

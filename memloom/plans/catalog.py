@@ -39,10 +39,11 @@ _TEXTS = f"{_M}, texts AS (SELECT session_key, idx, role || ': ' || left(content
 
 
 def _clean(x: str) -> str:
-    """The sanitizer for DuckDB (all steps but the one that needs look-ahead, which the relations never trigger)."""
+    """The sanitizer for DuckDB; the step with look-ahead is written as both orders of its two keys, which the relations' blocks have inside."""
     for tag in ("memory-context", "memory-continuity", "relevant-memories"):
         x = f"regexp_replace({x}, '(?s)<{tag}>.*?</{tag}>', '', 'g')"
     x = f"""regexp_replace({x}, '(?s)```json\\s*\\n\\s*\\{{["\\s]*schema["\\s]*:\\s*"inbound_meta.*?```', '', 'g')"""
+    x = f"""regexp_replace({x}, '```json\\s*\\n\\s*\\{{([^`]*"label"[^`]*"sender"|[^`]*"sender"[^`]*"label")[^`]*```', '', 'g')"""
     x = f"regexp_replace({x}, '(?m)^\\[Subagent Context\\][^\\n\\r]*', '', 'g')"
     x = f"regexp_replace({x}, '(?m)^\\[(Mon|Tue|Wed|Thu|Fri|Sat|Sun)\\s+\\d{{4}}-\\d{{2}}-\\d{{2}}\\s+\\d{{2}}:\\d{{2}}\\s+[A-Za-z]{{2,5}}\\][ \\t]*', '', 'g')"
     x = f"regexp_replace({x}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
@@ -245,6 +246,29 @@ def prompt_flags(spark, sf_dir):
     return R.messages(spark, sf_dir).select("session_key", "idx", T.has_deictic(c).alias("deictic"), T.prompt_passes(c).alias("passes"), T.tokens_estimate(c).alias("tokens"))
 
 
+@_query(f"{_TEXTS.replace('FROM messages WHERE', 'FROM messages WHERE conv_id % 5 <> 0 AND')}, clean AS (SELECT session_key, idx, {_clean('text')} AS text FROM texts), j AS (SELECT session_key, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS text FROM clean WHERE text <> '' GROUP BY session_key) " + _episode("j", "left(text, 12000)", "batch", "'ingest_batch'"))
+def capture_awake(spark, sf_dir):
+    """The batch capture of all but heartbeat messages."""
+    return capture.batch(R.messages(spark, sf_dir).withColumn("is_heartbeat", F.col("conv_id") % 5 == 0), NOW, NOW_MS)
+
+
+_STARTED = "SELECT session_key, '2026-01-0' || CAST(1 + (conv_id + idx) % 5 AS STRING) || 'T00:00:00.000Z' AS session_start FROM messages WHERE conv_id % 2 = 0"
+
+
+_HOOKED = _described("'before_compaction'")
+
+
+@_query(
+    f"""{_TEXTS}, {_HOOK}, j AS ({_JOINED} HAVING count(*) >= 2), st AS (SELECT session_key, max(session_start) AS start FROM ({_STARTED}) GROUP BY session_key)
+SELECT session_key, CASE WHEN start IS NULL THEN {_HOOKED} ELSE left({_HOOKED}, length({_HOOKED}) - 1) || ',"session_start":"' || start || '"}}' END AS source_description
+FROM j LEFT JOIN st USING (session_key) WHERE session_key IN (SELECT session_key FROM enough)"""
+)
+def session_start(spark, sf_dir):
+    """The provenance of hook captures with the latest start of their session."""
+    rows = R.messages(spark, sf_dir)
+    return capture.before_compaction(capture.with_session_start(rows, R._select(spark, _STARTED, messages=rows)), NOW, NOW_MS).select("session_key", "source_description")
+
+
 # --- search --------------------------------------------------------------------------------------------------------
 
 _BM25 = """asked AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM queries),
@@ -290,7 +314,7 @@ def hybrid_rrf(spark, sf_dir):
 
 _ASSEMBLE = f"""{_tail(1500)}, last AS (SELECT session_key, count(*) AS n, arg_max(content, idx) FILTER (WHERE role = 'user') AS c FROM messages GROUP BY session_key),
 due AS (SELECT session_key FROM last WHERE n <= 3 OR coalesce({_DEICTIC_SQL.format(x="c")}, false)),
-facts AS ({R.FACTS}), docs AS (SELECT uuid AS doc_id, name || ' ' || fact AS text FROM facts),
+facts AS (SELECT * FROM ({R.FACTS}) WHERE group_id = 'core'), docs AS (SELECT uuid AS doc_id, name || ' ' || fact AS text FROM facts),
 queries AS (SELECT session_key AS query_id, right(text, 200) AS query FROM tail WHERE session_key IN (SELECT session_key FROM due)), {_BM25},
 b AS (SELECT query_id AS session_key, '<memory-context>' || chr(10) || 'Relevant knowledge graph facts (auto-recalled):' || chr(10) || string_agg('- **' || name || '**: ' || fact, chr(10) ORDER BY rank) || chr(10) || '</memory-context>' AS facts FROM best JOIN facts ON uuid = doc_id WHERE rank <= 5 GROUP BY query_id),
 t AS (SELECT session_key, '<memory-continuity>' || chr(10) || 'Recent session context (recovered from transcript):' || chr(10) || text || chr(10) || '</memory-continuity>' AS continuity FROM tail WHERE session_key IN (SELECT session_key FROM due))"""
@@ -299,13 +323,13 @@ t AS (SELECT session_key, '<memory-continuity>' || chr(10) || 'Recent session co
 @_query(f"{_ASSEMBLE} SELECT session_key, md5(continuity) AS continuity, md5(facts) AS facts, CAST(ceil(length(concat_ws(chr(10) || chr(10), continuity, facts)) / 4.0) AS BIGINT) AS tokens FROM t LEFT JOIN b USING (session_key)")
 def assemble_context(spark, sf_dir):
     """What each session in need of context gets: its tail and the facts found by the tail's last 200 characters."""
-    config = replace(DEFAULT, semantic_query_chars=200, recall_max_facts=5)
+    config = replace(DEFAULT, semantic_query_chars=200, recall_max_facts=5, auto_recall=True)
     out = recall.assemble(R.messages(spark, sf_dir), R.facts(spark, sf_dir), config, 1500)
     return out.select("session_key", F.md5("continuity").alias("continuity"), F.md5("facts").alias("facts"), "tokens")
 
 
 _FOUND = f"SELECT query_id, '<memory-context>' || chr(10) || 'Relevant knowledge graph facts (auto-recalled):' || chr(10) || string_agg('- **' || name || '**: ' || fact, chr(10) ORDER BY rank) || chr(10) || '</memory-context>' AS addition FROM best JOIN facts ON uuid = doc_id WHERE rank <= 10 GROUP BY query_id"
-_FACT_DOCS = f"facts AS ({R.FACTS}), docs AS (SELECT uuid AS doc_id, name || ' ' || fact AS text FROM facts)"
+_FACT_DOCS = f"facts AS (SELECT * FROM ({R.FACTS}) WHERE group_id = 'core'), docs AS (SELECT uuid AS doc_id, name || ' ' || fact AS text FROM facts)"
 
 
 @_query(
@@ -326,6 +350,49 @@ def spawn_context(spark, sf_dir):
     return recall.spawn_context(tasks, R.facts(spark, sf_dir)).select("query_id", F.md5("addition").alias("addition"))
 
 
+_ITEMS = "SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN left(text, 9) WHEN 1 THEN 'HEARTBEAT ' || text ELSE text END AS query FROM benchmark"
+
+
+@_query(f"WITH {_FACT_DOCS}, queries AS (SELECT * FROM ({_ITEMS}) WHERE query_id % 50 IN (0, 1, 2) AND length(query) >= 10 AND NOT contains(query, 'HEARTBEAT')), {_BM25} SELECT query_id, md5(addition) AS addition FROM ({_FOUND})")
+def hook_recall(spark, sf_dir):
+    """The facts that prompts get before they are answered; short ones and heartbeats get none."""
+    prompts = R._select(spark, _ITEMS, benchmark=R.table(spark, sf_dir, "benchmark")).where("query_id % 50 IN (0, 1, 2)")
+    return recall.hook_recall(prompts, R.facts(spark, sf_dir), replace(DEFAULT, auto_recall=True)).select("query_id", F.md5("addition").alias("addition"))
+
+
+@_query(
+    f"WITH facts AS ({R.FACTS}), docs AS (SELECT uuid AS doc_id, name || ' ' || fact AS text FROM facts WHERE group_id IN ('core', 'other')), queries AS (SELECT item_id AS query_id, CASE WHEN item_id = 0 THEN '' ELSE text END AS query FROM benchmark WHERE item_id % 50 = 0 OR item_id = 7), {_BM25}, "
+    "t AS (SELECT query_id, count(*) AS n, string_agg(rank || '. **' || name || '**: ' || fact || ' [' || coalesce(valid_at, 'ongoing') || ']', chr(10) ORDER BY rank) AS lines, string_agg(uuid, ',' ORDER BY rank) AS uuids FROM best JOIN facts ON uuid = doc_id WHERE rank <= 5 GROUP BY query_id) "
+    "SELECT query_id, md5(CASE WHEN n IS NULL THEN 'No relevant facts found in the knowledge graph.' ELSE 'Found ' || n || ' facts:' || chr(10) || chr(10) || lines END) AS text, coalesce(n, 0) AS count, uuids FROM queries LEFT JOIN t USING (query_id)"
+)
+def search_tool(spark, sf_dir):
+    """The search tool's answer over two groups: a numbered listing and its details."""
+    queries = R.table(spark, sf_dir, "benchmark").where("item_id % 50 = 0 OR item_id = 7").select(F.col("item_id").alias("query_id"), F.expr("CASE WHEN item_id = 0 THEN '' ELSE text END AS query"))
+    out = recall.search_tool(queries, R.facts(spark, sf_dir), 5, ("core", "other"))
+    return out.select("query_id", F.md5("text").alias("text"), "count", F.array_join(F.transform("details", lambda d: d["uuid"]), ",").alias("uuids"))
+
+
+_SIGNAL = "CASE conv_id % 4 WHEN 0 THEN 'compact' WHEN 1 THEN 'bootstrap' END"
+
+
+@_query(
+    f"""{_M}, last AS (SELECT session_key, any_value(conv_id) AS conv_id, count(*) AS n, arg_max(content, idx) FILTER (WHERE role = 'user') AS c FROM messages GROUP BY session_key),
+s AS (SELECT session_key, n, coalesce(length(c) > 1 AND {_DEICTIC_SQL.format(x="c")}, false) AS deictic, {_SIGNAL} AS event, conv_id % 3 = 0 AS recalled FROM last)
+SELECT session_key FROM s WHERE NOT (recalled AND event IS NULL AND NOT deictic) AND (event IN ('bootstrap', 'compact') OR n <= 3 OR deictic)"""
+)
+def recall_due(spark, sf_dir):
+    """The sessions that get context back, by pending events, earlier recall, gap and last user text."""
+    rows = R.messages(spark, sf_dir)
+    signals = rows.select("session_key", F.expr(f"{_SIGNAL} AS event"), F.expr("conv_id % 3 = 0 AS recalled")).distinct()
+    return recall.due(rows, replace(DEFAULT, auto_recall=True), signals)
+
+
+@_query(f"{_M}, e AS ({R.EPISODES}), n AS (SELECT least(count(*), 10000) AS episode_count FROM e WHERE group_id = 'core') SELECT session_key, true AS bootstrapped, 'bootstrap' AS event, false AS recalled, episode_count FROM (SELECT DISTINCT session_key FROM messages), n")
+def session_bootstrap(spark, sf_dir):
+    """What every session gets at its start."""
+    return recall.bootstrap(R.messages(spark, sf_dir).select("session_key").distinct(), R.episodes(spark, sf_dir)).drop("reason")
+
+
 # --- episodes and facts --------------------------------------------------------------------------------------------
 
 _OF = "CASE WHEN json_valid(source_description) AND trim(source_description) <> 'null' THEN coalesce(json_extract_string(source_description, '$.session_key') = 's7', false) ELSE coalesce(contains(source_description, 'session=s7'), false) OR coalesce(contains(name, 's7'), false) END"
@@ -496,3 +563,15 @@ def time_ago(spark, sf_dir):
     events = R.table(spark, sf_dir, "events")
     last = events.agg(F.max("ts").alias("m"))  # one row
     return events.crossJoin(F.broadcast(last)).select("event_id", T.time_ago(F.col("ts"), F.col("m")).alias("age"))
+
+
+_WROTE = "SELECT CASE WHEN doc_id % 3 = 0 THEN 'read' ELSE 'Write' END AS tool, map('path', '/home/' || path) AS params, CASE WHEN doc_id % 5 = 0 THEN 'denied' WHEN doc_id % 5 = 1 THEN '' END AS error FROM noted"
+
+
+@_query(f"{_FS}, d AS (SELECT *, CAST(regexp_extract(path, '([0-9]+)[^0-9]*$', 1) AS BIGINT) AS doc_id FROM x) SELECT path, {_RUN} AS status FROM d WHERE ext IN ('.md', '.txt') AND doc_id % 3 <> 0 AND doc_id % 5 <> 0")
+def auto_index(spark, sf_dir):
+    """What is indexed of the files that tool calls without an error wrote."""
+    files = R.files(spark, sf_dir)
+    noted = files.withColumn("doc_id", F.regexp_extract("path", "([0-9]+)[^0-9]*$", 1).cast("long"))
+    calls = R._select(spark, _WROTE, noted=noted)
+    return memory_files.auto_index(calls, files, R.state(spark, sf_dir)).select("path", "status")

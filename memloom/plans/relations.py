@@ -23,6 +23,7 @@ SELECT 'conv-' || CAST(conv_id AS STRING) AS session_key, conv_id, CAST(turn AS
     WHEN 6 THEN text || {_NL} || {_NL} || {_NL} || {_NL} || 'after blanks' || {_NL} || '  '
     WHEN 7 THEN 'As we discussed, keep going: ' || text
     WHEN 8 THEN 'short text of 20 chr'
+    WHEN 10 THEN '```json' || {_NL} || CASE WHEN turn % 2 = 0 THEN '{{"label": "a", "sender": "b"}}' ELSE '{{"n": {{"sender": "b"}}, "label": "a"}}' END || {_NL} || '```' || {_NL} || text
     WHEN 9 THEN '<memory-context>all of it is recalled</memory-context>'
     ELSE text END AS content
 FROM conversations

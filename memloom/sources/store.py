@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
+from pyspark.sql.window import Window
 
 from memloom.config import DEFAULT, Config
 from memloom.operators import continuity, memory_files
 
 EPISODE = S.StructType().add("uuid", "string", False).add("name", "string").add("labels", S.ArrayType(S.StringType())).add("created_at", "string").add("source", "string").add("source_description", "string").add("content", "string").add("valid_at", "string").add("entity_edges", S.ArrayType(S.StringType())).add("group_id", "string")
+BATCH = S.StructField("batch", S.StringType())
 FACT = S.StructType().add("uuid", "string", False).add("name", "string").add("fact", "string").add("valid_at", "string").add("invalid_at", "string").add("created_at", "string").add("expired_at", "string").add("group_id", "string")
 STATE = S.StructType().add("path", "string").add("last_modified", "string").add("last_indexed", "string")
 
@@ -40,13 +42,17 @@ def as_episodes(captured: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def append_episodes(captured: DataFrame, path: str, config: Config = DEFAULT) -> None:
-    """Captured rows appended as episodes by group."""
-    as_episodes(captured, config).write.mode("append").partitionBy("group_id").parquet(path)
+    """Captured rows appended as episodes; folders by group and batch, as for streams, so both can share a store."""
+    as_episodes(captured, config).withColumn("batch", F.lit("appended")).write.mode("append").partitionBy("group_id", "batch").parquet(path)
 
 
-def write_batch(captured: DataFrame, path: str, number: int, config: Config = DEFAULT) -> None:
-    """The episodes of one micro-batch, in a folder of its number; a repeated batch replaces itself."""
-    as_episodes(captured, config).write.mode("overwrite").partitionBy("group_id").parquet(f"{path}/batch={number}")
+def write_batch(captured: DataFrame, path: str, key: str, config: Config = DEFAULT) -> None:
+    """The episodes of one micro-batch under its key; a repeated batch replaces itself, and episodes that other batches have stored stay there."""
+    rows = as_episodes(captured, config)
+    if exists(captured.sparkSession, path):
+        there = read(captured.sparkSession, path, S.StructType([*EPISODE.fields, BATCH])).where(F.col("batch") != key)
+        rows = rows.join(there.select("uuid", "created_at"), ["uuid", "created_at"], "left_anti").select(*EPISODE.names)
+    rows.withColumn("batch", F.lit(key)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("group_id", "batch").parquet(path)
 
 
 def delete_episodes(spark: SparkSession, path: str, uuids: DataFrame) -> None:
@@ -60,8 +66,8 @@ def delete_episodes(spark: SparkSession, path: str, uuids: DataFrame) -> None:
         files.delete(old, True)
     if not files.exists(place):
         return
-    rows = read(spark, path, EPISODE)
-    rows.join(uuids.select("uuid").distinct(), "uuid", "left_anti").write.mode("overwrite").partitionBy("group_id").parquet(f"{path}.next")
+    rows = read(spark, path, S.StructType([*EPISODE.fields, BATCH]))
+    rows.join(uuids.select("uuid").distinct(), "uuid", "left_anti").write.mode("overwrite").partitionBy("group_id", "batch").parquet(f"{path}.next")
     files.rename(place, old)
     files.rename(fresh, place)
     files.delete(old, True)
@@ -95,9 +101,12 @@ def replace(rows: DataFrame, folder: str) -> str:
 def transcript(spark: SparkSession, path: str) -> DataFrame:
     """(session_key, idx, role, content, blocks) from JSONL session files; lines that are no message are passed over.
 
-    A file's lines keep their order by position; the session key is the file's name without its ending.
+    Files are read line by line and may be split: lines are ordered by their split's start and their place in it. The
+    session key is the file's name without its ending.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("session_key"), F.posexplode(F.split("value", "\n")).alias("idx", "line"))
+    key = F.regexp_extract("_metadata.file_name", r"([^/]+?)(\.[^./]*)?$", 1)
+    lines = spark.read.text(path).select(key.alias("session_key"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
+    lines = lines.withColumn("idx", F.row_number().over(Window.partitionBy("session_key").orderBy("at", "row")) - 1)
     parsed = lines.withColumn("v", F.try_parse_json("line"))
     get = lambda p, t: F.try_variant_get("v", p, t)
     rows = parsed.where(get("$.type", "string") == "message")
@@ -118,11 +127,15 @@ def transcript_tail(spark: SparkSession, path: str, budget: int = DEFAULT.contin
 def memory_folder(spark: SparkSession, folder: str, prefix: str = "memory", config: Config = DEFAULT) -> DataFrame:
     """(path, last_modified, size, excerpt) of all files below a folder; too large ones are unreadable."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    root = "/" + folder.rstrip("/").split("/")[-1] + "/"
-    name = F.concat(F.lit(f"{prefix}/"), F.substring_index("path", root, -1))
-    fits = F.col("length") <= config.file_max_bytes
-    stamp = F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    return files.select(name.alias("path"), F.when(fits, stamp).alias("last_modified"), F.when(fits, F.col("length")).alias("size"), F.when(fits, memory_files.excerpt(F.col("content"), config)).alias("excerpt"))
+    system, place = _place(spark, folder)
+    root = system.makeQualified(place).toString().rstrip("/")
+    name = F.concat(F.lit(f"{prefix}/"), F.expr(f"substring(path, {len(root) + 2})")).alias("path")
+    stamp = F.date_format(F.to_utc_timestamp("modificationTime", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    fits = files.where(F.col("length") <= config.file_max_bytes)
+    rows = fits.select(name, stamp.alias("last_modified"), F.col("length").alias("size"), memory_files.excerpt(F.col("content"), config).alias("excerpt"))
+    # Of larger files only the names are read.
+    large = files.where(F.col("length") > config.file_max_bytes).select(name, *[F.lit(None).cast(t).alias(c) for c, t in (("last_modified", "string"), ("size", "long"), ("excerpt", "string"))])
+    return rows.union(large)
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """Capture from a stream of hook events, and windowed rates of a stream.
 
 Each micro-batch goes through the batch captures. A batch's episodes are written
-to a folder named by its number and overwritten when the batch is run again, so a
+under the query's id and its number and overwritten when the batch is run again, so a
 restart neither loses nor doubles them. Sweeps that take messages a second time
 are kept: their event tells them apart.
 """
 
 from __future__ import annotations
 
+import json
 from datetime import UTC, datetime
 from functools import reduce
 
@@ -38,7 +39,13 @@ def capture_stream(rows: DataFrame, path: str, checkpoint: str, config: Config =
     def write(batch: DataFrame, number: int) -> None:
         at = datetime.fromisoformat(now) if now else datetime.now(UTC)
         stamp = at.strftime("%Y-%m-%dT%H:%M:%S.") + f"{at.microsecond // 1000:03d}Z"
-        store.write_batch(captured(batch, stamp, int(at.timestamp() * 1000), config), path, number, config)
+        # The query's id, which a checkpoint keeps: another stream counts its batches from 0 too.
+        query = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
+        batch = batch.persist()  # six captures read it
+        try:
+            store.write_batch(captured(batch, stamp, int(at.timestamp() * 1000), config), path, f"{query}-{number}", config)
+        finally:
+            batch.unpersist()
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -2,8 +2,10 @@
 
 import json
 import random
+from dataclasses import replace
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from memloom import cli
@@ -116,6 +118,13 @@ def test_streamed_capture_equals_batch(spark, tmp_path):
     before = got.count()
     streamed.capture_stream(source(), str(tmp_path / "episodes"), str(tmp_path / "other"), now=NOW).awaitTermination()
     assert store.read(spark, str(tmp_path / "episodes"), store.EPISODE).count() == before
+    # A stream and direct appends share a store, and deletion keeps both readable.
+    more = spark.createDataFrame([("own", 0, "user", "a text that is long enough")], MESSAGE)
+    store.append_episodes(capture.compact(more, NOW, MS), str(tmp_path / "episodes"))
+    assert store.read(spark, str(tmp_path / "episodes"), store.EPISODE).count() == before + 1
+    gone = store.read(spark, str(tmp_path / "episodes"), store.EPISODE).where("content like '%long enough%'").select("uuid")
+    store.delete_episodes(spark, str(tmp_path / "episodes"), spark.createDataFrame(gone.collect(), "uuid string"))
+    assert store.read(spark, str(tmp_path / "episodes"), store.EPISODE).count() == before
 
 
 def test_turns(spark):
@@ -139,19 +148,36 @@ def test_capture_gates(spark):
 
 def test_assemble_falls_back(spark):
     messages = spark.createDataFrame([("a", 0, "user", "tell me about whales"), ("b", 0, "user", "tell me about tigers"), ("c", 0, "user", "nothing known of it")], MESSAGE)
-    facts = spark.createDataFrame([("f1", "LIKES", "whales are large"), ("f2", "LIKES", "tigers are striped"), ("f3", "OLD", "bears sleep")], "uuid string, name string, fact string")
+    facts = spark.createDataFrame([("f1", "LIKES", "whales are large"), ("f2", "LIKES", "tigers are striped"), ("f3", "OLD", "bears sleep")], "uuid string, name string, fact string").withColumn("group_id", F.lit("core"))
+    facts = facts.union(spark.createDataFrame([("o1", "THEIRS", "whales tigers bears of another tenant", "other")], facts.schema))
+    on = replace(DEFAULT, auto_recall=True)
     tails = spark.createDataFrame([("a", "User: bears")], "session_key string, text string")
-    stored = spark.createDataFrame([("e", "earlier on tigers", '{"session_key":"z"}', "2026")], "uuid string, content string, source_description string, created_at string")
-    got = {r.session_key: (r.continuity, r.facts) for r in recall.assemble(messages, facts, tails=tails, stored=stored).collect()}
+    stored = spark.createDataFrame([("e", "earlier on tigers", '{"session_key":"z"}', "2026")], "uuid string, content string, source_description string, created_at string").withColumn("group_id", F.lit("core"))
+    assert recall.assemble(messages, facts, tails=tails, stored=stored).count() == 0
+    got = {r.session_key: (r.continuity, r.facts) for r in recall.assemble(messages, facts, on, tails=tails, stored=stored).collect()}
     assert "bears sleep" in got["a"][1] and "User: bears" in got["a"][0]
     assert got["b"][0] is None and "tigers are striped" in got["b"][1] and "c" not in got
     known = stored.withColumn("source_description", F.lit('{"session_key":"c"}'))
-    got = {r.session_key: (r.continuity, r.facts) for r in recall.assemble(messages, facts, tails=tails, stored=known).collect()}
+    got = {r.session_key: (r.continuity, r.facts) for r in recall.assemble(messages, facts, on, tails=tails, stored=known).collect()}
     assert "earlier on tigers" in got["c"][0] and "tigers are striped" in got["c"][1]
     tasks = spark.createDataFrame([(1, "whales"), (2, ""), (3, "HEARTBEAT whales are here")], "query_id long, query string")
     assert {r.query_id for r in recall.spawn_context(tasks, facts).collect()} == {1, 3}
-    assert {r.query_id for r in recall.hook_recall(tasks, facts).collect()} == set()
-    assert {r.uuid for r in recall.memory_search(messages.where("session_key = 'b'"), facts).collect()} >= {"f2"}
+    assert recall.hook_recall(tasks, facts).count() == 0
+    asked = tasks.union(spark.createDataFrame([(4, "where do whales live")], tasks.schema))
+    assert {r.query_id for r in recall.hook_recall(asked, facts, on).collect()} == {4}
+    # The newest 20 episodes of the own group only.
+    newer = spark.createDataFrame([(f"n{i}", "x", '{"session_key":"z"}', "2027", "core") for i in range(20)], known.schema)
+    foreign = known.withColumn("group_id", F.lit("other")).withColumn("content", F.lit("foreign"))
+    for more, found in ((newer, False), (foreign, True)):
+        got = {r.session_key: r.continuity for r in recall.assemble(messages, facts, on, tails=tails, stored=known.union(more)).collect()}
+        assert ("c" in got and "earlier on tigers" in got["c"]) == found and "foreign" not in str(got)
+    found = {r.uuid for r in recall.memory_search(messages, facts).collect()}
+    assert found == {"f1", "f2"}
+    assert {r.uuid for r in recall.found_facts(asked, facts, 5, ("core", "other")).collect()} == {"f1", "f2", "o1"}
+    for limit in (0, 51):
+        with pytest.raises(ValueError):
+            recall.search_tool(asked, facts, limit)
+    assert [r.bootstrapped for r in recall.bootstrap(tails, stored, healthy=False).collect()] == [False]
 
 
 def test_transcript(spark, tmp_path):
@@ -160,6 +186,40 @@ def test_transcript(spark, tmp_path):
     got = {r.session_key: r.text for r in store.transcript_tail(spark, str(tmp_path)).collect()}
     assert got == {"s1": "User: first\nAssistant: second"}
     assert store.transcript_tail(spark, str(tmp_path), 5).first().text == "Assistant: second"
+    many = [{"type": "message", "message": {"role": "user", "content": f"{i} " + "x" * (i % 50)}} for i in range(3000)]
+    (tmp_path / "long.jsonl").write_text("\n".join(map(json.dumps, many)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        rows = store.transcript(spark, str(tmp_path / "long.jsonl"))
+        assert rows.rdd.getNumPartitions() > 0 and [r.content.split()[0] for r in rows.orderBy("idx").collect()] == [str(i) for i in range(3000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_memory_folder_paths_and_times(spark, tmp_path):
+    import os
+
+    for place in ("memory", "memory/deep/memory"):
+        (tmp_path / place).mkdir(parents=True, exist_ok=True)
+        (tmp_path / place / "x.md").write_text(place)
+        os.utime(tmp_path / place / "x.md", (0, 0))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        got = sorted((r.path, r.last_modified, r.excerpt) for r in store.memory_folder(spark, str(tmp_path / "memory")).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [("memory/deep/memory/x.md", "1970-01-01T00:00:00.000Z", "memory/deep/memory"), ("memory/x.md", "1970-01-01T00:00:00.000Z", "memory")]
+
+
+def test_auto_index_off(spark):
+    calls = spark.createDataFrame([("Write", {"path": "memory/a.md"}, None)], "tool string, params map<string,string>, error string")
+    files = spark.createDataFrame([("memory/a.md", "1", 1, "x")], "path string, last_modified string, size long, excerpt string")
+    state = spark.createDataFrame([], store.STATE)
+    assert memory_files.auto_index(calls, files, state).first().status == "indexed"
+    assert memory_files.auto_index(calls, files, state, replace(DEFAULT, auto_index=False)).count() == 0
 
 
 def test_index_runs_once(spark, tmp_path):

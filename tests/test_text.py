@@ -130,3 +130,17 @@ def test_excerpt(spark, n, want):
     cut = spark.createDataFrame([(bytearray("é".encode() * 1024 + b"x"),), (bytearray(b"a" * 2047 + "é".encode()),)], "content binary")
     wide = [r[0] for r in cut.select(F.make_valid_utf8(F.substring("content", 1, 2048).cast("string"))).collect()]
     assert wide == ["é" * 1024, "a" * 2047 + "�"]
+
+
+def test_trim_is_linear(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from memloom.functions import text as T
+
+    row = spark.range(1).select(T.trim(F.concat(F.lit(" \u3000a"), F.repeat(F.lit(" "), 1_000_000), F.lit("b\ufeff\n"))).alias("t"))
+    row.collect()
+    began = time.perf_counter()
+    text = row.first().t
+    assert time.perf_counter() - began < 5 and len(text) == 1_000_002 and text[0] == "a" and text[-1] == "b"
