@@ -110,12 +110,17 @@ def held(key: tuple | None, make=lambda: None):
         _HELD[:] = [None, None]
         gc.collect()
         _HELD[:] = [key, make()]
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # memory freed inside the heap goes back to the system, where the C library can do that
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
     return _HELD[1]
 
 
+def give_back() -> None:
+    """To be called after a partition or a batch: what is free inside the heap goes back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of 64-bit integers (the splitmix finaliser)."""
     x = x.astype(np.uint64, copy=True)

@@ -166,6 +166,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     "sig": pa.array([r.tobytes() for r in sig], pa.binary()), "bands": pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * BANDS, bands.view(np.int64).ravel()),
                 }
             )
+        common.give_back()
 
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, k1 long, k2 long, sig binary, bands array<long>")
 
@@ -180,7 +181,9 @@ def verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
 
     @F.arrow_udf("double")
     def overlap(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(overlaps(a, b))
+        out = pa.array(overlaps(a, b))
+        common.give_back()
+        return out
 
     side = lambda k: held.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}"))
     per = lambda df: df.groupBy("u").agg(F.count("*").alias("n"))
@@ -228,6 +231,12 @@ def keys(texts: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
+def _keys(texts: pa.Array) -> pa.Array:
+    out = keys(texts)
+    common.give_back()
+    return out
+
+
 def _against(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     """The similarity of a bag's keys to each of others."""
     sizes = np.array([len(x) for x in others])
@@ -301,7 +310,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rest = common.staged(rest.select("bucket", "band", "k", "all", "id", "n", "comp0"), "mixed-buckets")
     many = rest.agg(F.count("*").alias("rows"), F.sum("n").alias("keys")).first()
     if many["rows"]:
-        bag = F.arrow_udf(keys, "binary")
+        bag = F.arrow_udf(_keys, "binary")
         content = held.join(rest.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "sig", bag("text").alias("bag"))
         tasks = max(1, -(-many["rows"] // TASK_ROWS), -(-8 * many["keys"] // TASK_BYTES))
         blocks = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("all") * 8 / BLOCK_BYTES)).cast("int")
@@ -311,7 +320,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         by = [F.when(alone, F.pmod(F.xxhash64("bucket"), F.lit(tasks))).otherwise(F.col("bucket")).alias("t"), F.least("block", "to").alias("x"), F.greatest("block", "to").alias("y"), alone.alias("z")]
 
         def compare(table: pa.Table) -> pa.Table:
-            return _cross_links(table, similarity)
+            out = _cross_links(table, similarity)
+            common.give_back()
+            return out
 
         new = common.staged(at.groupBy(*by).applyInArrow(compare, "u long, v long"), "cross-links")
         if not new.isEmpty():

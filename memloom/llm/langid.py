@@ -139,6 +139,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             found, score = shared.value.predict([t or "" for t in b.column("text").to_pylist()])
             langs += found
             scores.append(score)
+        common.give_back()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], fields=list(kind))
 
     out = docs.withColumn("_judged", judged("text"))

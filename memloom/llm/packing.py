@@ -36,8 +36,8 @@ from memloom.llm import common
 CAPACITY, END = 4096, 1
 #: Least salts of a length's group, and rows for which one more is added.
 LEAST_SALTS, ROWS_PER_SALT = 16, 4_000_000
-#: Chunks, and pieces, whose ids a worker remembers before it starts over.
-CACHE = 400_000
+#: Pieces whose ids a worker remembers before it starts over.
+CACHE = 500_000
 #: Texts of these characters only split at their white space alike everywhere; others go to the tokenizer whole.
 _PLAIN = re.compile(r"[\t\n\r -~¡-ɏ]*\Z")
 
@@ -45,9 +45,9 @@ _PLAIN = re.compile(r"[\t\n\r -~¡-ɏ]*\Z")
 class Encoder:
     """ids of a tokenizers file as little-endian unsigned 32-bit bytes.
 
-    The file's tokenizer lower-cases, drops white space and cuts by a pattern, so a plain text is the row of its chunks
-    between white space, and a chunk the row of its pieces; both are remembered. Pieces that are new go to the tokenizer
-    in long rows, with a word between them that no plain piece contains.
+    The file's tokenizer lower-cases, drops white space and cuts by a pattern, so a plain text is the row of its pieces,
+    which are remembered. Pieces that are new go to the tokenizer in long rows, with a word between them that no plain
+    piece contains.
     """
 
     GAP = "\N{FACE WITH TEARS OF JOY}"
@@ -65,7 +65,7 @@ class Encoder:
         self.special = re.compile("|".join(re.escape(t["content"]) for t in stated["added_tokens"]) or r"(?!)", re.IGNORECASE).search
         self.cut = regex.compile(stated["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         (self.gap,) = self.tokenizer.encode(self.GAP, add_special_tokens=False).ids
-        self.known, self.pieces = common.Remembered(CACHE), common.Remembered(CACHE)
+        self.pieces = common.Remembered(CACHE)
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -74,24 +74,21 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
-        cuts = [(c, [c] if (cut := self.cut(c)) == [c] else cut) for c in self.known.missing(chunks)]  # one string for both memories
-        new, pieces = list(self.pieces.missing({p for _, cut in cuts for p in cut})), self.pieces.of
+    def _learn(self, wanted: set[str]) -> None:
+        new, known = list(self.pieces.missing(wanted)), self.pieces.of
         for a in range(0, len(new), 5_000):
             some = new[a : a + 5_000]
             raw = self.whole(f" {self.GAP} ".join(some))
             gaps = 4 * np.flatnonzero(np.frombuffer(raw, "<u4") == self.gap)
             starts, ends = [0, *(gaps + 4).tolist()], [*gaps.tolist(), len(raw)]
-            pieces.update((p, raw[i:j]) for p, i, j in zip(some, starts, ends, strict=True))
-        self.known.of.update((c, b"".join(map(pieces.__getitem__, cut))) for c, cut in cuts)
+            known.update((p, raw[i:j]) for p, i, j in zip(some, starts, ends, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [t.lower().split() if _PLAIN.match(t) and not self.special(t) else None for t in texts]
-        self.known.trim()
+        plain = [self.cut(t.lower()) if _PLAIN.match(t) and not self.special(t) else None for t in texts]
         self.pieces.trim()
         self._learn(set().union(*filter(None, plain)))
-        ids = self.known.of.__getitem__
-        return [self.whole(t) if chunks is None else b"".join(map(ids, chunks)) for t, chunks in zip(texts, plain, strict=True)]
+        ids = self.pieces.of.__getitem__
+        return [self.whole(t) if cut is None else b"".join(map(ids, cut)) for t, cut in zip(texts, plain, strict=True)]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -110,6 +107,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
                     doc_ids.append(doc_id), number.append(k), start.append(a // 4), out.append(ids[a : a + step])
             held = pa.array(out, pa.binary())
             yield pa.record_batch({"doc_id": pa.array(doc_ids, pa.int64()), "piece": pa.array(number, pa.int32()), "start": pa.array(start, pa.int64()), "length": pc.divide(pc.binary_length(held), 4).cast(pa.int64()), "ids": held})
+        common.give_back()
 
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 

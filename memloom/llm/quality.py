@@ -183,6 +183,7 @@ def score(docs: DataFrame, trees: Trees) -> DataFrame:
     def scored(text: pa.Array) -> pa.Array:
         common.held(None)
         parts = [shared.value.score(statistics(b.column("text"))) for b in common.slices([pa.record_batch({"text": text})], "text", SLICE)]
+        common.give_back()
         return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     return docs.withColumn("score", scored("text"))
