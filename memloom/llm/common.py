@@ -108,6 +108,7 @@ def held(key: tuple | None, make=lambda: None):
     """What a worker keeps between tasks, made once: the state of one operator at a time, so that of another is let go first."""
     if _HELD[0] != key:
         _HELD[:] = [None, None]
+        _POWERS.clear()
         gc.collect()
         _HELD[:] = [key, make()]
         give_back()

@@ -34,15 +34,11 @@ MOST_LANGS = 512
 #: Bytes of text whose grams are made at a time, each of which takes about a hundred bytes; a longer text stands alone.
 SLICE = 1 << 19
 _LETTER = re.compile(r"[^\W\d_]")
-_KIND = None
 
 
 def _folded() -> np.ndarray:
-    """Code point -> itself for letters, 32 for all else."""
-    global _KIND
-    if _KIND is None:
-        _KIND = np.fromiter((i if chr(i).isalpha() else 32 for i in range(0x110000)), np.uint32, 0x110000)
-    return _KIND
+    """Code point -> itself for letters, 32 for all else; kept by a worker while it works for this operator."""
+    return common.held(("langid",), lambda: np.fromiter((i if chr(i).isalpha() else 32 for i in range(0x110000)), np.uint32, 0x110000))
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +94,6 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def count(batches):
-        common.held(None)
         sums: dict[str, np.ndarray] = {}
         for batch in common.slices(batches, "text", SLICE):
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
@@ -133,7 +128,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def judged(text: pa.Array) -> pa.Array:
-        common.held(None)
         langs, scores = [], [np.zeros(0)]
         for b in common.slices([pa.record_batch({"text": text})], "text", SLICE):
             found, score = shared.value.predict([t or "" for t in b.column("text").to_pylist()])

@@ -37,7 +37,7 @@ CAPACITY, END = 4096, 1
 #: Least salts of a length's group, and rows for which one more is added.
 LEAST_SALTS, ROWS_PER_SALT = 16, 4_000_000
 #: Pieces whose ids a worker remembers before it starts over.
-CACHE = 500_000
+CACHE = 300_000
 #: Texts of these characters only split at their white space alike everywhere; others go to the tokenizer whole.
 _PLAIN = re.compile(r"[\t\n\r -~¡-ɏ]*\Z")
 
