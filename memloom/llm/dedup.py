@@ -299,7 +299,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     held = known.join(side, "doc_id", "left_semi").join(bags.join(side, "doc_id", "left_semi").select("doc_id", "n", "sig"), "doc_id")
     held = common.staged(held, "candidates")
     pairs = common.staged(shared.select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct(), "pairs")
-    links = common.staged(verified(pairs, held, similarity).where(F.col("sim") >= similarity), "verified")
+    # Written before it is filtered: a filter right above would run the function twice, in two workers a task.
+    links = common.staged(verified(pairs, held, similarity), "verified").where(F.col("sim") >= similarity)
     groups = common.staged(graph.components(links.select("u", "v")), "components")
     # Buckets that still hold several components, without their lead, whom all have met.
     wide = shared.where("members > 2").join(groups.withColumnRenamed("component", "comp0"), "id", "left").withColumn("comp0", F.coalesce("comp0", "id"))
