@@ -4,9 +4,10 @@ A text is cut by the published pattern; pieces that are tokens as a whole are
 looked up. All other pieces that a worker hasn't met become token-position rows
 of a DuckDB table. A recursive query joins neighbouring rows with the merge table
 (left id, right id -> merged id) and contracts every word's leftmost pair of least
-rank, until no pair is left. It keeps the current rows only, not those of earlier
-rounds. Decoding joins ids with the vocabulary and aggregates the bytes in order
-of position.
+rank, until no pair is left. A round sees the rows of the one before, and a word's
+rows leave the recursion when it has no pair left; those of earlier rounds are
+dropped. Decoding joins ids with the vocabulary and aggregates the bytes in order of
+position.
 
 The merge table has the size of the vocabulary, whatever the corpus. What a worker
 remembers (chunks and pieces with their ids) is bounded by CACHE; it saves work
@@ -46,32 +47,31 @@ WORDS, WORD_BYTES = 50_000, 1 << 19
 #: Texts of these characters with single spaces and line ends only, whose chunks can be cut one by one.
 _PLAIN = re.compile(r"[\n -~¡-ɏ]*\Z")
 
-#: All places of the least pair at once, from the left and without overlap. `r` numbers the rounds, so that every row of an unfinished word is new to the next.
+#: All places of the least pair at once, from the left and without overlap (only pairs of twins can overlap). `q` is word and position in one number.
 _MERGE = """
-WITH RECURSIVE step(w, p, id, next_p, next_id, r, done) USING KEY (w, p) AS (
-  SELECT w, p, id, next_p, next_id, 0, false FROM pos
-  UNION (
-    WITH pair AS MATERIALIZED (SELECT s.w, s.p, s.id, s.next_p, s.next_id, s.r, m.merged FROM (SELECT * FROM step WHERE NOT done) s LEFT JOIN merges m ON s.id = m.left_id AND s.next_id = m.right_id),
-    best AS (SELECT w, min(merged) AS k FROM pair GROUP BY w),
-    site AS (SELECT w, p, next_p, k, row_number() OVER run AS n, lag(next_p) OVER run IS DISTINCT FROM p AS fresh FROM pair JOIN best USING (w) WHERE merged = k WINDOW run AS (PARTITION BY w ORDER BY p)),
-    taken AS MATERIALIZED (SELECT w, p, next_p AS gone, k FROM (SELECT *, max(CASE WHEN fresh THEN n END) OVER (PARTITION BY w ORDER BY p) AS since FROM site) WHERE (n - since) % 2 = 0),
-    moved AS (
-      SELECT a.w, a.p, a.r + 1 AS r, coalesce(t.k, a.id) AS id, CASE WHEN t.k IS NULL THEN a.next_p ELSE g.next_p END AS next_p, CASE WHEN t.k IS NULL THEN a.next_id ELSE g.next_id END AS next_id
-      FROM pair a LEFT JOIN taken t ON a.w = t.w AND a.p = t.p LEFT JOIN pair g ON g.w = t.w AND g.p = t.gone WHERE NOT EXISTS (FROM taken d WHERE d.w = a.w AND d.gone = a.p)
-    )
-    SELECT m.w, m.p, m.id, m.next_p, coalesce(n.k, m.next_id), m.r, b.k IS NULL FROM moved m JOIN best b ON b.w = m.w LEFT JOIN taken n ON n.w = m.w AND n.p = m.next_p
+WITH RECURSIVE step(w, q, id, next_q, next_id, done) AS (
+  SELECT w, w::BIGINT * 4294967296 + p, id, w::BIGINT * 4294967296 + next_p, next_id, false FROM pos
+  UNION ALL (
+    WITH pair AS MATERIALIZED (SELECT s.w, s.q, s.id, s.next_q, s.next_id, m.merged FROM (SELECT * FROM step WHERE NOT done) s LEFT JOIN merges m ON s.id = m.left_id AND s.next_id = m.right_id),
+    best AS MATERIALIZED (SELECT w, min(merged) AS k FROM pair GROUP BY w),
+    site AS MATERIALIZED (SELECT a.q, a.next_q AS gone, b.k, a.id = a.next_id AS twins FROM pair a JOIN best b USING (w) WHERE a.merged = b.k),
+    run AS (SELECT *, row_number() OVER o AS n, lag(gone) OVER o IS DISTINCT FROM q AS fresh FROM site WHERE twins WINDOW o AS (ORDER BY q)),
+    taken AS (SELECT q, gone, k FROM site WHERE NOT twins UNION ALL SELECT q, gone, k FROM (SELECT *, max(CASE WHEN fresh THEN n END) OVER (ORDER BY q) AS since FROM run) WHERE (n - since) % 2 = 0),
+    edit AS MATERIALIZED (SELECT t.q, t.gone, t.k, g.next_q, g.next_id FROM taken t JOIN pair g ON g.q = t.gone)
+    SELECT a.w, a.q, coalesce(t.k, a.id), CASE WHEN t.k IS NULL THEN a.next_q ELSE t.next_q END, coalesce(n.k, CASE WHEN t.k IS NULL THEN a.next_id ELSE t.next_id END), b.k IS NULL
+    FROM pair a JOIN best b USING (w) LEFT JOIN edit t ON t.q = a.q LEFT JOIN edit n ON n.q = coalesce(t.next_q, a.next_q) WHERE a.q NOT IN (SELECT gone FROM edit)
   )
-) SELECT w, id FROM step WHERE done ORDER BY w, p"""
+) SELECT w, id FROM step WHERE done ORDER BY q"""
 #: One place in a round, for rank files that are not ordered.
 _MERGE_ONE = """
-WITH RECURSIVE step(w, p, id, next_p, next_id, r, done) USING KEY (w, p) AS (
-  SELECT w, p, id, next_p, next_id, 0, false FROM pos
-  UNION (
-    WITH pair AS MATERIALIZED (SELECT s.w, s.p, s.id, s.next_p, s.next_id, s.r, m.merged::BIGINT * 4294967296 + s.p AS k FROM (SELECT * FROM step WHERE NOT done) s LEFT JOIN merges m ON s.id = m.left_id AND s.next_id = m.right_id),
+WITH RECURSIVE step(w, p, id, next_p, next_id, done) AS (
+  SELECT w, p, id, next_p, next_id, false FROM pos
+  UNION ALL (
+    WITH pair AS MATERIALIZED (SELECT s.w, s.p, s.id, s.next_p, s.next_id, m.merged::BIGINT * 4294967296 + s.p AS k FROM (SELECT * FROM step WHERE NOT done) s LEFT JOIN merges m ON s.id = m.left_id AND s.next_id = m.right_id),
     best AS (SELECT w, min(k) AS k, arg_min(next_p, k) AS gone FROM pair GROUP BY w),
     hit AS MATERIALIZED (SELECT b.w, (b.k >> 32)::INT AS merged, (b.k & 4294967295)::INT AS p, b.gone, g.next_p, g.next_id FROM best b LEFT JOIN pair g ON g.w = b.w AND g.p = b.gone)
     SELECT a.w, a.p, CASE WHEN a.p = h.p THEN h.merged ELSE a.id END, CASE WHEN a.p = h.p THEN h.next_p ELSE a.next_p END,
-      CASE WHEN a.p = h.p THEN h.next_id WHEN a.next_p = h.p THEN h.merged ELSE a.next_id END, a.r + 1, h.p IS NULL
+      CASE WHEN a.p = h.p THEN h.next_id WHEN a.next_p = h.p THEN h.merged ELSE a.next_id END, h.p IS NULL
     FROM pair a JOIN hit h ON a.w = h.w WHERE a.p IS DISTINCT FROM h.gone
   )
 ) SELECT w, id FROM step WHERE done ORDER BY w, p"""
