@@ -47,7 +47,7 @@ def batch(messages: DataFrame, now: str, now_ms: int, config: Config = DEFAULT)
     if not config.auto_capture:
         messages = messages.limit(0)
     texts = M.extract_texts(_awake(messages), config.message_cap, config.min_text).withColumn("text", T.sanitize(F.col("text"), config)).where("text != ''")
-    return _episodes(M.joined(texts), F.left("text", F.lit(config.episode_cap)), "batch", "ingest_batch", now, now_ms, config)
+    return _episodes(M.joined_head(texts, config.episode_cap), F.col("text"), "batch", "ingest_batch", now, now_ms, config)
 
 
 def after_turn(messages: DataFrame, counts: DataFrame, now: str, now_ms: int, config: Config = DEFAULT) -> DataFrame:

@@ -31,6 +31,20 @@ def joined(texts: DataFrame, separator: str = "\n\n") -> DataFrame:
     return texts.groupBy("session_key").agg(F.array_join(F.transform(rows, lambda x: x["text"]), separator).alias("text"), F.count("*").alias("n_texts"))
 
 
+def joined_head(texts: DataFrame, cap: int, separator: str = "\n\n", step: int = 1000) -> DataFrame:
+    """(session_key, text): the first cap characters of a session's joined texts.
+
+    Texts are joined by runs of `step` message numbers, each cut to cap, and only runs that start before cap come together,
+    so a session of any size is never one value.
+    """
+    runs = joined(texts.withColumn("session_key", F.struct("session_key", F.floor(F.col("idx") / step).alias("run"))), separator)
+    runs = runs.select("session_key.*", F.left("text", F.lit(cap)).alias("text"), F.length("text").alias("_length"))
+    before = F.sum(F.col("_length") + len(separator)).over(Window.partitionBy("session_key").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < cap)
+    rows = F.array_sort(F.collect_list(F.struct("run", "text")))
+    return runs.groupBy("session_key").agg(F.left(F.array_join(F.transform(rows, lambda x: x["text"]), separator), F.lit(cap)).alias("text"))
+
+
 def last_per_session(rows: DataFrame, n: int, *order: Column | str) -> DataFrame:
     """The last n rows of each session by order."""
     newest = Window.partitionBy("session_key").orderBy(*[F.desc(c) if isinstance(c, str) else c for c in order])

@@ -451,13 +451,22 @@ def fact_lines(spark, sf_dir):
     return R.facts(spark, sf_dir).select("uuid", episodes.search_line().alias("tool"), episodes.cli_search_line().alias("cli"), episodes.candidate_line().alias("candidate"), T.preview(F.col("fact")).alias("preview"))
 
 
-@_query(f"{_F}, b AS (SELECT group_id, '<memory-context>' || chr(10) || 'Relevant knowledge graph facts (auto-recalled):' || chr(10) || string_agg('- **' || name || '**: ' || replace(fact, chr(10), ' '), chr(10) ORDER BY uuid) || chr(10) || '</memory-context>' AS block, count(*) AS n FROM facts GROUP BY group_id) SELECT group_id, md5(block) AS block, CAST(n AS BIGINT) AS n FROM b")
+@_query(
+    f"""{_F}, p AS (SELECT *, split_part(uuid, '-', 2) AS session, CAST(split_part(uuid, '-', 3) AS BIGINT) // {DEFAULT.list_max} AS page FROM facts),
+b AS (SELECT group_id, session, page, '<memory-context>' || chr(10) || 'Relevant knowledge graph facts (auto-recalled):' || chr(10) || string_agg('- **' || name || '**: ' || replace(fact, chr(10), ' '), chr(10) ORDER BY uuid) || chr(10) || '</memory-context>' AS block, count(*) AS n FROM p GROUP BY group_id, session, page)
+SELECT group_id, session, page, md5(block) AS block, CAST(n AS BIGINT) AS n FROM b"""
+)
 def format_facts(spark, sf_dir):
-    """The facts of each group as a block, and their number read off the block."""
+    """The facts of each group as blocks, one for a page of at most 50 turns of a session, and their number read off the block.
+
+    A block goes into one prompt, so it is bounded; a group or session of any size is many pages.
+    """
     rows = R.facts(spark, sf_dir).withColumn("line", T.fact_line(F.col("name"), F.replace("fact", F.lit("\n"), F.lit(" "))))
+    turn = F.split_part("uuid", F.lit("-"), F.lit(3)).cast("long")
+    rows = rows.withColumn("session", F.split_part("uuid", F.lit("-"), F.lit(2))).withColumn("page", F.floor(turn / DEFAULT.list_max))
     parts = F.array_sort(F.collect_list(F.struct("uuid", "line")))
-    blocks = rows.groupBy("group_id").agg(T.context_block(F.array_join(F.transform(parts, lambda x: x["line"]), "\n")).alias("block"))
-    return blocks.select("group_id", F.md5("block").alias("block"), T.count_facts(F.col("block")).cast("long").alias("n"))
+    blocks = rows.groupBy("group_id", "session", "page").agg(T.context_block(F.array_join(F.transform(parts, lambda x: x["line"]), "\n")).alias("block"))
+    return blocks.select("group_id", "session", "page", F.md5("block").alias("block"), T.count_facts(F.col("block")).cast("long").alias("n"))
 
 
 @_query(f"{_F} SELECT uuid, name, group_id FROM facts WHERE group_id IN ('core') AND uuid NOT IN (SELECT uuid FROM facts WHERE valid_at IS NULL)")

@@ -278,3 +278,13 @@ def test_facts_hold_the_whole_text(spark, sf_dir):
     texts = {f"fact-{r.conv_id}-{r.turn}": r.text for r in relations.table(spark, sf_dir, "conversations").collect()}
     got = {r.uuid: r.fact for r in relations.facts(spark, sf_dir).collect()}
     assert got == texts and max(map(len, texts.values())) > 200
+
+
+def test_joined_head_equals_cut_of_the_whole(spark):
+    draw = random.Random(3)
+    rows = [(s, i, b, "x" * draw.randint(1, 9) + str(i)) for s, n in (("hot", 400), ("small", 2), ("one", 1)) for i in range(n) for b in range(draw.randint(1, 2))]
+    texts = spark.createDataFrame(rows, "session_key string, idx long, block int, text string").repartition(5).cache()
+    for cap, step in ((1, 3), (37, 1), (200, 7), (1000, 1000), (100_000, 10)):
+        want = {r["session_key"]: r["text"][:cap] for r in M.joined(texts).collect()}
+        assert {r["session_key"]: r["text"] for r in M.joined_head(texts, cap, step=step).collect()} == want
+    assert M.joined_head(texts.limit(0), 10).count() == 0
