@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from memloom.llm import bpe, dedup, embeddings, html, langid, packing, quality, rules, sharding, urls
+from memloom.llm import bpe, dedup, embeddings, html, langid, lines, packing, quality, rules, sharding, urls
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_urls": urls.op8_urls,
     "op9_quality": quality.op9_quality,
     "op10_langid": langid.op10_langid,
+    "op12_lines": lines.op12_lines,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op8_urls": urls.OP8_SQL}
+ORACLES: dict[str, str] = {"op8_urls": urls.OP8_SQL, "op12_lines": lines.OP12_SQL}
