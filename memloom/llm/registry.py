@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from memloom.llm import bpe, dedup, embeddings, html, langid, lines, packing, quality, rules, sharding, urls
+from memloom.llm import bpe, dedup, embeddings, html, langid, lines, packing, quality, rules, sharding, trie, urls
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,7 +16,8 @@ QUERIES = {
     "op8_urls": urls.op8_urls,
     "op9_quality": quality.op9_quality,
     "op10_langid": langid.op10_langid,
+    "op11_trie": trie.op11_trie,
     "op12_lines": lines.op12_lines,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op8_urls": urls.OP8_SQL, "op12_lines": lines.OP12_SQL}
+ORACLES: dict[str, str] = {"op8_urls": urls.OP8_SQL, "op11_trie": trie.OP11_SQL, "op12_lines": lines.OP12_SQL}
