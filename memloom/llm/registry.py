@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from memloom.llm import bpe, dedup, embeddings, html, langid, lines, packing, quality, rules, sharding, trie, urls
+from memloom.llm import bpe, dedup, embeddings, html, langid, lines, packing, phrases, quality, rules, sharding, trie, urls
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_langid": langid.op10_langid,
     "op11_trie": trie.op11_trie,
     "op12_lines": lines.op12_lines,
+    "op13_phrases": phrases.op13_phrases,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op8_urls": urls.OP8_SQL, "op11_trie": trie.OP11_SQL, "op12_lines": lines.OP12_SQL}
+ORACLES: dict[str, str] = {"op8_urls": urls.OP8_SQL, "op11_trie": trie.OP11_SQL, "op12_lines": lines.OP12_SQL, "op13_phrases": phrases.OP13_SQL}
