@@ -120,8 +120,8 @@ class Shard:
             yield hashed[a:c], linked[a:c], langs[a:c], None if text is None else (text[0], text[1][a : c + 1]), b - a
 
 
-def intervals(ids: np.ndarray, linked: np.ndarray, longest: int, starts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(n, word, count) for n = 1 to longest: the LCP intervals of n words as one place (the index of a first word) and how often it occurs.
+def intervals(ids: np.ndarray, linked: np.ndarray, longest: int, starts: int, shortest: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, word, count) for n = shortest to longest: the LCP intervals of n words as one place (the index of a first word) and how often it occurs.
 
     ids: from 1 on, 0 for words that no phrase holds. linked: whether a word goes on from the one before it.
     """
@@ -132,20 +132,26 @@ def intervals(ids: np.ndarray, linked: np.ndarray, longest: int, starts: int) ->
     line[place] = ids
     word = np.zeros(len(line), np.int64)
     word[place] = np.arange(len(ids))
+    held = place[ids > 0]
     rank, depth = line, 1
-    while depth < longest:  # prefix doubling
-        key = rank * (rank.max() + 1)
-        key[:-depth] += rank[depth:]
-        rank, depth = np.unique(key, return_inverse=True)[1] + 1, 2 * depth
+    while 2 * depth < longest:  # prefix doubling; the last step orders the suffixes themselves
+        key = rank[held] * (rank.max() + 1) + rank[held + depth]
+        rank, depth = np.zeros(len(line), np.int64), 2 * depth
+        rank[held] = np.unique(key, return_inverse=True)[1] + 1
     suffixes = place[:starts][ids[:starts] > 0]
-    suffixes = suffixes[np.argsort(rank[suffixes], kind="stable")]
+    for n in range(1, shortest):  # shorter ones begin no phrase that is asked for
+        suffixes = suffixes[line[suffixes + n] > 0]
     if len(suffixes) == 0:
         return
+    key = rank[suffixes] * (rank.max() + 1) + rank[suffixes + depth] if longest > 1 else rank[suffixes]
+    suffixes = suffixes[np.argsort(key, kind="stable")]
     whole, common_prefix = np.ones(len(suffixes), bool), np.ones(len(suffixes) - 1, bool)
     for n in range(1, longest + 1):
         here = line[suffixes + n - 1]
         whole &= here > 0
         common_prefix &= (here[1:] == here[:-1]) & (here[1:] > 0)
+        if n < shortest:
+            continue
         first = np.flatnonzero(np.concatenate([[True], ~common_prefix]))
         count = np.diff(np.append(first, len(suffixes)))
         kept = whole[first]
@@ -166,20 +172,20 @@ class Filters:
 def _counted(shard: Shard, level: int, filters: Filters, longest: int) -> Iterator[tuple]:
     """(n, first words, counts, hashes by n, window) of a shard, filtered by all levels below `level`."""
     for hashed, linked, langs, text, starts in shard.windows():
-        ids = np.unique(hashed, return_inverse=True)[1] + 1
+        good = filters.passes(1, hashed) if level > 1 else np.ones(len(hashed), bool)
+        ids = np.zeros(len(hashed), np.int64)
+        ids[good] = np.unique(hashed[good], return_inverse=True)[1] + 1
         linked, by = linked.copy(), {1: hashed}
         for n in range(2, longest + 1):  # by[n][i] is the hash of words i to i + n - 1
             if len(hashed) < n:
                 break
             by[n] = _joined(by[n - 1][:-1], hashed[n - 1 :])
         if level > 1:
-            good = filters.passes(1, hashed)
-            ids[~good] = 0
             linked[1:] &= good[1:] & good[:-1]
             linked[0] = False
         if level > 2 and 2 in by:
             linked[1:] &= filters.passes(2, by[2])
-        for n, word, count in intervals(ids, linked, longest, starts):
+        for n, word, count in intervals(ids, linked, longest, starts, 1 if level > 3 else level):
             if level > 3 and n >= 3:
                 good = filters.passes(3, by[3][word])
                 if n == 4:

@@ -162,6 +162,8 @@ def test_intervals_equal_counting(longest):
         for k, word, count in phrases.intervals(ids, linked, longest, starts):
             got.update({tuple(ids[w : w + k]): int(c) for w, c in zip(word, count, strict=True)})
         assert got == want
+        some = {(k, tuple(ids[w : w + k]), int(c)) for k, word, count in phrases.intervals(ids, linked, longest, starts, longest) for w, c in zip(word, count, strict=True)}
+        assert some == {(longest, p, c) for p, c in want.items() if len(p) == longest}
 
 
 def test_windows_cut_a_text_anywhere(monkeypatch):
