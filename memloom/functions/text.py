@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
@@ -36,20 +37,78 @@ def trim(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))  # linear, where a regex tries every run of spaces inside
 
 
-def sanitize(text: Column, config: Config = DEFAULT) -> Column:
-    """Text without injected blocks, metadata and noise; the order of the steps matters."""
-    tags = [re.escape(t) for t in (config.context_tag, config.continuity_tag, config.memories_tag)]
-    schema = re.escape(config.inbound_schema)
+def let(value: Column, f) -> Column:
+    """f(value) with the value bound once, so that an expression that names it often does not grow."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+@dataclass(frozen=True)
+class Block:
+    """What is removed from an opener (a pattern) to the next closer (a text). `needs`: texts that must both follow an opener somewhere."""
+
+    opener: str
+    closer: str
+    needs: tuple[str, ...] = ()
+
+    @property
+    def whole(self) -> str:
+        return rf"(?s)(?:{self.opener}).*?{re.escape(self.closer)}"
+
+
+def blocks(config: Config = DEFAULT) -> list[Block]:
+    """The kinds of blocks in the order of their removal. Openers never try the same white space twice."""
+    inner = _SPACE[1:-1]
+    fence = rf"```json[{inner.replace(chr(92) + 'n', '', 1)}]*+\n{_SPACE}*+\{{"
+    tags = [Block(re.escape(f"<{t}>"), f"</{t}>") for t in (config.context_tag, config.continuity_tag, config.memories_tag)]
+    schema = rf'{fence}["{inner}]*+schema["{inner}]*+:{_SPACE}*+"{re.escape(config.inbound_schema)}'
+    return [*tags, Block(schema, "```"), Block(fence, "```", ('"label"', '"sender"'))]
+
+
+def last_start(text: Column, part: str) -> Column:
+    """Where a part starts for the last time, from 0; negative if it does not occur."""
+    return F.length(text) - F.length(F.substring_index(text, part, -1)) - len(part)
+
+
+def locate(part: str, text: Column, start: Column) -> Column:
+    """Where a part starts for the first time from a place (0 is the first) on; -1 if it does not occur there."""
+    return F.call_function("locate", F.lit(part), text, (start + 1).cast("int")) - 1
+
+
+def without_blocks(text: Column, block: Block) -> Column:
+    """Text without a kind of block, in one pass.
+
+    A lazy search for a closer that is not there reads all that is left, again for every opener. So the text is cut behind
+    the last closer that an opener can reach: before the cut every search ends at a closer, and behind it nothing is removed.
+    """
+
+    def cut(t: Column) -> Column:
+        behind = last_start(t, block.closer) + len(block.closer)
+        if not block.needs:
+            return behind
+        # Openers count up to where the rarer need starts for the last time; the last of them reaches the next closer from there on.
+        reach = F.least(*[last_start(t, n) for n in block.needs])
+        return let(reach, lambda r: F.when(r < 0, 0).otherwise(let(locate(block.closer, t, F.greatest(r, F.lit(0))), lambda c: F.when(c >= 0, c + len(block.closer)).otherwise(behind))))
+
+    def removed(t: Column) -> Column:
+        return let(cut(t), lambda n: F.concat(F.regexp_replace(F.left(t, n), block.whole, ""), F.substr(t, n + 1)))
+
+    return let(text, lambda t: F.when(t.contains(block.closer), removed(t)).otherwise(t))
+
+
+def without_noise(text: Column) -> Column:
+    """Text without marked lines, dates in front of lines and null characters, with at most one blank line in a row."""
     steps = [
-        *((rf"(?s)<{t}>.*?</{t}>", "") for t in tags),
-        (rf'(?s)```json{_SPACE}*\n{_SPACE}*\{{["\s]*schema["\s]*:{_SPACE}*"{schema}.*?```', ""),
-        (rf'(?s)```json{_SPACE}*\n{_SPACE}*\{{(?=.*?"label")(?=.*?"sender").*?```', ""),
         (rf"{_LINE_START}\[Subagent Context\]{_IN_LINE}*", ""),
         (rf"{_LINE_START}\[(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun){_SPACE}+\d{{4}}-\d{{2}}-\d{{2}}{_SPACE}+\d{{2}}:\d{{2}}{_SPACE}+[A-Za-z]{{2,5}}\][ \t]*", ""),
         (r"\x00", ""),
         (r"\n{3,}", "\n\n"),
     ]
-    return trim(reduce(lambda t, s: F.regexp_replace(t, s[0], s[1]), steps, text))
+    return reduce(lambda t, s: F.regexp_replace(t, s[0], s[1]), steps, text)
+
+
+def sanitize(text: Column, config: Config = DEFAULT) -> Column:
+    """Text without injected blocks, metadata and noise; the order of the steps matters. Time grows with the text's length."""
+    return trim(without_noise(reduce(without_blocks, blocks(config), text)))
 
 
 def extract_content(content: Column, blocks: Column | None = None, least: int = 20) -> Column:

@@ -15,6 +15,7 @@ from memloom.config import DEFAULT, Config
 from memloom.functions import provenance
 from memloom.functions import text as T
 from memloom.operators import messages as M
+from memloom.operators import pieces
 
 COLUMNS = ("session_key", "content", "role_type", "role", "name", "timestamp", "source_description")
 
@@ -50,23 +51,22 @@ def batch(messages: DataFrame, now: str, now_ms: int, config: Config = DEFAULT)
     return _episodes(M.joined_head(texts, config.episode_cap), F.col("text"), "batch", "ingest_batch", now, now_ms, config)
 
 
-def after_turn(messages: DataFrame, counts: DataFrame, now: str, now_ms: int, config: Config = DEFAULT) -> DataFrame:
+def after_turn(messages: DataFrame, counts: DataFrame, now: str, now_ms: int, config: Config = DEFAULT, step: int = pieces.RUN) -> DataFrame:
     """An episode of each session's new messages; a sweep keeps the tail and has an event of its own."""
     if not config.auto_capture:
         messages = messages.limit(0)
     new = M.new_of_turn(_awake(messages), counts)
     sweeps = new.groupBy("session_key").agg(F.bool_or("sweep").alias("sweep"))
-    rows = M.joined(M.extract_texts(new, config.message_cap, config.min_text)).join(sweeps, "session_key")
-    rows = rows.withColumn("text", T.sanitize(F.col("text"), config)).where("text != ''")
-    content = F.when(F.col("sweep"), F.right("text", F.lit(config.episode_cap))).otherwise(F.left("text", F.lit(config.episode_cap)))
+    texts = M.extract_texts(new, config.message_cap, config.min_text)
+    rows = pieces.sanitized(texts, config.episode_cap, config, sweeps.where("sweep"), step).where("text != ''").join(sweeps, "session_key")
     event = F.when(F.col("sweep"), "after_turn_sweep").otherwise("after_turn")
-    return _episodes(rows, content, "turn", event, now, now_ms, config)
+    return _episodes(rows, F.col("text"), "turn", event, now, now_ms, config)
 
 
-def compact(messages: DataFrame, now: str, now_ms: int, config: Config = DEFAULT) -> DataFrame:
+def compact(messages: DataFrame, now: str, now_ms: int, config: Config = DEFAULT, step: int = pieces.RUN) -> DataFrame:
     """An episode of each session that is about to be compacted, whether or not capture is on."""
-    rows = M.joined(M.extract_texts(messages, config.message_cap, config.min_text))
-    return _episodes(rows, F.left(T.sanitize(F.col("text"), config), F.lit(config.episode_cap)), "compact", "compact", now, now_ms, config)
+    rows = pieces.sanitized(M.extract_texts(messages, config.message_cap, config.min_text), config.episode_cap, config, step=step)
+    return _episodes(rows, F.col("text"), "compact", "compact", now, now_ms, config)
 
 
 def _long_enough(messages: DataFrame, texts: DataFrame, config: Config) -> DataFrame:
@@ -82,10 +82,11 @@ def _started(rows: DataFrame, messages: DataFrame) -> DataFrame:
     return rows.join(messages.groupBy("session_key").agg(F.max("session_start").alias("session_start")), "session_key", "left")
 
 
-def before_compaction(messages: DataFrame, now: str, now_ms: int, config: Config = DEFAULT) -> DataFrame:
+def before_compaction(messages: DataFrame, now: str, now_ms: int, config: Config = DEFAULT, step: int = pieces.RUN) -> DataFrame:
     """As compact, for sessions with at least 4 messages and 2 texts."""
     texts = _long_enough(messages, M.extract_texts(messages, config.message_cap, config.min_text), config)
-    return _episodes(_started(M.joined(texts), messages), F.left(T.sanitize(F.col("text"), config), F.lit(config.episode_cap)), "compaction", "before_compaction", now, now_ms, config)
+    rows = pieces.sanitized(texts, config.episode_cap, config, step=step)
+    return _episodes(_started(rows, messages), F.col("text"), "compaction", "before_compaction", now, now_ms, config)
 
 
 def before_reset(messages: DataFrame, now: str, now_ms: int, config: Config = DEFAULT) -> DataFrame:
@@ -95,11 +96,12 @@ def before_reset(messages: DataFrame, now: str, now_ms: int, config: Config = DE
     return _episodes(_started(M.joined(last), messages), F.left(T.sanitize(F.col("text"), config), F.lit(config.episode_cap)), "session-reset", "before_reset", now, now_ms, config)
 
 
-def subagent_ended(messages: DataFrame, summaries: DataFrame, now: str, now_ms: int, config: Config = DEFAULT) -> DataFrame:
+def subagent_ended(messages: DataFrame, summaries: DataFrame, now: str, now_ms: int, config: Config = DEFAULT, step: int = pieces.RUN) -> DataFrame:
     """An episode of each ended subagent: its summary of 20 characters or more, else its messages. summaries: (session_key, summary)."""
-    texts = M.joined(M.extract_texts(messages, config.message_cap, config.min_text))
-    rows = texts.join(summaries, "session_key", "full").withColumn("text", F.when(F.length("summary") >= config.min_text, F.col("summary")).otherwise(F.col("text"))).where("text is not null")
-    return _episodes(rows, F.left(T.sanitize(F.col("text"), config), F.lit(config.episode_cap)), "subagent", "subagent_ended", now, now_ms, config, "system", "subagent-result")
+    texts = pieces.sanitized(M.extract_texts(messages, config.message_cap, config.min_text), config.episode_cap, config, step=step)
+    summary = F.when(F.length("summary") >= config.min_text, F.left(T.sanitize(F.col("summary"), config), F.lit(config.episode_cap)))
+    rows = texts.join(summaries, "session_key", "full").withColumn("text", F.coalesce(summary, "text")).where("text is not null")
+    return _episodes(rows, F.col("text"), "subagent", "subagent_ended", now, now_ms, config, "system", "subagent-result")
 
 
 def manual(rows: DataFrame, now: str, now_ms: int, config: Config = DEFAULT) -> DataFrame:

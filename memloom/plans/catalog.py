@@ -116,6 +116,12 @@ def capture_compact_capped(spark, sf_dir):
     return capture.compact(R.messages(spark, sf_dir), NOW, NOW_MS, replace(DEFAULT, episode_cap=_SMALL))
 
 
+@_query(f"{_TEXTS}, j AS ({_JOINED}) " + _episode("j", f"left({_clean('text')}, {_SMALL})", "compact", "'compact'"))
+def capture_compact_pieces(spark, sf_dir):
+    """As capture_compact_capped, every session in pieces of two message numbers, as sessions of any size are."""
+    return capture.compact(R.messages(spark, sf_dir), NOW, NOW_MS, replace(DEFAULT, episode_cap=_SMALL), step=2)
+
+
 _BEFORE = "CASE conv_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 2 WHEN 2 THEN 50 ELSE 0 END"
 _TURN = f"""{_M}, n AS (SELECT *, count(*) OVER (PARTITION BY session_key) AS n, row_number() OVER (PARTITION BY session_key ORDER BY idx) - 1 AS place, {_BEFORE} AS before FROM messages),
 kept AS (SELECT *, coalesce(before > n, false) AS sweep FROM n),
@@ -132,6 +138,14 @@ def capture_after_turn(spark, sf_dir):
     return capture.after_turn(messages, counts, NOW, NOW_MS, replace(DEFAULT, episode_cap=_SMALL))
 
 
+@_query(_TURN + _episode("c", "CASE WHEN sweep THEN right(text, 12000) ELSE left(text, 12000) END", "turn", "CASE WHEN sweep THEN 'after_turn_sweep' ELSE 'after_turn' END") + " WHERE text <> ''")
+def capture_after_turn_whole(spark, sf_dir):
+    """As capture_after_turn with the default cap, in pieces of three message numbers."""
+    messages = R.messages(spark, sf_dir)
+    counts = messages.select("session_key", F.expr(_BEFORE).alias("before")).distinct()
+    return capture.after_turn(messages, counts, NOW, NOW_MS, step=3)
+
+
 _HOOK = "enough AS (SELECT session_key FROM messages GROUP BY session_key HAVING count(*) >= 4)"
 
 
