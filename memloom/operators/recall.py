@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from memloom.config import DEFAULT, Config
 from memloom.functions import text as T
-from memloom.operators import continuity, episodes, search
+from memloom.operators import continuity, episodes, search, textindex
 from memloom.operators import messages as M
 
 
@@ -37,18 +37,30 @@ def gate(events: DataFrame) -> DataFrame:
     return rows.drop("pending", "candidate", "recalled")
 
 
-def found_facts(queries: DataFrame, facts: DataFrame, k: int, groups: tuple[str, ...] = (DEFAULT.group,)) -> DataFrame:
-    """(query_id, uuid, name, fact, score, rank): the k best facts of the groups for each of queries (query_id, query)."""
+def _fact_texts(facts: DataFrame) -> DataFrame:
+    return facts.select(F.col("uuid").alias("doc_id"), F.concat_ws(" ", "name", "fact").alias("text"))
+
+
+def index_facts(facts: DataFrame, path: str, groups: tuple[str, ...] = (DEFAULT.group,)) -> None:
+    """Stores the search index of the groups' facts, for `found_facts`."""
+    textindex.build(_fact_texts(episodes.in_groups(facts, groups)), path)
+
+
+def found_facts(queries: DataFrame, facts: DataFrame, k: int, groups: tuple[str, ...] = (DEFAULT.group,), index: str | None = None) -> DataFrame:
+    """(query_id, uuid, name, fact, score, rank): the k best facts of the groups for each of queries (query_id, query).
+
+    index: the folder of an index of the same facts and groups; only the postings that can matter are read from it.
+    """
     facts = episodes.in_groups(facts, groups)
-    found = search.bm25(facts.select(F.col("uuid").alias("doc_id"), F.concat_ws(" ", "name", "fact").alias("text")), queries, k)
+    found = search.bm25(_fact_texts(facts), queries, k) if index is None else textindex.top(facts.sparkSession, index, queries, k)
     return found.withColumnRenamed("doc_id", "uuid").join(facts.select("uuid", "name", "fact"), "uuid")
 
 
-def fact_blocks(queries: DataFrame, facts: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def fact_blocks(queries: DataFrame, facts: DataFrame, config: Config = DEFAULT, index: str | None = None) -> DataFrame:
     """(query_id, block): the facts found for each query as a tagged block; queries that find none have no row."""
     parts = F.array_sort(F.collect_list(F.struct("rank", T.fact_line(F.col("name"), F.col("fact")).alias("line"))))
     block = T.context_block(F.array_join(F.transform(parts, lambda x: x["line"]), "\n"), config)
-    return found_facts(queries, facts, config.recall_max_facts, (config.group,)).groupBy("query_id").agg(block.alias("block"))
+    return found_facts(queries, facts, config.recall_max_facts, (config.group,), index).groupBy("query_id").agg(block.alias("block"))
 
 
 def memory_queries(messages: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -58,9 +70,9 @@ def memory_queries(messages: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return M.joined(rows, "\n").select(F.col("session_key").alias("query_id"), F.col("text").alias("query"))
 
 
-def memory_search(messages: DataFrame, facts: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def memory_search(messages: DataFrame, facts: DataFrame, config: Config = DEFAULT, index: str | None = None) -> DataFrame:
     """(session_key, uuid, name, fact, score, rank): the facts that fit each session's last messages."""
-    return found_facts(memory_queries(messages, config), facts, config.recall_max_facts, (config.group,)).withColumnRenamed("query_id", "session_key")
+    return found_facts(memory_queries(messages, config), facts, config.recall_max_facts, (config.group,), index).withColumnRenamed("query_id", "session_key")
 
 
 def due(messages: DataFrame, config: Config = DEFAULT, signals: DataFrame | None = None) -> DataFrame:
@@ -104,14 +116,14 @@ def search_tool(queries: DataFrame, facts: DataFrame, limit: int = DEFAULT.recal
     return rows.select("query_id", text.alias("text"), "count", F.transform("parts", lambda p: p["fact"]).alias("details"))
 
 
-def assemble(messages: DataFrame, facts: DataFrame, config: Config = DEFAULT, budget: int | None = None, tails: DataFrame | None = None, stored: DataFrame | None = None, signals: DataFrame | None = None) -> DataFrame:
+def assemble(messages: DataFrame, facts: DataFrame, config: Config = DEFAULT, budget: int | None = None, tails: DataFrame | None = None, stored: DataFrame | None = None, signals: DataFrame | None = None, index: str | None = None) -> DataFrame:
     """(session_key, continuity, facts, addition, tokens) for sessions that are due, as of their last message.
 
     The continuity comes from tails (session_key, text), the transcripts' ends, or from the messages themselves if not
     given; with stored episodes (as in continuity.episode_continuity, with group_id) sessions without a tail take theirs
-of the newest ones of the own group. signals are those of `due`. Facts are
-    searched by the continuity's last characters, or by the message window where there is none. Sessions for which
-    nothing is found have no row.
+    of the newest ones of the own group. signals are those of `due`. Facts are searched by the continuity's last
+    characters, or by the message window where there is none, over an index of them if one is given. Sessions for
+    which nothing is found have no row.
     """
     budget = budget or config.continuity_budget
     wanted = due(messages, config, signals)
@@ -124,7 +136,7 @@ of the newest ones of the own group. signals are those of `due`. Facts are
     queries = tail.select(F.col("session_key").alias("query_id"), F.right("text", F.lit(config.semantic_query_chars)).alias("query"))
     if tails is not None:
         queries = queries.unionByName(memory_queries(asked.join(tail, "session_key", "left_anti"), config))
-    found = fact_blocks(queries, facts, config).withColumnsRenamed({"query_id": "session_key", "block": "facts"})
+    found = fact_blocks(queries, facts, config, index).withColumnsRenamed({"query_id": "session_key", "block": "facts"})
     rows = tail.select("session_key", T.continuity_block(F.col("text"), config).alias("continuity"))
     rows = rows.join(found, "session_key", "left" if tails is None else "full")
     addition = F.concat_ws("\n\n", "continuity", "facts")

@@ -7,26 +7,33 @@ top-k is a rank within each query that Spark prunes before its shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 K1, B, RRF = 1.2, 0.75, 60
 #: Most distinct query terms, or query vectors, that are broadcast; more are joined by shuffle.
 MOST_TERMS = 100_000
+#: A term: a run of ASCII letters and digits of the lower-cased text.
+WORD = "[a-z0-9]+"
 
 
 def _terms(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf): runs of ASCII letters and digits, lower-cased."""
-    words = df.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))).alias("term"))
+    words = df.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("term"))
     return words.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def part(tf: Column, length: Column, n: Column, total: Column) -> Column:
+    """A term's part of a document's score, without the term's weight; n documents have `total` words."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length * n / total))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best docs (doc_id, text) for each of queries (query_id, query); ties by doc_id."""
     asked = _terms(queries, "query_id", "query").select("query_id", "term")
     terms = asked.select("term").distinct()
-    wide = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("words")).where("size(words) > 0")
+    wide = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("words")).where("size(words) > 0")
     size = wide.agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("total"))
     side = F.broadcast(terms) if terms.count() <= MOST_TERMS else terms
     post = wide.select("doc_id", F.size("words").alias("len"), F.explode("words").alias("term")).join(side, "term", "left_semi")
@@ -36,8 +43,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     weights = df.crossJoin(one).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weights = F.broadcast(weights) if terms.count() <= MOST_TERMS else weights
     scored = post.crossJoin(one).join(weights, "term").join(asked, "term")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") * F.col("n") / F.col("total")))
-    scored = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    one_part = F.col("idf") * part(F.col("tf"), F.col("len"), F.col("n"), F.col("total"))
+    scored = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(one_part), 6).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
     return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
 

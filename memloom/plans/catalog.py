@@ -5,15 +5,17 @@ QUERIES: name -> (spark, sf_dir) -> DataFrame. ORACLES: name -> SQL for DuckDB o
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from memloom.config import DEFAULT
 from memloom.functions import text as T
-from memloom.operators import capture, continuity, episodes, memory_files, recall, search
+from memloom.operators import capture, continuity, episodes, memory_files, recall, search, textindex
 from memloom.operators import messages as M
 from memloom.plans import relations as R
+from memloom.sources import shared
 from memloom.streaming import capture as streamed
 
 NOW, NOW_MS = "2026-07-01T00:00:00.000Z", 1_782_864_000_000
@@ -314,6 +316,17 @@ def bm25_search(spark, sf_dir):
     return _text_search(spark, sf_dir)
 
 
+_EVERY_TEXT = f"docs AS (SELECT doc_id, text FROM documents), queries AS (SELECT item_id AS query_id, text AS query FROM benchmark), {_BM25}"
+
+
+@_query(f"WITH {_EVERY_TEXT} SELECT query_id, doc_id, score, rank FROM best WHERE rank <= 10")
+def bm25_indexed(spark, sf_dir):
+    """The 10 best documents for every benchmark item, over a stored index that leaves out ranges of documents."""
+    path = f"{shared.folder(spark)}/index-{uuid.uuid4().hex}"
+    textindex.build(R.table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return textindex.top(spark, path, R.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
+
+
 @_query(f"WITH {_BY_VECTOR} SELECT query_id, doc_id, score, rank FROM nearest WHERE rank <= 10")
 def vector_topk(spark, sf_dir):
     """The 10 nearest vectors for every 50th one."""
