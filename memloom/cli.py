@@ -45,17 +45,17 @@ def status(spark: SparkSession, root: str) -> list[str]:
     return _show(rows.select(F.concat_ws(" ", "group_id", F.concat(F.lit("episodes="), "label"), F.concat(F.lit("latest="), "latest")).alias("line")), "line", "No episodes.")
 
 
-def ingest(spark: SparkSession, root: str, path: str | None, content: str | None, now: datetime) -> int:
+def ingest(spark: SparkSession, root: str, path: str | None, content: str | None, name: str | None, now: datetime) -> int:
     """A file's text, cut to an episode's length, or a text as it is."""
     stamp, ms = _stamp(now)
-    if path:
-        made = capture.cli_ingest(store.whole_files(spark, path), stamp, ms)
-    else:
-        rows = spark.createDataFrame([("cli", content)], "session_key string, content string")
-        made = capture.manual(rows, stamp, ms)
+    rows = store.whole_files(spark, path) if path else spark.createDataFrame([(content,)], "content string")
+    made = capture.cli_ingest(rows.withColumn("name", F.lit(name).cast("string")), stamp, ms)
     store.append_episodes(made, f"{root}/episodes")
     _log(spark, root, stamp, "ingest", "cli")
-    print("Ingested.")
+    if path and made.where("truncated").count():
+        print(f"File content truncated to {DEFAULT.episode_cap:,} characters")
+    for row in made.select("name", F.length("content").alias("n")).collect():  # the files that were named
+        print(f'Ingested "{row["name"]}" ({row["n"]} chars)')
     return 0
 
 
@@ -119,6 +119,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> ob
     p = sub.add_parser("ingest")
     p.add_argument("path", nargs="?")
     p.add_argument("--content")
+    p.add_argument("--name")
     p = sub.add_parser("index")
     p.add_argument("folder")
     p.add_argument("--dry-run", action="store_true")
@@ -137,7 +138,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> ob
         "search": lambda: search(spark, a.root, a.text, a.limit),
         "episodes": lambda: list_episodes(spark, a.root, a.session, a.limit, a.json),
         "status": lambda: status(spark, a.root),
-        "ingest": lambda: ingest(spark, a.root, a.path, a.content, now),
+        "ingest": lambda: ingest(spark, a.root, a.path, a.content, a.name, now),
         "index": lambda: index(spark, a.root, a.folder, a.dry_run, now),
         "delete": lambda: delete(spark, a.root, a.uuid, a.type),
         "logs": lambda: logs(spark, a.root, a.tail, a.clear),

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from memloom.config import DEFAULT, Config
 from memloom.functions import provenance
@@ -38,7 +39,8 @@ def single(messages: DataFrame, now: str, now_ms: int, config: Config = DEFAULT)
     rows = rows.withColumn("_clean", T.sanitize(T.extract_content(F.col("content"), F.col("blocks") if "blocks" in rows.columns else None, config.min_text), config))
     rows = rows.where(F.length("_clean") >= config.min_text)
     content = F.concat("role", F.lit(": "), F.left("_clean", F.lit(config.message_cap)))
-    described = provenance.build("ingest", F.lit(now), config, session_key=F.col("session_key"))
+    thread = {"thread_id": F.col("thread_id")} if "thread_id" in rows.columns else {}
+    described = provenance.build("ingest", F.lit(now), config, session_key=F.col("session_key"), **thread)
     name = F.concat_ws("-", F.lit("ingest"), F.col("session_key"), F.lit(now_ms).cast("string"))
     return rows.select("session_key", "idx", content.alias("content"), F.col("role").alias("role_type"), "role", name.alias("name"), F.lit(now).alias("timestamp"), described.alias("source_description"))
 
@@ -104,21 +106,72 @@ def subagent_ended(messages: DataFrame, summaries: DataFrame, now: str, now_ms:
     return _episodes(rows, F.col("text"), "subagent", "subagent_ended", now, now_ms, config, "system", "subagent-result")
 
 
-def manual(rows: DataFrame, now: str, now_ms: int, config: Config = DEFAULT) -> DataFrame:
-    """Episodes of texts as given (session_key, content[, source]), not sanitized."""
-    source = F.coalesce(F.nullif("source", F.lit("")), F.lit("manual")) if "source" in rows.columns else F.lit("manual")
-    described = provenance.build("manual", F.lit(now), config, session_key=F.col("session_key"), source=source)
-    return rows.select("session_key", "content", F.lit("user").alias("role_type"), F.lit("manual").alias("role"), T.episode_name("manual", F.col("session_key"), F.lit(now_ms)).alias("name"), F.lit(now).alias("timestamp"), described.alias("source_description"))
-
+def _given(rows: DataFrame, column: str) -> Column:
+    return F.col(column) if column in rows.columns else F.lit(None).cast("string")
 
-def cli_ingest(files: DataFrame, now: str, now_ms: int, config: Config = DEFAULT) -> DataFrame:
-    """Episodes of whole files (path, content), cut to the episode's length, with the file's name as source."""
-    name = T.basename(F.col("path"))
-    described = provenance.build("cli_ingest", F.lit(now), config, file=F.col("path"), source=name)
-    return files.select("path", F.left("content", F.lit(config.episode_cap)).alias("content"), (F.length("content") > config.episode_cap).alias("truncated"), F.concat_ws("-", F.lit("cli"), name, F.lit(now_ms).cast("string")).alias("name"), F.lit(now).alias("timestamp"), described.alias("source_description"))
 
-
-def with_session_start(messages: DataFrame, starts: DataFrame) -> DataFrame:
-    """Adds session_start (null where unknown) for the provenance of hook captures. starts: (session_key, session_start), the latest counts."""
-    latest = starts.groupBy("session_key").agg(F.max("session_start").alias("session_start"))
-    return messages.join(latest, "session_key", "left")
+def manual(rows: DataFrame, now: str, now_ms: int, config: Config = DEFAULT) -> DataFrame:
+    """Episodes of texts as given (session_key, content[, name, source, agent, channel, session_start]), not sanitized.
+
+    A null name is made from the time, a null source is `manual`; an empty one stands, and is left out of the provenance.
+    """
+    known = {k: F.col(k) for k in ("agent", "channel", "session_start") if k in rows.columns}
+    described = provenance.build("manual", F.lit(now), config, session_key=F.col("session_key"), source=F.coalesce(_given(rows, "source"), F.lit("manual")), **known)
+    name = F.coalesce(_given(rows, "name"), F.lit(f"manual-{now_ms}"))
+    return rows.select("session_key", "content", F.lit("system").alias("role_type"), F.lit("manual").alias("role"), name.alias("name"), F.lit(now).alias("timestamp"), described.alias("source_description"))
+
+
+def cli_ingest(rows: DataFrame, now: str, now_ms: int, config: Config = DEFAULT) -> DataFrame:
+    """Episodes of whole files (path, content[, name]), cut to an episode's length, or of texts without a path as they are.
+
+    Named as given, else by the file, else by the time; the provenance has a file's name without its folders. The path
+    and the truncated mark (files), or the other columns (texts), stay in front.
+    """
+    file = T.basename(F.col("path")) if "path" in rows.columns else None
+    described = provenance.build("cli_ingest", F.lit(now), config, **({} if file is None else {"file": file}))
+    name = F.coalesce(_given(rows, "name"), F.lit(f"cli-{now_ms}") if file is None else file)
+    kept = [c for c in rows.columns if c not in ("content", "name")]
+    content = [F.col("content")] if file is None else [F.left("content", F.lit(config.episode_cap)).alias("content"), (F.length("content") > config.episode_cap).alias("truncated")]
+    return rows.select(*kept, *content, F.lit("system").alias("role_type"), F.lit("manual").alias("role"), name.alias("name"), F.lit(now).alias("timestamp"), described.alias("source_description"))
+
+
+def compaction(sessions: DataFrame, messages: DataFrame, healthy: bool = True, config: Config = DEFAULT) -> DataFrame:
+    """(session_key, compacted, reason, event, recalled): what compaction answers each of sessions (session_key), given the messages that came along.
+
+    event and recalled are signals for `recall.due`; only sessions whose compaction writes an episode (`compact`) have them.
+    """
+    texts = M.extract_texts(messages, config.message_cap, config.min_text)
+    rows = sessions.select("session_key").distinct()
+    for part, mark in ((messages, "_given"), (texts, "_texts")):
+        rows = rows.join(part.select("session_key").distinct().withColumn(mark, F.lit(True)), "session_key", "left")
+    given, written = F.coalesce("_given", F.lit(False)), F.coalesce("_texts", F.lit(False)) & F.lit(healthy)
+    reason = F.when(~given, "no-messages").when(~F.lit(healthy), "server-unhealthy")
+    return rows.select("session_key", (given & F.lit(healthy)).alias("compacted"), reason.alias("reason"), F.when(written, "compact").alias("event"), F.when(written, False).alias("recalled"))
+
+
+def start_as_of(captures: DataFrame, starts: DataFrame) -> DataFrame:
+    """captures (session_key, captured_at, ...) with session_start: the last of starts (session_key, session_start) at or before them, else null.
+
+    Times are ISO stamps of one form, so their order is that of their texts. Captures and starts are put in one order of
+    time and the last start is carried on, within days first and then from the days before, so that a session with very
+    many captures isn't one task. Rows without a session or a time get a null.
+    """
+    columns, day = captures.columns, F.left("_at", F.lit(10)).alias("_day")
+    known = starts.where("session_key is not null and session_start is not null").select("session_key", F.col("session_start").alias("_at")).distinct()
+    days = known.select("session_key", "_at", day).groupBy("session_key", "_day").agg(F.max("_at").alias("_last"))
+    asked = captures.select("session_key", F.left("captured_at", F.lit(10)).alias("_day")).distinct()
+    order = Window.partitionBy("session_key").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    every = days.unionByName(asked, allowMissingColumns=True).groupBy("session_key", "_day").agg(F.max("_last").alias("_last"))
+    before = every.select("session_key", "_day", F.last("_last", ignorenulls=True).over(order).alias("_before"))
+    marked = known.select("session_key", "_at", day, F.lit(0).alias("_order"), F.col("_at").alias("_start"), F.lit(None).cast(captures.select(F.struct(*columns)).schema[0].dataType).alias("_row"))
+    rows = captures.select("session_key", F.col("captured_at").alias("_at"), F.struct(*columns).alias("_row")).select("session_key", "_at", day, F.lit(1).alias("_order"), F.lit(None).cast("string").alias("_start"), "_row")
+    within = Window.partitionBy("session_key", "_day").orderBy("_at", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    rows = marked.union(rows).withColumn("_within", F.last("_start", ignorenulls=True).over(within)).where("_order = 1")
+    rows = rows.join(before, ["session_key", "_day"], "left")
+    return rows.select("_row.*", F.coalesce("_within", "_before").alias("session_start"))
+
+
+def with_session_start(messages: DataFrame, starts: DataFrame, now: str) -> DataFrame:
+    """Adds session_start (null where unknown) for the provenance of hook captures: the last of starts (session_key, session_start) at or before `now`."""
+    captures = messages.select("session_key").distinct().withColumn("captured_at", F.lit(now))
+    return messages.join(start_as_of(captures, starts).drop("captured_at"), "session_key", "left")

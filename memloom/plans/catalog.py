@@ -178,21 +178,68 @@ def capture_subagent(spark, sf_dir):
     return capture.subagent_ended(messages, messages.select("session_key", F.expr(_SUMMARY).alias("summary")).distinct(), NOW, NOW_MS)
 
 
-@_query(f"""{_M} SELECT session_key, content, 'user' AS role_type, 'manual' AS role, 'manual-' || session_key || '-{NOW_MS}' AS name, '{NOW}' AS "timestamp",
-  '{{"plugin":"memloom","event":"manual","ts":"{NOW}","group_id":"core","session_key":"' || session_key || '","source":"' || CASE WHEN idx % 2 = 0 THEN 'note' ELSE 'manual' END || '"}}' AS source_description FROM messages""")
+_GIVEN = "CASE WHEN idx % 3 = 0 THEN 'note ' || CAST(idx AS STRING) WHEN idx % 3 = 1 THEN '' END"
+_SOURCE = "CASE WHEN idx % 4 = 0 THEN 'review' WHEN idx % 4 = 1 THEN '' END"
+_AGENT, _CHANNEL = "CASE WHEN conv_id % 2 = 0 THEN 'agent-1' END", "CASE WHEN conv_id % 3 = 0 THEN 'web' ELSE '' END"
+_BEGAN = "CASE WHEN conv_id % 5 < 2 THEN '2026-06-30T00:00:00.000Z' END"
+
+
+def _key(name: str, value: str) -> str:
+    """An optional key of the provenance: left out where null or empty."""
+    return f"""CASE WHEN coalesce({value}, '') = '' THEN '' ELSE ',"{name}":"' || ({value}) || '"' END"""
+
+
+@_query(f"""{_M} SELECT session_key, content, 'system' AS role_type, 'manual' AS role, coalesce({_GIVEN}, 'manual-{NOW_MS}') AS name, '{NOW}' AS "timestamp",
+  '{{"plugin":"memloom","event":"manual","ts":"{NOW}","group_id":"core","session_key":"' || session_key || '"' || {_key("source", f"coalesce({_SOURCE}, 'manual')")} || {_key("agent", _AGENT)} || {_key("channel", _CHANNEL)} || {_key("session_start", _BEGAN)} || '}}' AS source_description FROM messages""")
 def capture_manual(spark, sf_dir):
-    """Texts taken as they are."""
-    return capture.manual(R.messages(spark, sf_dir).select("session_key", "content", F.when(F.col("idx") % 2 == 0, "note").otherwise("").alias("source")), NOW, NOW_MS)
+    """Texts taken as they are, with the caller's name and source and what is known of the session."""
+    parts = {"name": _GIVEN, "source": _SOURCE, "agent": _AGENT, "channel": _CHANNEL, "session_start": _BEGAN}
+    return capture.manual(R.messages(spark, sf_dir).select("session_key", "content", *[F.expr(e).alias(k) for k, e in parts.items()]), NOW, NOW_MS)
+
+
+_LABEL = "CASE WHEN doc_id % 3 = 0 THEN 'label ' || CAST(doc_id AS STRING) END"
+_BASE = "'my notes #' || CAST(doc_id AS STRING) || '.md'"
 
 
-@_query(f"""SELECT 'notes/' || source || '/' || doc_id || '.md' AS path, left(text, 12000) AS content, length(text) > 12000 AS truncated, 'cli-' || doc_id || '.md-{NOW_MS}' AS name, '{NOW}' AS "timestamp",
-  '{{"plugin":"memloom","event":"cli_ingest","ts":"{NOW}","group_id":"core","file":"notes/' || source || '/' || doc_id || '.md","source":"' || doc_id || '.md"}}' AS source_description FROM documents""")
+@_query(f"""SELECT 'notes/' || source || '/' || {_BASE} AS path, left(text, 12000) AS content, length(text) > 12000 AS truncated, 'system' AS role_type, 'manual' AS role, coalesce({_LABEL}, {_BASE}) AS name, '{NOW}' AS "timestamp",
+  '{{"plugin":"memloom","event":"cli_ingest","ts":"{NOW}","group_id":"core","file":"' || {_BASE} || '"}}' AS source_description FROM documents""")
 def capture_cli(spark, sf_dir):
-    """Whole files cut to an episode's length."""
-    files = R.table(spark, sf_dir, "documents").select(F.concat(F.lit("notes/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content"))
+    """Whole files cut to an episode's length, named by the caller or by the file."""
+    files = R.table(spark, sf_dir, "documents").select(F.expr(f"'notes/' || source || '/' || {_BASE}").alias("path"), F.col("text").alias("content"), F.expr(_LABEL).alias("name"))
     return capture.cli_ingest(files, NOW, NOW_MS)
 
 
+@_query(f"""SELECT CAST(doc_id AS STRING) AS id, left(text, 50) AS content, 'system' AS role_type, 'manual' AS role, coalesce({_LABEL}, 'cli-{NOW_MS}') AS name, '{NOW}' AS "timestamp",
+  '{{"plugin":"memloom","event":"cli_ingest","ts":"{NOW}","group_id":"core"}}' AS source_description FROM documents""")
+def capture_cli_text(spark, sf_dir):
+    """Texts given on the command line: no file in their provenance, and a name by the time."""
+    rows = R.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.left("text", F.lit(50)).alias("content"), F.expr(_LABEL).alias("name"))
+    return capture.cli_ingest(rows, NOW, NOW_MS)
+
+
+@_query(
+    f"{_M}, c AS (SELECT session_key, idx, role, conv_id, {_clean('content')} AS clean FROM messages WHERE role IN ('user', 'assistant') AND length(content) > 20) "
+    f"SELECT session_key, idx, role || ': ' || left(clean, 2000) AS content, role AS role_type, role, 'ingest-' || session_key || '-{NOW_MS}' AS name, '{NOW}' AS \"timestamp\", "
+    f"""'{{"plugin":"memloom","event":"ingest","ts":"{NOW}","group_id":"core","session_key":"' || session_key || '"' || {_key("thread_id", "CASE WHEN conv_id % 2 = 0 THEN 'thread-' || CAST(conv_id % 7 AS STRING) END")} || '}}' AS source_description FROM c WHERE length(clean) >= 20"""
+)
+def capture_single_thread(spark, sf_dir):
+    """An episode for each message of sessions that belong to a thread or to none."""
+    rows = R.messages(spark, sf_dir).withColumn("thread_id", F.expr("CASE WHEN conv_id % 2 = 0 THEN 'thread-' || CAST(conv_id % 7 AS STRING) END"))
+    return capture.single(rows, NOW, NOW_MS)
+
+
+_ASKED = "CASE conv_id % 4 WHEN 0 THEN false ELSE true END"
+
+
+@_query(f"""{_M}, t AS (SELECT session_key, count(*) AS n FROM messages WHERE role IN ('user', 'assistant') AND length(content) > 20 GROUP BY session_key),
+s AS (SELECT DISTINCT session_key, {_ASKED} AS given FROM messages)
+SELECT s.session_key, given AS compacted, CASE WHEN NOT given THEN 'no-messages' END AS reason, CASE WHEN given AND n > 0 THEN 'compact' END AS event, CASE WHEN given AND n > 0 THEN false END AS recalled FROM s LEFT JOIN t USING (session_key)""")
+def compaction_results(spark, sf_dir):
+    """What compaction answers each session, and the signal for recall of those with a new episode; some come without messages."""
+    rows = R.messages(spark, sf_dir)
+    return capture.compaction(rows.select("session_key").distinct(), rows.where(_ASKED))
+
+
 # --- continuity and recall -----------------------------------------------------------------------------------------
 
 _LABELLED = f"{_M}, l AS (SELECT session_key, idx, CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || content AS text FROM messages WHERE role IN ('user', 'assistant') AND length(content) > 0)"
@@ -282,7 +329,17 @@ FROM j LEFT JOIN st USING (session_key) WHERE session_key IN (SELECT session_key
 def session_start(spark, sf_dir):
     """The provenance of hook captures with the latest start of their session."""
     rows = R.messages(spark, sf_dir)
-    return capture.before_compaction(capture.with_session_start(rows, R._select(spark, _STARTED, messages=rows)), NOW, NOW_MS).select("session_key", "source_description")
+    return capture.before_compaction(capture.with_session_start(rows, R._select(spark, _STARTED, messages=rows), NOW), NOW, NOW_MS).select("session_key", "source_description")
+
+
+_CAUGHT = "SELECT session_key, idx, '2026-01-0' || CAST(1 + (conv_id + 3 * idx) % 6 AS STRING) || CASE WHEN idx % 2 = 0 THEN 'T00:00:00.000Z' ELSE 'T12:00:00.000Z' END AS captured_at FROM messages"
+
+
+@_query(f"{_M}, c AS ({_CAUGHT}), s AS ({_STARTED}) SELECT c.session_key, c.idx, c.captured_at, s.session_start FROM c ASOF LEFT JOIN (SELECT DISTINCT * FROM s) s ON c.session_key = s.session_key AND c.captured_at >= s.session_start")
+def session_start_as_of(spark, sf_dir):
+    """The start of its session that was the last one at each of several captures."""
+    rows = R.messages(spark, sf_dir)
+    return capture.start_as_of(R._select(spark, _CAUGHT, messages=rows), R._select(spark, _STARTED, messages=rows))
 
 
 # --- search --------------------------------------------------------------------------------------------------------

@@ -139,8 +139,8 @@ def memory_folder(spark: SparkSession, folder: str, prefix: str = "memory", conf
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of text files as wholes."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
+    """(path, content) of text files as wholes; paths as they are named, what is no UTF-8 as replacement characters."""
+    return spark.read.format("binaryFile").load(path).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def append_log(lines: DataFrame, path: str) -> None:

@@ -245,8 +245,9 @@ def test_command_line(spark, tmp_path):
     cli.main(["--root", root, "ingest", "--content", "c" * 13_000], spark)
     stored = store.read(spark, f"{root}/episodes", store.EPISODE).collect()
     assert sorted(len(r.content) for r in stored) == [12_000, 13_000]
+    assert [r.name == "note.md" or r.name.startswith("cli-") for r in stored] == [True, True]
     assert len(cli.main(["--root", root, "episodes", "--json"], spark)) == 2
-    assert len(cli.main(["--root", root, "episodes", "--session", "cli"], spark)) == 1
+    assert cli.main(["--root", root, "episodes", "--session", "cli"], spark) == []  # texts and files of the command line belong to no session
     assert len(cli.main(["--root", root, "logs"], spark)) == 2 and cli.main(["--root", root, "logs", "--clear"], spark) == []
     assert cli.main(["--root", root, "delete", "nope"], spark) is False
     assert cli.main(["--root", root, "delete", stored[0].uuid, "--type", "episode"], spark) is True
@@ -258,6 +259,22 @@ def test_command_line(spark, tmp_path):
     assert cli.main(["--root", root, "search", "whales"], spark) == ["• **N**: fact 1 whales [ongoing]"]
 
 
+def test_ingested_files_keep_their_names(spark, tmp_path):
+    for name, text in (("a b#1.md", b"one"), ("\u00e9#.md", b"two"), ("%20.md", b"odd \xff byte")):
+        (tmp_path / name).write_bytes(text)
+    rows = {r.path.rsplit("/", 1)[1]: r.content for r in store.whole_files(spark, str(tmp_path / "*.md")).collect()}
+    assert rows == {"a b#1.md": "one", "\u00e9#.md": "two", "%20.md": "odd \ufffd byte"}
+    made = capture.cli_ingest(store.whole_files(spark, str(tmp_path / "a b*.md")), NOW, MS).first()
+    assert made.name == "a b#1.md" and json.loads(made.source_description)["file"] == "a b#1.md"
+
+
+def test_start_as_of_a_capture_between_two_starts(spark):
+    starts = spark.createDataFrame([("s", "2026-01-01T08:00:00.000Z"), ("s", "2026-01-03T08:00:00.000Z"), ("s", "2026-01-03T08:00:00.000Z"), ("t", "2026-01-02T00:00:00.000Z"), (None, "2026-01-01T00:00:00.000Z"), ("s", None)], "session_key string, session_start string")
+    captures = [("s", "2026-01-01T07:59:59.000Z", None), ("s", "2026-01-01T08:00:00.000Z", "2026-01-01T08:00:00.000Z"), ("s", "2026-01-02T23:00:00.000Z", "2026-01-01T08:00:00.000Z"), ("s", "2026-01-03T09:00:00.000Z", "2026-01-03T08:00:00.000Z"), ("t", "2026-01-01T00:00:00.000Z", None), ("u", "2026-01-05T00:00:00.000Z", None), (None, "2026-01-05T00:00:00.000Z", None), ("s", None, None), ("s", "2026-09-09T00:00:00.000Z", "2026-01-03T08:00:00.000Z")]
+    got = capture.start_as_of(spark.createDataFrame(captures, "session_key string, captured_at string, want string"), starts)
+    assert got.count() == len(captures) and got.where("not (want <=> session_start)").count() == 0
+
+
 def test_stored_twice_has_one_uuid(spark):
     rows = spark.createDataFrame([("s", 0, "user", "a text that is long enough")], MESSAGE)
     a, b = (store.as_episodes(capture.compact(rows, NOW, MS)).first().uuid for _ in range(2))
