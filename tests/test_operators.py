@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 from dataclasses import replace
 from datetime import datetime
 
@@ -87,17 +88,43 @@ def test_gate_equals_the_state_machine(spark):
     assert {(r.session_key, r.seq): (r.fire, r.injected) for r in rows.collect()} == _gate(events)
 
 
-def test_streamed_gate_equals_batch(spark, tmp_path):
+def _gate_run(spark, path, events, idle_ms=None, want=0):
+    """One run of the streamed gate over what has come since the last run: a restart from its checkpoint."""
+    spark.createDataFrame(events, EVENT).coalesce(1).write.mode("append").parquet(str(path / "in"))
+    query = streamed_gate.gate(spark.readStream.schema(EVENT).parquet(str(path / "in")), idle_ms).writeStream.format("parquet")
+    query = query.option("path", str(path / "out")).option("checkpointLocation", str(path / "check"))
+    if idle_ms:  # runs until stopped
+        query = query.trigger(processingTime="200 milliseconds").start()
+        try:
+            deadline = time.monotonic() + 60
+            while not spark.read.schema(streamed_gate.OUT).parquet(str(path / "out")).count() >= want and time.monotonic() < deadline:
+                time.sleep(0.3)
+        finally:
+            query.stop()
+    else:
+        query.trigger(availableNow=True).start().awaitTermination()
+    return {(r.session_key, r.seq): (r.fire, r.injected) for r in spark.read.schema(streamed_gate.OUT).parquet(str(path / "out")).collect()}
+
+
+def test_streamed_gate_equals_batch_across_restarts(spark, tmp_path):
     events = _events(random.Random(3), 40)
-    for part in (0, 1):  # two micro-batches: the first and the second half of each session
-        some = [e for e in events if (e[1] >= 5) == bool(part)]
-        spark.createDataFrame(some, EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        query = streamed_gate.gate(spark.readStream.schema(EVENT).parquet(str(tmp_path / "in"))).writeStream.format("parquet")
-        query.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
-    got = {(r.session_key, r.seq): (r.fire, r.injected) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    for part in range(3):  # three runs: thirds of each session
+        got = _gate_run(spark, tmp_path, [e for e in events if min(e[1] // 4, 2) == part])
     assert got == _gate(events)
 
 
+def test_streamed_gate_forgets_idle_sessions(spark, tmp_path):
+    """The second call is in a gap again: it fires only if the first one is forgotten."""
+    call = ("s", 0, "assemble", True, False, True)
+    kept, gone = tmp_path / "kept", tmp_path / "gone"
+    for path, idle_ms in ((kept, 3_600_000), (gone, 2000)):
+        (path / "out").mkdir(parents=True)
+        assert _gate_run(spark, path, [call], idle_ms, 1)["s", 0] == (True, True)
+    time.sleep(3)
+    assert _gate_run(spark, kept, [("s", 1, *call[2:])], 3_600_000, 2)["s", 1] == (False, False)
+    assert _gate_run(spark, gone, [("s", 1, *call[2:])], 2000, 2)["s", 1] == (True, True)
+
+
 HOOKS = "event string, session_key string, idx long, role string, content string, before long"
 
 
