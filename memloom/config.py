@@ -28,6 +28,7 @@ class Config:
     hook_min_texts: int = 2
     gap_threshold: int = 3
     continuity_budget: int = 8000
+    tail_bytes: int = 128 << 10
     least_remainder: int = 100
     semantic_query_chars: int = 2000
     memory_query_messages: int = 10
@@ -40,7 +41,6 @@ class Config:
     overfetch: int = 5
     overfetch_max: int = 250
     count_ceiling: int = 10_000
-    health_ttl_s: int = 15
 
 
 DEFAULT = Config()

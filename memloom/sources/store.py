@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -106,7 +110,11 @@ def transcript(spark: SparkSession, path: str) -> DataFrame:
     """
     key = F.regexp_extract("_metadata.file_name", r"([^/]+?)(\.[^./]*)?$", 1)
     lines = spark.read.text(path).select(key.alias("session_key"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
-    lines = lines.withColumn("idx", F.row_number().over(Window.partitionBy("session_key").orderBy("at", "row")) - 1)
+    return _messages(lines.withColumn("idx", F.row_number().over(Window.partitionBy("session_key").orderBy("at", "row")) - 1))
+
+
+def _messages(lines: DataFrame) -> DataFrame:
+    """(session_key, idx, role, content, blocks) of the lines (session_key, idx, line) that are messages."""
     parsed = lines.withColumn("v", F.try_parse_json("line"))
     get = lambda p, t: F.try_variant_get("v", p, t)
     rows = parsed.where(get("$.type", "string") == "message")
@@ -116,9 +124,46 @@ def transcript(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("session_key", "idx", get("$.message.role", "string").alias("role"), content.alias("content"), blocks.alias("blocks"))
 
 
-def transcript_tail(spark: SparkSession, path: str, budget: int = DEFAULT.continuity_budget) -> DataFrame:
-    """(session_key, text): each session file's newest messages within the budget."""
-    rows = transcript(spark, path)
+def _ends(tail_bytes: int):
+    """A function of batches (path, length) to (path, idx, line, read): the lines of the last tail_bytes of each file, and how many bytes were read for it."""
+
+    def run(batches):
+        for batch in batches:
+            for path, length in zip(*(batch.column(c).to_pylist() for c in ("path", "length")), strict=True):
+                system, name = _opened(path)
+                with system.open_input_file(name) as file:
+                    file.seek(max(0, length - tail_bytes))
+                    raw = file.read(min(length, tail_bytes))
+                lines = [x.strip() for x in raw.decode(errors="replace").split("\n")]
+                kept = [(i, x) for i, x in enumerate(lines) if x]
+                n = len(kept)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array([i for i, _ in kept], pa.int64()), pa.array([x for _, x in kept], pa.string()), pa.array([len(raw)] * n, pa.int64())], ["path", "idx", "line", "read"])
+
+    return run
+
+
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark names it, and the name within."""
+    scheme, rest = path.split(":", 1) if ":" in path.split("/", 1)[0] else ("file", path)
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+
+
+def file_ends(spark: SparkSession, path: str, tail_bytes: int = DEFAULT.tail_bytes) -> DataFrame:
+    """(path, idx, line, read): the lines of the last bytes of every file, the first of them cut where the bytes begin.
+
+    Spark lists the files and deals them to tasks; each task seeks in its files, so what is read does not grow with them.
+    File systems are those that Arrow opens (local, S3, GCS, HDFS); other ones are read whole by `transcript`.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    return files.mapInArrow(_ends(tail_bytes), "path string, idx long, line string, read long")
+
+
+def transcript_tail(spark: SparkSession, path: str, budget: int = DEFAULT.continuity_budget, tail_bytes: int = DEFAULT.tail_bytes) -> DataFrame:
+    """(session_key, text): each session file's newest messages within the budget, from the file's last bytes. Files without any have no row."""
+    lines = file_ends(spark, path, tail_bytes)
+    rows = _messages(lines.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("session_key"), "idx", "line"))
     kept = F.filter("blocks", lambda b: (b["type"] == "text") & (F.length(b["text"]) > 1))
     text = F.coalesce("content", F.when(F.size(kept) > 0, F.array_join(F.transform(kept, lambda b: b["text"]), "\n")))
     return continuity.session_tail(rows.select("session_key", "idx", "role", text.alias("content")), budget)

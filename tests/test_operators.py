@@ -207,6 +207,47 @@ def test_assemble_falls_back(spark):
     assert [r.bootstrapped for r in recall.bootstrap(tails, stored, healthy=False).collect()] == [False]
 
 
+def _walk(raw, budget, tail_bytes):
+    """The newest messages of a transcript's end, from the last line back."""
+    out, total = [], 0
+    for line in reversed(raw[-tail_bytes:].decode(errors="replace").split("\n")):
+        try:
+            record = json.loads(line)
+        except ValueError:
+            continue
+        message = record.get("message") if isinstance(record, dict) and record.get("type") == "message" else None
+        if not message or message.get("role") not in ("user", "assistant"):
+            continue
+        content = message.get("content")
+        if isinstance(content, list):
+            content = "\n".join(b["text"] for b in content if b.get("type") == "text" and len(b.get("text") or "") > 1)
+        if not content or not isinstance(content, str):
+            continue
+        text = f"{'User' if message['role'] == 'user' else 'Assistant'}: {content}"
+        if out and total + len(text) > budget:
+            break
+        out.insert(0, text)
+        total += len(text)
+    return "\n".join(out) or None
+
+
+def test_transcript_tail_is_bounded_and_equals_a_walk(spark, tmp_path):
+    rnd = random.Random(12)
+    for f in range(12):
+        lines = []
+        for i in range(rnd.choice([0, 1, 5, 200])):
+            content = rnd.choice(["", "x", "wörter " * rnd.randint(1, 80), [{"type": "text", "text": "block é"}, {"type": "image"}, {"type": "text", "text": "t"}], None, 7])
+            lines.append(rnd.choice(["{broken", "", "null", "[1]", json.dumps({"type": "session"}), *[json.dumps({"type": "message", "message": {"role": rnd.choice(["user", "assistant", "tool"]), "content": content}}, ensure_ascii=False)] * 5]))
+        (tmp_path / f"a session #{f}.v1.jsonl").write_text("\n".join(lines) + rnd.choice(["", "\n"]))
+    for budget, tail in ((8000, 128 << 10), (300, 2000), (5, 777)):
+        want = {p.name.removesuffix(".jsonl"): _walk(p.read_bytes(), budget, tail) for p in tmp_path.glob("*.jsonl")}
+        got = {r.session_key: r.text for r in store.transcript_tail(spark, str(tmp_path), budget, tail).collect()}
+        assert got == {k: v for k, v in want.items() if v is not None}
+    for size in (10**5, 10**6, 10**7):  # what is read stays the same while the file grows
+        (tmp_path / "a session #0.v1.jsonl").write_bytes(b'{"type": "custom"}\n' * (size // 19))
+        assert store.file_ends(spark, str(tmp_path / "a session*0.v1.jsonl"), 50_000).agg(F.max("read")).first()[0] == 50_000
+
+
 def test_transcript(spark, tmp_path):
     lines = [{"type": "session", "id": "x"}, {"type": "message", "message": {"role": "user", "content": "first"}}, {"type": "custom", "data": {}}, {"type": "message", "message": {"role": "system", "content": "no"}}, {"type": "message", "message": {"role": "assistant", "content": [{"type": "text", "text": "second"}, {"type": "image"}]}}]
     (tmp_path / "s1.jsonl").write_text("\n".join(map(json.dumps, lines[:3])) + "\n{broken\n" + "\n".join(map(json.dumps, lines[3:])) + "\n")
