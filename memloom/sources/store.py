@@ -13,9 +13,12 @@ from pyspark.sql.window import Window
 
 from memloom.config import DEFAULT, Config
 from memloom.operators import continuity, memory_files
+from memloom.sources import shared
 
 EPISODE = S.StructType().add("uuid", "string", False).add("name", "string").add("labels", S.ArrayType(S.StringType())).add("created_at", "string").add("source", "string").add("source_description", "string").add("content", "string").add("valid_at", "string").add("entity_edges", S.ArrayType(S.StringType())).add("group_id", "string")
-BATCH = S.StructField("batch", S.StringType())
+#: Folders of a store, outermost first, and its columns with them.
+FOLDERS = ["group_id", "day", "batch"]
+LAID_OUT = S.StructType([*EPISODE.fields, S.StructField("day", S.StringType()), S.StructField("batch", S.StringType())])
 FACT = S.StructType().add("uuid", "string", False).add("name", "string").add("fact", "string").add("valid_at", "string").add("invalid_at", "string").add("created_at", "string").add("expired_at", "string").add("group_id", "string")
 STATE = S.StructType().add("path", "string").add("last_modified", "string").add("last_indexed", "string")
 
@@ -45,36 +48,58 @@ def as_episodes(captured: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return captured.select(dashed.alias("uuid"), "name", none.alias("labels"), F.col("timestamp").alias("created_at"), F.lit("message").alias("source"), "source_description", "content", F.col("timestamp").alias("valid_at"), none.alias("entity_edges"), F.lit(config.group).alias("group_id"))
 
 
+def _laid_out(rows: DataFrame, key: str) -> DataFrame:
+    return rows.withColumns({"day": F.left("created_at", F.lit(10)), "batch": F.lit(key)})
+
+
 def append_episodes(captured: DataFrame, path: str, config: Config = DEFAULT) -> None:
-    """Captured rows appended as episodes; folders by group and batch, as for streams, so both can share a store."""
-    as_episodes(captured, config).withColumn("batch", F.lit("appended")).write.mode("append").partitionBy("group_id", "batch").parquet(path)
+    """Captured rows appended as episodes; folders by group, day and batch, as for streams, so both can share a store."""
+    _laid_out(as_episodes(captured, config), "appended").write.mode("append").partitionBy(*FOLDERS).parquet(path)
 
 
 def write_batch(captured: DataFrame, path: str, key: str, config: Config = DEFAULT) -> None:
-    """The episodes of one micro-batch under its key; a repeated batch replaces itself, and episodes that other batches have stored stay there."""
-    rows = as_episodes(captured, config)
+    """The episodes of one micro-batch under its key; a repeated batch replaces itself, and episodes that other batches have stored stay there.
+
+    An episode's uuid comes with its time, so only the folders of the batch's own days are read to tell what is there.
+    """
+    rows = _laid_out(as_episodes(captured, config), key)
     if exists(captured.sparkSession, path):
-        there = read(captured.sparkSession, path, S.StructType([*EPISODE.fields, BATCH])).where(F.col("batch") != key)
-        rows = rows.join(there.select("uuid", "created_at"), ["uuid", "created_at"], "left_anti").select(*EPISODE.names)
-    rows.withColumn("batch", F.lit(key)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("group_id", "batch").parquet(path)
+        days = [r[0] for r in rows.select("day").distinct().collect()]  # a micro-batch has one or two
+        there = read(captured.sparkSession, path, LAID_OUT).where(F.col("day").isin(days) if days else F.lit(False)).where(F.col("batch") != key)
+        rows = rows.join(there.select("uuid", "created_at"), ["uuid", "created_at"], "left_anti").select(*LAID_OUT.names)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*FOLDERS).parquet(path)
 
 
-def delete_episodes(spark: SparkSession, path: str, uuids: DataFrame) -> None:
-    """The store without the episodes of uuids (uuid): written beside it, then put in its place by renames, the old one kept until the new one stands."""
-    files, place = _place(spark, path)
-    _, fresh = _place(spark, f"{path}.next")
-    _, old = _place(spark, f"{path}.old")
-    if files.exists(old) and not files.exists(place):
-        files.rename(old, place)  # an earlier deletion broke off between its renames
-    if files.exists(old):
-        files.delete(old, True)
-    if not files.exists(place):
-        return
-    rows = read(spark, path, S.StructType([*EPISODE.fields, BATCH]))
-    rows.join(uuids.select("uuid").distinct(), "uuid", "left_anti").write.mode("overwrite").partitionBy("group_id", "batch").parquet(f"{path}.next")
-    files.rename(place, old)
-    files.rename(fresh, place)
-    files.delete(old, True)
+def delete_episodes(spark: SparkSession, path: str, uuids: DataFrame) -> int:
+    """Deletes the episodes of uuids (uuid) and gives the number of folders that were written anew: those that hold any of them.
+
+    Finding them reads one column. What stays of these folders is put aside in the shared folder first, then
+    takes their place folder by folder; folders of which nothing stays go. One writer at a time.
+    """
+    if not exists(spark, path):
+        return 0
+    rows, gone = read(spark, path, LAID_OUT), uuids.select("uuid").distinct()
+    hit = rows.select("uuid", *FOLDERS).join(gone, "uuid", "left_semi").groupBy(*FOLDERS).count().collect()  # folders, not rows
+    if not hit:
+        return 0
+    folders = spark.createDataFrame([tuple(r[c] for c in FOLDERS) for r in hit], S.StructType([LAID_OUT[c] for c in FOLDERS]))
+    one_of = [F.col(c).isin([*{r[c] for r in hit}]) for c in FOLDERS]  # prunes folders
+    held = rows.where(one_of[0] & one_of[1] & one_of[2]).join(F.broadcast(folders), FOLDERS, "left_semi")
+    kept = shared.settled(held.join(gone, "uuid", "left_anti").select(*LAID_OUT.names), "kept")
+    left = {tuple(r) for r in kept.select(*FOLDERS).distinct().collect()}
+    if left:
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*FOLDERS).parquet(path)
+    for row in hit:
+        key = tuple(row[c] for c in FOLDERS)
+        if key not in left:
+            files, place = _place(spark, f"{path}/" + "/".join(f"{c}={_escaped(spark, v)}" for c, v in zip(FOLDERS, key, strict=True)))
+            files.delete(place, True)
+    return len(hit)
+
+
+def _escaped(spark: SparkSession, value: str) -> str:
+    """A partition's value as Spark writes it into a folder's name."""
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
 
 
 def _snapshots(spark: SparkSession, folder: str) -> list[str]:

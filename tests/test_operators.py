@@ -290,6 +290,34 @@ def test_auto_index_off(spark):
     assert memory_files.auto_index(calls, files, state, replace(DEFAULT, auto_index=False)).count() == 0
 
 
+def test_delete_and_batches_touch_only_their_folders(spark, tmp_path):
+    path, at = str(tmp_path / "episodes"), {}
+    rows = spark.createDataFrame([(f"s{i}", 0, "user", f"text number {i} that is long enough") for i in range(6)], MESSAGE)
+    for day in ("2026-01-01", "2026-01-02", "2026-01-03"):
+        stamp = f"{day}T00:00:00.000Z"
+        store.write_batch(capture.compact(rows, stamp, MS), path, f"q-{day}")
+    files = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "episodes").rglob("*.parquet")}
+    at, stored = files(), store.read(spark, path, store.EPISODE)
+    one = stored.where("created_at like '2026-01-02%' and name like '%s3%'").select("uuid").collect()
+    assert len(one) == 1 and store.delete_episodes(spark, path, spark.createDataFrame(one, "uuid string")) == 1
+    now = files()
+    assert {f: t for f, t in now.items() if "2026-01-02" not in str(f)} == {f: t for f, t in at.items() if "2026-01-02" not in str(f)}
+    assert store.read(spark, path, store.EPISODE).count() == 17
+    every = store.read(spark, path, store.EPISODE).where("created_at like '2026-01-03%'").select("uuid").collect()
+    assert store.delete_episodes(spark, path, spark.createDataFrame(every, "uuid string")) == 1  # a whole folder goes
+    assert store.delete_episodes(spark, path, spark.createDataFrame(every, "uuid string")) == 0
+    assert store.read(spark, path, store.EPISODE).count() == 11
+    # A batch of another day isn't disturbed by files it needn't read.
+    broken = next((tmp_path / "episodes").glob("group_id=*/day=2026-01-01/*/*.parquet"))
+    whole = broken.read_bytes()
+    broken.write_bytes(b"no parquet")
+    store.write_batch(capture.compact(rows, "2026-01-04T00:00:00.000Z", MS), path, "q-4")
+    broken.write_bytes(whole)
+    for checksum in broken.parent.glob(".*.crc"):
+        checksum.unlink()
+    assert store.read(spark, path, store.EPISODE).count() == 17
+
+
 def test_index_runs_once(spark, tmp_path):
     notes = tmp_path / "memory"
     (notes / "deep").mkdir(parents=True)
