@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from urllib.parse import quote
-
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -13,7 +10,7 @@ from pyspark.sql.window import Window
 
 from memloom.config import DEFAULT, Config
 from memloom.operators import continuity, memory_files
-from memloom.sources import shared
+from memloom.sources import changed, shared
 
 EPISODE = S.StructType().add("uuid", "string", False).add("name", "string").add("labels", S.ArrayType(S.StringType())).add("created_at", "string").add("source", "string").add("source_description", "string").add("content", "string").add("valid_at", "string").add("entity_edges", S.ArrayType(S.StringType())).add("group_id", "string")
 #: Folders of a store, outermost first, and its columns with them.
@@ -155,7 +152,7 @@ def _ends(tail_bytes: int):
     def run(batches):
         for batch in batches:
             for path, length in zip(*(batch.column(c).to_pylist() for c in ("path", "length")), strict=True):
-                system, name = _opened(path)
+                system, name = changed.opened(path)
                 with system.open_input_file(name) as file:
                     file.seek(max(0, length - tail_bytes))
                     raw = file.read(min(length, tail_bytes))
@@ -167,14 +164,6 @@ def _ends(tail_bytes: int):
     return run
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path as Spark names it, and the name within."""
-    scheme, rest = path.split(":", 1) if ":" in path.split("/", 1)[0] else ("file", path)
-    if scheme == "file":
-        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
-    return fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
-
-
 def file_ends(spark: SparkSession, path: str, tail_bytes: int = DEFAULT.tail_bytes) -> DataFrame:
     """(path, idx, line, read): the lines of the last bytes of every file, the first of them cut where the bytes begin.
 

@@ -16,6 +16,7 @@ from memloom.operators import messages as M
 from memloom.sources import store
 from memloom.streaming import capture as streamed
 from memloom.streaming import gate as streamed_gate
+from memloom.streaming import index as streamed_index
 
 NOW, MS = "2026-07-01T00:00:00.000Z", 1
 MESSAGE = "session_key string, idx long, role string, content string"
@@ -333,6 +334,30 @@ def test_index_runs_once(spark, tmp_path):
     assert {r.name for r in rows} == {"memory-index::memory/a.md", "memory-index::memory/deep/b.txt"}
 
 
+def test_index_stream_takes_changed_files_again(spark, tmp_path):
+    notes, root = tmp_path / "my notes", str(tmp_path / "root")
+    (notes / "deep").mkdir(parents=True)
+
+    def run():
+        streamed_index.index_stream(spark, str(notes), root, str(tmp_path / "check")).awaitTermination()
+        stored = store.read(spark, f"{root}/episodes", store.EPISODE).select("name", "content").collect()
+        return sorted((r.name.removeprefix("memory-index::memory/"), r.content.rsplit("---\n", 1)[1]) for r in stored)
+
+    (notes / "a b.md").write_text("alpha")
+    (notes / "deep" / "same.md").write_text("stays")
+    (notes / "c.png").write_text("no")
+    (notes / "big.md").write_text("x" * (DEFAULT.file_max_bytes + 1))
+    first = [("a b.md", "alpha"), ("deep/same.md", "stays")]
+    assert run() == first
+    assert run() == first  # nothing has changed
+    time.sleep(0.05)
+    (notes / "a b.md").write_text("alpha, changed")
+    (notes / "new.txt").write_text("n" * 3000)
+    assert run() == sorted([*first, ("a b.md", "alpha, changed"), ("new.txt", "n" * DEFAULT.excerpt_chars)])
+    state = {r.path for r in store.current(spark, f"{root}/state", store.STATE).collect()}
+    assert state == {"memory/a b.md", "memory/deep/same.md", "memory/new.txt"}
+
+
 def test_command_line(spark, tmp_path):
     root = str(tmp_path)
     assert cli.main(["--root", root, "status"], spark) == [] == cli.main(["--root", root, "logs"], spark)
