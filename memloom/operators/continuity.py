@@ -11,15 +11,36 @@ from memloom.functions import provenance
 from memloom.operators import messages as M
 
 
+#: Numbers of a run, and parts that a session's rows are dealt to, so that no task sorts a whole session.
+RUN, PARTS = 1000, 64
+
+
 def budget_suffix(rows: DataFrame, keys: list[str], order: str, text: str, budget: int) -> DataFrame:
-    """The newest rows whose lengths sum up to at most budget; the newest one always stays."""
+    """The newest rows whose lengths sum up to at most budget; the newest one always stays. `order` is a whole number; rows without a key go.
+
+    Lengths are summed by runs of RUN numbers, and the sums from the newest run on. Only runs that begin within the budget
+    are looked into, so at most about the budget's rows and one run come together.
+    """
+    rows = rows.withColumn("_run", F.floor(F.col(order) / RUN))
+    runs = rows.groupBy(*keys, "_run").agg(F.sum(F.length(text)).alias("_size"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("_run")).rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_later", F.sum("_size").over(later)).where(F.coalesce("_later", F.lit(0)) <= budget)
+    rows = rows.join(runs.select(*keys, "_run"), [*keys, "_run"])
     newest = Window.partitionBy(*keys).orderBy(F.desc(order))
     total = F.sum(F.length(text)).over(newest.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_sum", total).withColumn("_rn", F.row_number().over(newest)).where((F.col("_sum") <= budget) | (F.col("_rn") == 1)).drop("_sum", "_rn")
+    return rows.withColumn("_sum", total).withColumn("_rn", F.row_number().over(newest)).where((F.col("_sum") <= budget) | (F.col("_rn") == 1)).drop("_sum", "_rn", "_run")
 
 
 def budget_prefix(rows: DataFrame, keys: list[str], order: list[Column], text: str, budget: int, joiner: int = 2, least: int = DEFAULT.least_remainder) -> DataFrame:
-    """The first rows by order that fit the budget with joiners between; of the first that doesn't, what fits if that is more than least. Adds _rn."""
+    """The first rows by order that fit the budget with joiners between; of the first that doesn't, what fits if that is more than least. Adds _rn.
+
+    Rows are dealt to PARTS parts first. What fills the budget in its part alone is out, since the rows before it in the whole
+    order are at least those; what is left of all parts is ordered together.
+    """
+    part = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys and rows.schema[c].dataType.typeName() not in ("map", "variant")]), F.lit(PARTS))
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+    before = F.sum(F.length(text) + joiner).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_part", part).withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") <= budget).drop("_part", "_before")
     first = Window.partitionBy(*keys).orderBy(*order)
     rows = rows.withColumn("_rn", F.row_number().over(first))
     total = F.sum(F.length(text)).over(first.rowsBetween(Window.unboundedPreceding, 0)) + joiner * (F.col("_rn") - 1)

@@ -51,16 +51,28 @@ def last_per_session(rows: DataFrame, n: int, *order: Column | str) -> DataFrame
     return rows.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= n).drop("_rn")
 
 
+def numbered(rows: DataFrame, name: str, run: Column, order: list[str]) -> DataFrame:
+    """rows with their place in the session, from 0, in order of run and then of `order`.
+
+    Rows are numbered inside each run, and only the runs' counts are summed up by session, so no task sorts a whole session.
+    """
+    rows = rows.withColumn("_run", run)
+    runs = rows.groupBy("session_key", "_run").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("session_key").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("session_key", "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("session_key", "_run").orderBy(*order))
+    return rows.withColumn("_inside", inside).join(runs, ["session_key", "_run"]).withColumn(name, F.col("_before") + F.col("_inside") - 1).drop("_run", "_before", "_inside")
+
+
 def new_of_turn(messages: DataFrame, counts: DataFrame) -> DataFrame:
     """Messages of the turn, with sweep: all of them where the count before the prompt exceeds what is left, else those after it.
 
     counts: (session_key, before) with a null for an unknown count.
     """
     sizes = messages.groupBy("session_key").agg(F.count("*").alias("_n"))
-    rows = messages.join(sizes.join(counts, "session_key", "left"), "session_key")
-    place = F.row_number().over(Window.partitionBy("session_key").orderBy("idx")) - 1
+    rows = numbered(messages, "_at", F.floor(F.col("idx") / 1000), ["idx"]).join(sizes.join(counts, "session_key", "left"), "session_key")
     sweep = F.coalesce(F.col("before") > F.col("_n"), F.lit(False))
-    rows = rows.withColumn("sweep", sweep).withColumn("_at", place)
+    rows = rows.withColumn("sweep", sweep)
     return rows.where(F.col("_at") >= F.when(F.col("sweep"), 0).otherwise(F.coalesce("before", F.lit(0)))).drop("_at", "_n", "before")
 
 

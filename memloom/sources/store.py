@@ -6,10 +6,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
-from pyspark.sql.window import Window
 
 from memloom.config import DEFAULT, Config
 from memloom.operators import continuity, memory_files
+from memloom.operators import messages as M
 from memloom.sources import changed, shared
 
 EPISODE = S.StructType().add("uuid", "string", False).add("name", "string").add("labels", S.ArrayType(S.StringType())).add("created_at", "string").add("source", "string").add("source_description", "string").add("content", "string").add("valid_at", "string").add("entity_edges", S.ArrayType(S.StringType())).add("group_id", "string")
@@ -132,7 +132,7 @@ def transcript(spark: SparkSession, path: str) -> DataFrame:
     """
     key = F.regexp_extract("_metadata.file_name", r"([^/]+?)(\.[^./]*)?$", 1)
     lines = spark.read.text(path).select(key.alias("session_key"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
-    return _messages(lines.withColumn("idx", F.row_number().over(Window.partitionBy("session_key").orderBy("at", "row")) - 1))
+    return _messages(M.numbered(lines, "idx", F.col("at"), ["row"]))
 
 
 def _messages(lines: DataFrame) -> DataFrame:

@@ -27,10 +27,14 @@ def _texts(rnd, n):
     return ["".join(rnd.choice("abc") for _ in range(rnd.randint(1, 400))) for _ in range(n)]
 
 
-def test_budgets_equal_a_loop(spark):
+@pytest.mark.parametrize("run", [1000, 3, 1])
+def test_budgets_equal_a_loop(spark, monkeypatch, run):
+    monkeypatch.setattr(continuity, "RUN", run)
+    monkeypatch.setattr(continuity, "PARTS", run)
     rnd, given = random.Random(1), {}
     for s in range(60):
         given[f"s{s}"] = _texts(rnd, rnd.randint(1, 12))
+    given["long"] = _texts(rnd, 300)
     rows = spark.createDataFrame([(s, i, t) for s, ts in given.items() for i, t in enumerate(ts)], "s string, i int, t string").cache()
     suffix, prefix = {}, {}
     for r in continuity.budget_suffix(rows, ["s"], "i", "t", 700).collect():
