@@ -92,7 +92,7 @@ def logs(spark: SparkSession, root: str, n: int, clear: bool) -> list[str]:
         store.clear_log(spark, f"{root}/log")
         print("Log cleared.")
         return []
-    return _show(store.tail_log(spark, f"{root}/log", n).orderBy("line"), "line", "(no log)")
+    return _show(store.tail_log(spark, f"{root}/log", n), "line", "(no log)")
 
 
 def _stamp(now: datetime) -> tuple[str, int]:

@@ -255,18 +255,37 @@ def session_tail(spark, sf_dir):
     return continuity.session_tail(R.messages(spark, sf_dir), 1500)
 
 
-@_query(
-    f"""WITH e AS ({R.EPISODES}), p AS (SELECT *, CASE WHEN json_valid(source_description) THEN json_extract_string(source_description, '$.session_key') END AS session_key, CASE WHEN json_valid(source_description) THEN json_extract_string(source_description, '$.thread_id') END AS thread FROM e WHERE content <> ''),
+@_query(f"{_tail(8000)} SELECT session_key, text FROM tail")
+def session_tail_whole(spark, sf_dir):
+    """As session_tail with the default budget."""
+    return continuity.session_tail(R.messages(spark, sf_dir))
+
+
+def _continued(budget: int) -> str:
+    return f"""WITH e AS ({R.EPISODES}), p AS (SELECT *, CASE WHEN json_valid(source_description) THEN json_extract_string(source_description, '$.session_key') END AS session_key, CASE WHEN json_valid(source_description) THEN json_extract_string(source_description, '$.thread_id') END AS thread FROM e WHERE content <> ''),
 s AS (SELECT *, CASE WHEN thread = 't1' THEN 2 ELSE 1 END AS score FROM p WHERE session_key IS NOT NULL),
 o AS (SELECT *, row_number() OVER w AS rn, sum(length(content)) OVER w + 2 * (row_number() OVER w - 1) AS total FROM s WINDOW w AS (PARTITION BY session_key ORDER BY score DESC, created_at DESC, uuid)),
-k AS (SELECT session_key, rn, CASE WHEN total <= 1200 THEN content ELSE left(content, CAST(1200 - (total - length(content)) AS BIGINT)) END AS content FROM o WHERE total <= 1200 OR 1200 - (total - length(content)) > 100)
+k AS (SELECT session_key, rn, CASE WHEN total <= {budget} THEN content ELSE left(content, CAST({budget} - (total - length(content)) AS BIGINT)) END AS content FROM o WHERE total <= {budget} OR {budget} - (total - length(content)) > 100)
 SELECT session_key, string_agg(content, chr(10) || chr(10) ORDER BY rn) AS text FROM k GROUP BY session_key"""
-)
+
+
+def _with_threads(rows):
+    sessions = rows.select(F.get_json_object("source_description", "$.session_key").alias("session_key")).where("session_key is not null")
+    return sessions.distinct().withColumn("thread_id", F.lit("t1"))
+
+
+@_query(_continued(8000))
+def episode_continuity_whole(spark, sf_dir):
+    """As episode_continuity with the default budget."""
+    rows = R.episodes(spark, sf_dir)
+    return continuity.episode_continuity(rows, _with_threads(rows))
+
+
+@_query(_continued(1200))
 def episode_continuity(spark, sf_dir):
     """Each session's episodes within 1200 characters, thread t1 first."""
     rows = R.episodes(spark, sf_dir)
-    sessions = rows.select(F.get_json_object("source_description", "$.session_key").alias("session_key")).where("session_key is not null").distinct().withColumn("thread_id", F.lit("t1"))
-    return continuity.episode_continuity(rows, sessions, 1200)
+    return continuity.episode_continuity(rows, _with_threads(rows), 1200)
 
 
 _DEICTIC_SQL = "regexp_matches({x}, '(?i)\\b(" + "|".join(T.DEICTIC) + ")\\b')"
@@ -296,6 +315,12 @@ def memory_query_window(spark, sf_dir):
     return M.query_window(R.messages(spark, sf_dir), 3, 200)
 
 
+@_query(f"{_M}, r AS (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY idx DESC) AS rn FROM messages) SELECT session_key, idx, role, left(content, 2000) AS content FROM r WHERE rn <= 10 AND role IN ('user', 'assistant') AND length(content) > 1")
+def memory_query_window_whole(spark, sf_dir):
+    """As memory_query_window with the default number of messages and length."""
+    return M.query_window(R.messages(spark, sf_dir))
+
+
 @_query(f"{_M}, u AS (SELECT session_key, arg_max(content, idx) AS c FROM messages WHERE role = 'user' GROUP BY session_key) SELECT session_key, CASE WHEN length(c) > 1 THEN c END AS last_user_text FROM u")
 def last_user_text(spark, sf_dir):
     """The latest user text of each session."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -202,17 +203,45 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
-def append_log(lines: DataFrame, path: str) -> None:
-    """Log lines (line) appended as text."""
-    lines.select("line").write.mode("append").text(path)
+def append_log(lines: DataFrame, path: str) -> int:
+    """Log lines (line) appended as text under the next sequence number, which is returned; two writers never share one.
+
+    The lines of one call are few, and one file; a column `nth` orders them if there is one.
+    """
+    spark = lines.sparkSession
+    rows = lines.orderBy("nth") if "nth" in lines.columns else lines
+    number = max(_appends(spark, path), default=0) + 1
+    while True:
+        try:
+            rows.select("line").coalesce(1).write.mode("errorifexists").text(f"{path}/{number:012d}")
+            return number
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            number += 1
+
+
+def _appends(spark: SparkSession, path: str) -> list[int]:
+    """The sequence numbers of a log, newest first."""
+    files, place = _place(spark, path)
+    if not files.exists(place):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(place) if s.isDirectory()]
+    return sorted((int(n) for n in names if n.isdigit() and exists(spark, f"{path}/{n}/_SUCCESS")), reverse=True)
 
 
 def tail_log(spark: SparkSession, path: str, n: int = 100) -> DataFrame:
-    """(line): the n last lines by their leading time stamp; none if there is no log."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], "line string")
-    return spark.read.text(path).select(F.col("value").alias("line")).where("line != ''").orderBy(F.desc("line")).limit(n)
+    """(seq, nth, line): the n lines that came last, in the order of their arrival whatever their time stamps; none if there is no log."""
+    newest = _appends(spark, path)[:n]  # every append has a line
+    if not newest:
+        return spark.createDataFrame([], "seq long, nth long, line string")
+    rows = spark.read.text([f"{path}/{k:012d}" for k in newest])
+    seq = F.regexp_extract("_metadata.file_path", r"/(\d{12})/[^/]*$", 1).cast("long")
+    rows = rows.select(seq.alias("seq"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("nth"), F.col("value").alias("line")).where("line != ''")
+    return rows.orderBy(F.desc("seq"), F.desc("_at"), F.desc("nth")).limit(n).select("seq", "nth", "line").orderBy("seq", "nth")
 
 
 def clear_log(spark: SparkSession, path: str) -> None:
-    spark.createDataFrame([], "line string").coalesce(1).write.mode("overwrite").text(path)
+    """Removes all lines."""
+    files, place = _place(spark, path)
+    files.delete(place, True)

@@ -17,6 +17,7 @@ from memloom.sources import store
 from memloom.streaming import capture as streamed
 from memloom.streaming import gate as streamed_gate
 from memloom.streaming import index as streamed_index
+from memloom.streaming import log as streamed_log
 
 NOW, MS = "2026-07-01T00:00:00.000Z", 1
 MESSAGE = "session_key string, idx long, role string, content string"
@@ -362,6 +363,33 @@ def test_index_stream_takes_changed_files_again(spark, tmp_path):
     assert state == {"memory/a b.md", "memory/deep/same.md", "memory/new.txt"}
 
 
+def test_log_keeps_the_order_of_arrival(spark, tmp_path):
+    path = str(tmp_path / "log")
+    assert store.tail_log(spark, path).collect() == []
+    want = [f"{NOW} [memloom] event n={n}" for n in (5, 3, 9, 1)]  # one time stamp, texts in no order
+    for line in want[:2]:
+        store.append_log(spark.createDataFrame([(line,)], "line string"), path)
+    store.append_log(spark.createDataFrame([(1, want[3]), (0, want[2])], "nth int, line string"), path)
+    assert [r.line for r in store.tail_log(spark, path).collect()] == want
+    assert [r.line for r in store.tail_log(spark, path, 3).collect()] == want[1:]
+    store.clear_log(spark, path)
+    assert store.tail_log(spark, path).collect() == []
+
+
+def test_streams_log_their_progress(spark, tmp_path):
+    listener = streamed_log.LogListener(spark, str(tmp_path / "log"))
+    spark.streams.addListener(listener)
+    try:
+        _gate_run(spark, tmp_path, _events(random.Random(5), 3))
+        deadline = time.monotonic() + 40
+        while time.monotonic() < deadline and len(store._appends(spark, str(tmp_path / "log"))) < 3:
+            time.sleep(0.5)
+    finally:
+        spark.streams.removeListener(listener)
+    lines = [r.line for r in store.tail_log(spark, str(tmp_path / "log")).collect()]
+    assert [line.split("[memloom] ")[1].split()[0] for line in lines] == ["start", "batch", "end"] and "rows=" in lines[1]
+
+
 def test_command_line(spark, tmp_path):
     root = str(tmp_path)
     assert cli.main(["--root", root, "status"], spark) == [] == cli.main(["--root", root, "logs"], spark)
