@@ -47,6 +47,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sampled(rows: DataFrame, most: int, keys: list[str], count: int | None = None) -> DataFrame:
+    """All of rows, or about `most` of them drawn by a 63-bit hash of keys; `count` is the number of rows if known.
+
+    If the hash draws none (few different keys, each in very many rows), the `most` rows of least hash.
+    """
+    count = rows.count() if count is None else count
+    if count <= most:
+        return rows
+    drawn = F.shiftrightunsigned(F.xxhash64(*keys), 1)
+    some = rows.where(drawn < F.lit(int(most / count * 2**63)))
+    return rows.orderBy(drawn).limit(most) if some.isEmpty() else some
+
+
 #: Rows of one key that a join may put into one task, and hot keys at most, whose list is broadcast; beyond, the rows a key may have grow.
 HOT_ROWS, MOST_HOT = 1000, 20_000
 

@@ -90,8 +90,7 @@ class Model:
 def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """A model from at most about max_train documents with a lang that are not held out."""
     rows = held_out(docs.select("doc_id", "lang", "text")).where("not held_out and lang is not null and text is not null")
-    share = min(1.0, max_train / max(1, rows.select("doc_id").count()))
-    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    rows = common.sampled(rows, max_train, ["doc_id"], rows.select("doc_id").count())
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}

@@ -159,8 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tre
     """Trees for labels.quality from at most about max_train labelled rows that are not held out."""
     marks = held_out(labels.select("doc_id", F.col("quality").cast("int").alias("quality"))).where("not held_out and quality is not null")
     marks = marks.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    share = min(1.0, max_train / max(1, marks.count()))
-    marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    marks = common.sampled(marks, max_train, ["doc_id"])
     marks = F.broadcast(marks)  # about max_train rows at most, so texts needn't be shuffled
 
     @F.arrow_udf("array<double>")
@@ -170,7 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tre
         rows = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
         return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * len(FEATURES), rows.ravel())
 
-    rows = docs.select("doc_id", "text").join(marks, "doc_id").select("doc_id", stats("text").alias("x"), "quality").toPandas().sort_values("doc_id")
+    rows = docs.select("doc_id", "text").join(marks, "doc_id").select("doc_id", stats("text").alias("x"), "quality")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toPandas().sort_values("doc_id")  # one text of each id that was drawn
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
     return fit(x, rows["quality"].to_numpy(float))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from memloom.llm import common, lines, phrases, registry, trie
+from memloom.llm import common, langid, lines, phrases, quality, registry, trie
 
 
 def _sql(sql, **tables):
@@ -28,6 +28,25 @@ def _rows(df):
     return sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=repr)
 
 
+# --- samples -------------------------------------------------------------------------------------------------------
+
+
+def test_samples_of_very_many_rows_are_never_empty(spark):
+    rows = spark.range(50_000).select(F.col("id").alias("doc_id"))
+    assert common.sampled(rows, 60_000, ["doc_id"]).count() == 50_000
+    assert abs(common.sampled(rows, 5000, ["doc_id"]).count() - 5000) < 400
+    assert common.sampled(rows, 20_000, ["doc_id"], 30_000_000_000).count() == 20_000  # a share that draws none of these
+    assert common.sampled(rows.select(F.lit(1).alias("doc_id")), 100, ["doc_id"]).count() in (100, 50_000)
+
+
+def test_models_learn_whatever_the_count(spark, sf_dir, monkeypatch):
+    plain = common.sampled
+    monkeypatch.setattr(common, "sampled", lambda rows, most, keys, count=None: plain(rows, most, keys, 30_000_000_000))
+    docs = common.table(spark, sf_dir, "documents")
+    assert langid.train(docs).langs == ["de", "en", "es", "fr"]
+    assert len(quality.train(docs, common.table(spark, sf_dir, "labels")).leaf) > 0
+
+
 # --- trie ----------------------------------------------------------------------------------------------------------
 
 _CONV = ("conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR", "conv_id long, turn long, role string, text string")
