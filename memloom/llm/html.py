@@ -82,12 +82,13 @@ class Page:
         self.never, self.worded, self.headed, self.kind = [False], [False], [False], [0]
         self.names: list[str] = [""]
         self.blocks: list[list[tuple[str, int]]] = [[]]
-        self.open = [0]
-        at = 0
+        #: Open nodes; the places of each open tag among them, and those of the blocks, so that no end walks the stack.
+        self.open, self.places, self.open_blocks = [0], {}, [0]
+        at, last = 0, source.rfind(">")
         while at < len(source):
-            found = _TAG.search(source, at)
-            if not found:
-                self._text(source[at:])
+            found = _TAG.search(source, at) if at <= last else None
+            if not found:  # no tag ends behind the last ">", only a comment may begin there
+                self._text(source[at:].partition("<!--")[0])
                 break
             self._text(source[at : found.start()])
             at = found.end()
@@ -126,7 +127,8 @@ class Page:
 
     def _start(self, name: str, rest: str) -> None:
         if name in _BLOCK:
-            self._pop({"p"}, _SCOPE)
+            if self.places.get("p"):
+                self._pop({"p"}, _SCOPE)
             self._break()
         if name in _SIBLINGS:
             self._pop(*_SIBLINGS[name])
@@ -154,31 +156,36 @@ class Page:
         self.names.append(f"{name} {marks.get('class', '')}")
         self.parts.append([])
         self.parts[parent].append(node)
+        self.places.setdefault(name, []).append(len(self.open))
+        if name in _BLOCK:
+            self.open_blocks.append(len(self.open))
         self.open.append(node)
 
+    def _last(self, names) -> int:
+        """The place of the innermost open element of these names, 0 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
     def _pop(self, names, until) -> None:
-        for depth in range(len(self.open) - 1, 0, -1):
-            tag = self.tags[self.open[depth]]
-            if tag in names:
-                while len(self.open) > depth:
-                    self._close()
-                return
-            if tag in until:
-                return
+        """Closes the innermost element of these names with all in it, unless one of until is open within it."""
+        if (place := self._last(names)) > self._last(until):
+            self._close_to(place)
+
+    def _close_to(self, place: int) -> None:
+        while len(self.open) > place:
+            self._close()
 
     def _close(self) -> None:
-        if self.tags[self.open.pop()] in _BLOCK:
+        name = self.tags[self.open.pop()]
+        self.places[name].pop()
+        if name in _BLOCK:
+            self.open_blocks.pop()
             self._break()
 
     def _end(self, name: str) -> None:
-        for depth in range(len(self.open) - 1, 0, -1):
-            tag = self.tags[self.open[depth]]
-            if tag == name:
-                while len(self.open) > depth:
-                    self._close()
-                return
-            if name not in _BLOCK and tag in _BLOCK:
-                return  # the end of an inline element doesn't close blocks
+        place = self._last((name,))
+        # The end of an inline element doesn't close blocks.
+        if place and (name in _BLOCK or place > self.open_blocks[-1]):
+            self._close_to(place)
 
     def _judge(self) -> None:
         """Sets out and main of each node."""

@@ -1,6 +1,7 @@
 """Near-duplicates, embeddings, pages, urls and the pipeline against brute force."""
 
 import random
+import time
 import re
 from collections import Counter, defaultdict
 
@@ -250,6 +251,17 @@ def test_very_long_page():
     assert html.Page(f"<nav>no</nav><article>{long * 3}</article>").text().count("word") == 600_000
 
 
+@pytest.mark.parametrize("part", ["<div>", "<p>", "<ul><li>", "<span></b>", "<a ", "<!--"])
+def test_time_grows_with_the_page_however_deep(part):
+    def seconds(n):
+        start = time.perf_counter()
+        html.Page(part * n + "x").text()
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(120_000) < 24 * (seconds(10_000) + 0.05)  # a walk over the stack takes 144 times as long
+
+
 def test_templates_are_removed_by_host(spark):
     rows = [(i, f"http://a.org/{i}", f"<body><div><p>Menu of the site</p></div><div><p>Own text number {i}.</p></div><div>Imprint</div></body>") for i in range(8)]
     rows += [(20 + i, "http://b.org/", f"<body><div><p>Menu of the site</p></div><p>Text {i}</p></body>") for i in range(2)]
