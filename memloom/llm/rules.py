@@ -6,12 +6,14 @@ the base rule form a vector; for each language and source the minimum covariance
 determinant estimate is found as by the deterministic algorithm for it: from each of
 four starts (median and spread, mean and covariance, covariance of tanh, covariance
 of directions), concentration steps take, again and again, mean and covariance of the
-three quarters of the documents nearest by Mahalanobis distance, until the
-determinants stand still; the start with the least determinant gives the estimate. A
-document is rejected where its distance under it is beyond CUTOFF. Groups of fewer than LEAST_GROUP
-passing documents are judged by the estimate from all passing documents of their
-language, or where those are too few from all there are; so every document that
-passes the base rule is judged.
+three quarters of the documents nearest by Mahalanobis distance, while that makes the
+determinant less by SETTLED or more; the start with the least determinant gives the
+estimate. Such estimates are made of each group, of each language and of all documents.
+A group of n documents is judged by mean and covariance that lie between its own and
+its language's, the language's between its own and those of all, with the weight
+n^2 / (n^2 + HALF^2) for its own: so a group of any size, a single document too, is
+judged, and no size switches from one way to another. A document is rejected where its
+distance is beyond CUTOFF.
 
 A concentration step is one aggregation: sums and products are gathered by
 group and distance bin, the bins below the quantile are added up. Bins make the
@@ -41,9 +43,16 @@ FLOOR = (0.16, 0.0225, 0.09, 0.09)
 SHARE, CONSISTENT = 0.75, 1.485
 #: Squared distance beyond which a document goes: chi2_4 at about 1 - 1e-9, for tails heavier than normal ones.
 CUTOFF = 50.0
-STEPS, SETTLED, BIN_STEP, LEAST_GROUP, MOST_GROUPS = 20, 0.01, 0.02, 25, 20_000
+SETTLED, BIN_STEP, MOST_GROUPS = 0.01, 0.02, 20_000
+#: Documents of a group whose own estimate weighs as much as its language's. In a group of three one far document is a third
+#: of the scatter (0.33 of its squared distance); with the square and 30 that scatter weighs so little, in source and language
+#: together (0.02), that such a document still stands at three times CUTOFF.
+HALF = 30
 #: What an estimate is made of: a group (level 2), a language (1, no source) or all documents (0, neither).
 POOL = ("level", "pool_lang", "pool_source")
+_SQUARES = [(i, j) for i in range(4) for j in range(i + 1)]
+#: Mean and covariance of an estimate.
+_MOMENTS = [*(f"m_{n}" for n in NAMES), *(f"c{i}{j}" for i, j in _SQUARES)]
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -104,7 +113,7 @@ def _factor(estimate: DataFrame) -> DataFrame:
         for j in range(i - 1, -1, -1):
             out = out.withColumn(f"w{i}{j}", -sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l{i}{i}"))
     out = out.withColumn("log_det", sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(4)), F.lit(0.0)))
-    return out.select(*POOL, "start", "log_det", *[f"m_{n}" for n in NAMES], *[f"w{i}{j}" for i in range(4) for j in range(i + 1)])
+    return out.select(*POOL, "start", "log_det", *_MOMENTS, *[f"w{i}{j}" for i, j in _SQUARES])
 
 
 def _starts(rows: DataFrame, side) -> DataFrame:
@@ -148,31 +157,42 @@ def _concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
 
 
 def estimates(rows: DataFrame, side=lambda x: x) -> DataFrame:
-    """The minimum covariance determinant estimate of each pool of rows (pool columns, v1..v4; staged), with its log_det."""
-    now = common.staged(_starts(rows, side), "estimates")
-    for step in range(STEPS):
-        new = common.staged(_concentrate(rows, side(now)), "estimates")
-        if step:  # the first determinants are those of the starts, not of subsets
-            old = now.select(*POOL, "start", F.col("log_det").alias("was"))
-            moved = new.join(side(old), [*POOL, "start"]).agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0]
-        now = new
-        if step and (moved or 0.0) < SETTLED:
+    """The minimum covariance determinant estimate of each pool of rows (pool columns, v1..v4; staged), with its log_det.
+
+    Each start goes on by itself while its determinant gets less by SETTLED or more. Determinants are no less than
+    the floor's, so the steps come to an end without a count of them.
+    """
+    keys, now, first = [*POOL, "start"], common.staged(_starts(rows, side).withColumn("active", F.lit(True)), "estimates"), True
+    values = [c for c in now.columns if c not in (*keys, "active")]
+    while True:
+        new = _concentrate(rows, side(now.where("active"))).select(*keys, F.struct(*values).alias("_new"))
+        both = now.select(*keys, F.struct(*values).alias("_old")).join(side(new), keys, "left")
+        # The first determinants are those of the starts, not of subsets.
+        less = F.col("_new").isNotNull() if first else F.coalesce(F.col("_new.log_det") < F.col("_old.log_det") - SETTLED, F.lit(False))
+        both = both.withColumn("active", less).withColumn("_best", F.when(F.col("active"), F.col("_new")).otherwise(F.col("_old")))
+        now, first = common.staged(both.select(*keys, "_best.*", "active"), "estimates"), False
+        if now.where("active").isEmpty():
             break
-    best = now.groupBy(*POOL).agg(F.min(F.struct("log_det", "start")).alias("_best")).select(*POOL, F.col("_best.start").alias("start"))
-    return common.staged(now.join(side(best), [*POOL, "start"]).drop("start"), "best-estimates")
+    best = now.groupBy(*POOL).agg(F.min(F.struct("log_det", "start", *[c for c in values if c != "log_det"])).alias("_best"))
+    return best.select(*POOL, "_best.*").drop("start")
 
 
-def _pools(passed: DataFrame) -> DataFrame:
-    """(lang, source, pool, feeds): the pool that judges each group, and the pools in use that its documents are counted in."""
-    sizes = passed.groupBy("lang", "source").agg(F.count("*").alias("_n"))
-    langs = sizes.groupBy("lang").agg(F.sum("_n").alias("_n_lang"), F.min("_n").alias("_least"))
-    every = langs.agg(F.min("_n_lang").alias("_least_lang"))
-    pool = lambda level, lang, source: F.struct(F.lit(level).alias(POOL[0]), lang.alias(POOL[1]), source.alias(POOL[2]))
-    own, tongue, whole = pool(2, F.col("lang"), F.col("source")), pool(1, F.col("lang"), F.lit("")), pool(0, F.lit(""), F.lit(""))
-    large, spoken = F.col("_n") >= LEAST_GROUP, F.col("_n_lang") >= LEAST_GROUP
-    feeds = F.array(F.when(large, own), F.when(spoken & (F.col("_least") < LEAST_GROUP), tongue), F.when(F.col("_least_lang") < LEAST_GROUP, whole))
-    rows = sizes.join(langs, "lang").crossJoin(F.broadcast(every))
-    return rows.select("lang", "source", F.when(large, own).when(spoken, tongue).otherwise(whole).alias("pool"), F.array_compact(feeds).alias("feeds"))
+def _between(n: Column, own: str, up: str) -> list[Column]:
+    """Moments between those of own and those of up, by the number of documents."""
+    weight = n * n / (n * n + F.lit(float(HALF * HALF)))
+    return [(weight * F.col(f"{own}.{c}") + (1 - weight) * F.col(f"{up}.{c}")).alias(c) for c in _MOMENTS]
+
+
+def _judges(estimate: DataFrame, sizes: DataFrame, side) -> DataFrame:
+    """(lang, source, m_*, w_ij): what each group is judged by. sizes: (lang, source, n)."""
+    at = lambda level, *names, to: estimate.where(F.col(POOL[0]) == level).select(*[F.col(a).alias(b) for a, b in zip(POOL[1:], names, strict=False)], F.struct(*_MOMENTS).alias(to))
+    whole = at(0, to="_up")  # one row
+    langs = sizes.groupBy("lang").agg(F.sum("n").cast("double").alias("n"))
+    tongues = at(1, "lang", to="_own").join(side(langs), "lang").crossJoin(F.broadcast(whole))
+    tongues = tongues.select("lang", F.struct(*_between(F.col("n"), "_own", "_up")).alias("_up"))
+    groups = at(2, "lang", "source", to="_own").join(side(sizes.withColumn("n", F.col("n").cast("double"))), ["lang", "source"]).join(side(tongues), "lang")
+    moments = groups.select(F.lit(2).alias(POOL[0]), F.col("lang").alias(POOL[1]), F.col("source").alias(POOL[2]), F.lit(0).alias("start"), *_between(F.col("n"), "_own", "_up"))
+    return _factor(moments).drop("start", "log_det", POOL[0]).withColumnsRenamed({POOL[1]: "lang", POOL[2]: "source"})
 
 
 def outliers(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
@@ -181,12 +201,13 @@ def outliers(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     rows = _vector(rows.withColumn("base_failed", failed))
     passed = rows.where("not base_failed")
-    pools = common.staged(_pools(passed), "pools")
-    few = pools.count() <= MOST_GROUPS
-    side = F.broadcast if few else (lambda x: x)
-    counted = passed.join(side(pools), ["lang", "source"]).select(F.explode("feeds").alias("_pool"), *NAMES).select("_pool.*", *NAMES)
-    estimate = estimates(common.staged(counted, "vectors"), side)
-    judged = rows.join(side(pools.select("lang", "source", "pool.*")), ["lang", "source"], "left").join(side(estimate), list(POOL), "left")
+    sizes = common.staged(passed.groupBy("lang", "source").agg(F.count("*").alias("n")), "sizes")
+    side = F.broadcast if sizes.count() <= MOST_GROUPS else (lambda x: x)
+    pool = lambda level, lang, source: F.struct(F.lit(level).alias(POOL[0]), lang.alias(POOL[1]), source.alias(POOL[2]))
+    pools = F.array(pool(2, F.col("lang"), F.col("source")), pool(1, F.col("lang"), F.lit("")), pool(0, F.lit(""), F.lit("")))
+    counted = passed.select(F.explode(pools).alias("_pool"), *NAMES).select("_pool.*", *NAMES)
+    judges = common.staged(_judges(estimates(common.staged(counted, "vectors"), side), sizes, side), "judges")
+    judged = rows.join(side(judges), ["lang", "source"], "left")
     judged = judged.withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
 

@@ -254,17 +254,20 @@ def test_word_statistics(spark, odd, none):
     assert len(judged) == len(ODD) and all(r.kept is not None and not (r.base_failed and r.kept) for r in judged)
 
 
+def _distances(x, mean, cov):
+    return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+
 def _mcd(x, trials=60):
-    """An independent estimate: random elemental starts, exact concentration steps, least determinant."""
+    """An independent estimate: random elemental starts, exact concentration steps, least determinant; (log det, distances, mean, cov)."""
     floor, rng, h, best = np.diag(rules.FLOOR), np.random.default_rng(0), int(np.ceil(rules.SHARE * len(x))), None
     for _ in range(trials):
-        near = x[rng.choice(len(x), 6, replace=False)]
+        near = x[rng.choice(len(x), min(6, len(x)), replace=False)]
         for _ in range(30):
             mean, cov = near.mean(0), np.cov(near.T, bias=True) * rules.CONSISTENT + floor
-            distance = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-            near = x[np.argsort(distance, kind="stable")[:h]]
+            near = x[np.argsort(_distances(x, mean, cov), kind="stable")[:h]]
         mean, cov = near.mean(0), np.cov(near.T, bias=True) * rules.CONSISTENT + floor
-        found = (np.linalg.slogdet(cov)[1], np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean))
+        found = (np.linalg.slogdet(cov)[1], _distances(x, mean, cov), mean, cov)
         best = found if best is None or found[0] < best[0] else best
     return best
 
@@ -314,10 +317,26 @@ def test_outliers_of_small_groups(spark):
     got = {r.doc_id: r for r in rules.outliers(stats).collect()}
     assert len(got) == 160 and all(got[i].kept == (i % 20 != 1) for i in range(160))
     x = np.array([[getattr(got[i], n) for n in rules.NAMES] for i in range(160)])
-    # fr is judged by all documents, en by its language, de by its source.
-    for a, b, pool in ((0, 3, x), (3, 43, x[3:43]), (43, 160, x[43:])):
-        want = _mcd(pool)[1][: b - a]
-        assert np.median(np.abs(np.log1p([got[i].distance for i in range(a, b)]) - np.log1p(want))) < 0.1
+    # Each group lies between its own estimate and its language's, that between its own and that of all.
+    between = lambda n, own, up: tuple((n * n * a + rules.HALF**2 * b) / (n * n + rules.HALF**2) for a, b in zip(own, up, strict=True))
+    whole = _mcd(x)[2:]
+    for a, b in ((0, 3), (3, 43), (43, 160)):
+        tongue = between(b - a, _mcd(x[a:b])[2:], whole)
+        for source in {got[i].source for i in range(a, b)}:
+            of = [i for i in range(a, b) if got[i].source == source]
+            want = _distances(x[of], *between(len(of), _mcd(x[of])[2:], tongue))
+            assert np.median(np.abs(np.log1p([got[i].distance for i in of]) - np.log1p(want))) < 0.15
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 24, 25, 60])
+def test_group_of_any_size_is_judged(spark, n):
+    """Junk goes and clean documents stay in a group of any size, beside a large one of its language."""
+    rnd = random.Random(n)
+    text = lambda junk: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) + "$$$" * junk for _ in range(rnd.randint(30, 300)))
+    rows = [(i, text(False), "en", "large" if i < 100 else "own", 1, "", "", "") for i in range(100 + n - 1)]
+    rows.append((999, text(True), "en", "own", 1, "", "", ""))
+    stats = common.staged(rules.statistics(spark.createDataFrame(rows, SCHEMA)), "t")
+    assert {r.doc_id for r in rules.outliers(stats).collect() if not r.kept} == {999}
 
 
 def test_rules_keep_clean_documents(spark):
