@@ -23,6 +23,8 @@ read.
 from __future__ import annotations
 
 import re
+import struct
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -42,29 +44,45 @@ CACHE = 300_000
 _PLAIN = re.compile(r"[\t\n\r -~¡-ɏ]*\Z")
 
 
+class _Mapped(dict):
+    """Each character as the tokenizer's byte alphabet writes it, by code point."""
+
+    def __init__(self):
+        from tokenizers import pre_tokenizers
+
+        self.alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, code: int) -> str:
+        self[code] = "".join(part for part, _ in self.alphabet.pre_tokenize_str(chr(code)))
+        return self[code]
+
+
+def _plain_pattern(stated: str) -> str:
+    """The tokenizer's pattern for lower-cased plain texts: its classes of letters and numbers as sets of characters."""
+    plain = sorted({x for c in map(chr, range(0x21, 0x250)) if _PLAIN.match(c) for x in c.lower()})  # lower-cased, some lie beyond
+    of = {kind: "".join(re.escape(c) for c in plain if unicodedata.category(c).startswith(kind)) for kind in "LN"}
+    return stated.replace(r"\p{L}", of["L"]).replace(r"\p{N}", of["N"])
+
+
 class Encoder:
     """ids of a tokenizers file as little-endian unsigned 32-bit bytes.
 
     The file's tokenizer lower-cases, drops white space and cuts by a pattern, so a plain text is the row of its pieces,
-    which are remembered. Pieces that are new go to the tokenizer in long rows, with a word between them that no plain
-    piece contains.
+    which are remembered. Pieces that are new go to the tokenizer's model one by one, since no merge crosses a piece.
     """
 
-    GAP = "\N{FACE WITH TEARS OF JOY}"
-
     def __init__(self, path: str):
         import json
 
-        import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             stated = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.mapped = self.tokenizer.model, _Mapped()
         #: Written-out special tokens in a text are those tokens, as the tokenizer reads them by itself.
         self.special = re.compile("|".join(re.escape(t["content"]) for t in stated["added_tokens"]) or r"(?!)", re.IGNORECASE).search
-        self.cut = regex.compile(stated["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        (self.gap,) = self.tokenizer.encode(self.GAP, add_special_tokens=False).ids
+        self.cut = re.compile(_plain_pattern(stated["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])).findall
         self.pieces = common.Remembered(CACHE)
 
     @staticmethod
@@ -75,13 +93,10 @@ class Encoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def _learn(self, wanted: set[str]) -> None:
-        new, known = list(self.pieces.missing(wanted)), self.pieces.of
-        for a in range(0, len(new), 5_000):
-            some = new[a : a + 5_000]
-            raw = self.whole(f" {self.GAP} ".join(some))
-            gaps = 4 * np.flatnonzero(np.frombuffer(raw, "<u4") == self.gap)
-            starts, ends = [0, *(gaps + 4).tolist()], [*gaps.tolist(), len(raw)]
-            known.update((p, raw[i:j]) for p, i, j in zip(some, starts, ends, strict=True))
+        known, tokens, mapped = self.pieces.of, self.model.tokenize, self.mapped
+        for p in self.pieces.missing(wanted):
+            ids = [t.id for t in tokens(p if p.isascii() else p.translate(mapped))]
+            known[p] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [self.cut(t.lower()) if _PLAIN.match(t) and not self.special(t) else None for t in texts]

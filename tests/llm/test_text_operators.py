@@ -1,5 +1,6 @@
 """Packing, BPE, rules, sharding, quality and language against brute force, with the odd cases of every column."""
 
+import functools
 import random
 import re
 import zlib
@@ -41,11 +42,15 @@ def none(spark):
 # --- packing -------------------------------------------------------------------------------------------------------
 
 
-def _ids(text):
+@functools.cache
+def _tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(packing.tokenizer_path())
-    return t.encode(text or "", add_special_tokens=False).ids + [1]
+    return Tokenizer.from_file(packing.tokenizer_path())
+
+
+def _ids(text):
+    return _tokenizer().encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def _check_packing(rows, docs):
@@ -82,6 +87,8 @@ def test_packing_is_tight(spark):
 
 def test_special_tokens_count_as_such():
     texts = ["hello <|endoftext|> world", "<|StartOfText|>", "a<|startoftext|>b c", "<|endoftext", "plain"]
+    plain = [chr(c) for c in range(0x21, 0x250) if packing._PLAIN.match(chr(c))]
+    texts += plain + [a + b for a in plain for b in ("İ", "'s", "Ə7", "\t")]  # some are lower-cased to letters outside
     assert packing.Encoder.of(packing.tokenizer_path()).encode(texts) == [np.array(_ids(t)[:-1], "<u4").tobytes() for t in texts]
     assert _ids(texts[0]) == [3306, 49407, 1002, 1]
 
