@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 import string
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +36,10 @@ HOST_WORDS = tuple("ads adserver adult bets betting bookmaker camgirls casino ca
 PATH_WORDS = (*HOST_WORDS, *"adframe adclick adview adbanner bannerads clicktrack interstitial paidlinks popads sponsoredlinks toplist trackback webbug".split())
 #: Parameters of the query that a url of content doesn't carry.
 QUERY_NAMES = tuple("adclickid adunit adurl affid affiliate affiliateid bannerid clickid clicktag partnerid popunder referralcode subid trackingid zoneid".split())
-#: The index is broadcast up to so many rules and joined by shuffle beyond.
+#: The index is broadcast up to so many rules; beyond, it is joined by shuffle, hot tokens over salted copies of their rules.
 MOST_RULES = 50_000
 _RULE = "kind string, rule string, verdict string, pattern string, tokens array<string>"
+_TYPES = [pa.string()] * 4 + [pa.list_(pa.string())]
 
 
 def host(url: Column) -> Column:
@@ -85,21 +87,46 @@ def default_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rules, _RULE)
 
 
+#: What makes a pattern of a rule's text, by kind.
+KINDS = {"host": host_rule, "word": word_rule, "path": path_rule, "query": query_rule}
+
+
+def compiled(table: DataFrame) -> DataFrame:
+    """Rules from a table (kind, text, verdict) of any size, repeated ones once; made in tasks.
+
+    kind is one of KINDS; host rules block or allow, all others block. Anything else, nulls included, is an error.
+    """
+
+    def make(batches):
+        for batch in batches:
+            made = []
+            for kind, text, verdict in zip(*(batch.column(c).to_pylist() for c in ("kind", "text", "verdict")), strict=True):
+                if kind not in KINDS or not text or verdict not in (("block", "allow") if kind == "host" else ("block",)):
+                    raise ValueError(f"no rule: {kind}, {text}, {verdict}")
+                made.append(KINDS[kind](text, verdict))
+            columns = list(zip(*made, strict=True)) or [()] * 5
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=["kind", "rule", "verdict", "pattern", "tokens"])
+
+    return table.select("kind", "text", "verdict").distinct().mapInArrow(make, _RULE)
+
+
 def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, host, path, rule, verdict) of each row of pages."""
     urls = pages.select(key, host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), query(F.col("url")).alias("_query"))
     urls = urls.withColumn("_at", F.concat("host", "path", "_query")).withColumn("_tokens", F.array_distinct(F.regexp_extract_all(F.lower("_at"), F.lit("[a-z0-9]+"), F.lit(0))))
     few = rules.count() <= MOST_RULES
     wanted = rules.select(F.explode("tokens").alias("_token")).distinct()
-    # Only the rules' own tokens are counted, in each task first.
-    seen = urls.select(F.explode("_tokens").alias("_token")).join(F.broadcast(wanted) if few else wanted, "_token", "left_semi").groupBy("_token").count()
-    filed = rules.select("kind", "rule", "verdict", "pattern", F.explode_outer("tokens").alias("_token")).join(seen, "_token", "left")
-    filed = filed.groupBy("kind", "rule", "verdict", "pattern").agg(F.min(F.struct(F.coalesce("count", F.lit(0)), "_token"))["_token"].alias("_token"))
-    filed = filed.withColumn("_token", F.coalesce("_token", F.lit("")))
     # The empty token stands for the rules that have none.
     spread = urls.withColumn("_row", F.monotonically_increasing_id()).select("_row", key, "host", "path", "_at", F.explode(F.concat("_tokens", F.array(F.lit("")))).alias("_token"))
-    side = F.broadcast(filed) if few else filed
-    tried = spread.join(side, "_token", "left").withColumn("_hit", F.coalesce(F.regexp_like("_at", F.col("pattern")), F.lit(False)))
+    if few:  # only the rules' own tokens are counted, in each task first
+        counts = urls.select(F.explode("_tokens").alias("_token")).join(F.broadcast(wanted), "_token", "left_semi").groupBy("_token").agg(F.count("*").alias("n"))
+    else:  # all are, since a token that no rule has may still be the hot one of the join
+        counts = common.staged(spread.groupBy("_token").agg(F.count("*").alias("n")), "url-tokens")
+    filed = rules.select("kind", "rule", "verdict", "pattern", F.explode_outer("tokens").alias("_token")).join(counts, "_token", "left")
+    filed = filed.groupBy("kind", "rule", "verdict", "pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "_token"))["_token"].alias("_token"))
+    filed = filed.withColumn("_token", F.coalesce("_token", F.lit("")))
+    tried = spread.join(F.broadcast(filed), "_token", "left") if few else common.salted_join(spread, filed, ["_token"], counts, ["_row"], "left")
+    tried = tried.withColumn("_hit", F.coalesce(F.regexp_like("_at", F.col("pattern")), F.lit(False)))
     best = F.max(F.when(F.col("_hit") & (F.col("kind") == "host"), F.struct(F.length("rule").alias("n"), "rule", "verdict")))
     word = F.max(F.when(F.col("_hit") & (F.col("kind") == "word"), F.lit(1)))
     judged = tried.groupBy("_row").agg(F.first(key).alias(key), F.first("host").alias("host"), F.first("path").alias("path"), best.alias("_best"), word.alias("_word"))

@@ -353,3 +353,35 @@ def test_pipeline(spark):
 
 def test_every_operator_is_registered():
     assert [n.split("_")[0] for n in registry.QUERIES if n != "pipeline"] == [f"op{k}" for k in range(1, 11)] and "pipeline" in registry.QUERIES
+
+
+def test_thousands_of_url_rules_from_a_table(spark, monkeypatch):
+    draw = random.Random(8)
+    hosts = [f"h{i}.{draw.choice(('com', 'org', 'net'))}" for i in range(700)]
+    table = [("host", f"{h}/{draw.choice(('', 'a/', 'b/'))}", draw.choice(("block", "allow"))) for h in hosts]
+    table += [("word", f"w{i}", "block") for i in range(800)] + [("path", f"p{i}", "block") for i in range(800)] + [("query", f"q{i}", "block") for i in range(800)]
+    rules = urls.compiled(spark.createDataFrame(table + table[:50], "kind string, text string, verdict string"))
+    made = rules.collect()
+    assert len(made) == len(table)
+    rows = [(None, None), (1, ""), (1, "no scheme"), *((i, "http://www.hot.com/") for i in range(3000))]
+    for i in range(1500):
+        host = draw.choice((f"www.{draw.choice(hosts)}", f"w{draw.randrange(1600)}.hot.com"))
+        rows.append((i, f"http://{host}/{draw.choice(('a', 'b', f'P{draw.randrange(1600)}.html'))}/x?q{draw.randrange(1600)}=1#p1"))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    tests = [(r.kind, r.rule, r.verdict, re.compile(r.pattern)) for r in made]
+    want = []
+    for i, url in rows:
+        rest = (url or "").partition("://")[2].partition("#")[0]
+        host = re.match("[^/?]*", rest)[0]
+        at = host.lower() + rest[len(host) :]
+        hits = [(len(rule), rule, verdict) for kind, rule, verdict, p in tests if kind == "host" and p.search(at)] if at else []
+        bad = bool(at) and any(p.search(at) for kind, _, _, p in tests if kind != "host")
+        want.append((i, max(hits)[1] if hits else None, max(hits)[2] if hits else "block" if bad else "allow"))
+    assert {v for *_, v in want} == {"allow", "block"} and sum(r is not None for _, r, _ in want) > 100
+    for most in (urls.MOST_RULES, 10):  # broadcast, and joined by salted tokens
+        monkeypatch.setattr(urls, "MOST_RULES", most)
+        assert Counter((r.page_id, r.rule, r.verdict) for r in urls.judge(pages, rules).collect()) == Counter(want)
+    assert urls.compiled(spark.createDataFrame([], "kind string, text string, verdict string")).count() == 0
+    for row in (("host", None, "block"), ("word", "x", "allow"), ("else", "x", "block")):
+        with pytest.raises(Exception, match="no rule"):
+            urls.compiled(spark.createDataFrame([row], "kind string, text string, verdict string")).collect()
