@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve, in DataFrame functions only.
 
 Three metadata dimensions (source, language, size) are quantised to 16 levels
-each. The curve index of the three levels (a table of 4096 entries made from the
+each, source and language by the exact 16-quantiles of all their distinct values. The curve index of the three levels (a table of 4096 entries made from the
 curve's rule) orders the documents, so that a run of the order covers a small
 box in all three dimensions and file statistics prune on any of them. Runs of
 equal row counts become the shards (law `rows`: counts at most one apart).
@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from memloom.llm import common
+from memloom.sources import shared
 
 SHARDS = 40
 BITS = 4
-#: At most so many distinct values of a dimension, drawn by hash, set its cut points.
-CUT_SAMPLE = 4096
+#: Ranges that a dimension's distinct values are dealt to, to find its cut points.
+RANGES = 64
 #: Leading checksum bits, least salts, and rows for which one more salt is added.
 SUM_BITS, LEAST_SALTS, ROWS_PER_SALT = 6, 8, 4_000_000
 
@@ -60,16 +61,32 @@ def curve_index(x: list[int], bits: int) -> int:
     return index
 
 
-def _levels(df: DataFrame, name: str) -> Column:
-    """The level (0..15) of a text column: how many of 15 cut points, taken from distinct values, are at most the value."""
-    drawn = df.select(name).where(F.col(name).isNotNull()).distinct().orderBy(F.xxhash64(name), name).limit(CUT_SAMPLE)
-    values = sorted(r[0] for r in drawn.collect())
+def _cuts(df: DataFrame, name: str) -> list[str]:
+    """The values at 1/16 to 15/16 of all distinct values of a column in their order.
+
+    Values are dealt to ranges in order (where these end has no effect); their counts tell in which range a place lies, and
+    only in those ranges values are numbered, each by itself.
+    """
     most = (1 << BITS) - 1
-    cuts = sorted({values[(k + 1) * len(values) // (most + 1)] for k in range(most)} - {values[0]}) if values else []
-    if not cuts:
-        return F.lit(0)
+    values = df.select(F.col(name).alias("value")).where("value is not null").distinct()
+    ranges = shared.settled(values.repartitionByRange(RANGES, "value").select("value", F.spark_partition_id().alias("part")), "values")
+    counts = sorted(map(tuple, ranges.groupBy("part").agg(F.count("*")).collect()))  # RANGES rows
+    total, before, places = sum(n for _, n in counts), 0, []
+    for part, n in counts:
+        places += [(part, at - before + 1) for at in sorted({0} | {(k + 1) * total // (most + 1) for k in range(most)}) if before <= at < before + n]
+        before += n
+    if not places:
+        return []
+    numbered = ranges.where(F.col("part").isin([p for p, _ in places])).withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("value")))
+    wanted = df.sparkSession.createDataFrame(places, "part int, at int")
+    found = sorted(r[0] for r in numbered.join(F.broadcast(wanted), ["part", "at"]).select("value").collect())  # 16 at most
+    return found[1:]  # the least value is no cut
+
+
+def _levels(df: DataFrame, name: str) -> Column:
+    """The level (0..15) of a text column: how many of 15 cut points, taken from all distinct values, are at most the value."""
     level = F.lit(0)
-    for k, cut in enumerate(cuts):
+    for k, cut in enumerate(_cuts(df, name)):
         level = F.when(F.col(name) >= F.lit(cut), F.lit(k + 1)).otherwise(level)
     return F.coalesce(level, F.lit(0))
 
