@@ -41,3 +41,13 @@ def test_recall_over_an_index_equals_recall_without(spark, sf_dir, tmp_path):
     recall.index_facts(facts, str(tmp_path / "facts"))
     rows = lambda df: sorted(map(tuple, df.select("session_key", "uuid", "score", "rank").collect()))
     assert rows(recall.memory_search(messages, facts, index=str(tmp_path / "facts"))) == rows(recall.memory_search(messages, facts)) != []
+
+
+def test_build_reads_the_texts_once_and_shuffles_documents(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b b"), (1, "b a a"), (2, "b"), (3, None)], "doc_id long, text string")
+    kept, settled = [], textindex.shared.settled
+    monkeypatch.setattr(textindex.shared, "settled", lambda df, name: kept.append(name) or settled(df, name))
+    textindex.build(docs, str(tmp_path / "index"))
+    assert kept == ["words"]
+    found = spark.read.parquet(str(tmp_path / "index" / "postings")).selectExpr("term", "inline(docs)")
+    assert sorted((r.term, r.doc_id) for r in found.collect()) == [("a", 1), ("b", 1), ("b", 2)]  # texts of one id and length count as one
