@@ -7,6 +7,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+
 from memloom.operators import blocked, search
 
 
@@ -68,3 +70,9 @@ def test_text_search_shuffles_no_pairs(spark):
     docs, queries = spark.createDataFrame([(1, "a b"), (2, "b")], "doc_id long, text string"), spark.createDataFrame([(1, "a b")], "query_id int, query string")
     plan = _plan(search.bm25(docs, queries))
     assert "hashpartitioning(query_id" in plan and not re.search(r"hashpartitioning\(query_id#\d+L?, doc_id", plan)
+
+
+def test_cell_of_common_terms_only():
+    post = pa.table({"doc_id": [1, 2, 2], "term": ["a", "a", "b"], "part": [1.0, 2.0, 1.0]})
+    found = blocked.bm25(post, pa.table({"query_id": [7, 7, 8], "term": ["a", "b", "x"], "idf": [0.5, 1.0, 2.0]}), 5, 6)
+    assert found.to_pylist() == [{"query_id": 7, "doc_id": 2, "score": 2.0}, {"query_id": 7, "doc_id": 1, "score": 0.5}]
