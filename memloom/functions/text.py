@@ -96,14 +96,14 @@ def without_blocks(text: Column, block: Block) -> Column:
 
 
 def without_noise(text: Column) -> Column:
-    """Text without marked lines, dates in front of lines and null characters, with at most one blank line in a row."""
+    """Text without marked lines, dates in front of lines and null characters, with at most one blank line in a row. Only a text with a step's mark is searched."""
     steps = [
-        (rf"{_LINE_START}\[Subagent Context\]{_IN_LINE}*", ""),
-        (rf"{_LINE_START}\[(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun){_SPACE}+\d{{4}}-\d{{2}}-\d{{2}}{_SPACE}+\d{{2}}:\d{{2}}{_SPACE}+[A-Za-z]{{2,5}}\][ \t]*", ""),
-        (r"\x00", ""),
-        (r"\n{3,}", "\n\n"),
+        ("[Subagent Context]", rf"{_LINE_START}\[Subagent Context\]{_IN_LINE}*", ""),
+        ("[", rf"{_LINE_START}\[(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun){_SPACE}+\d{{4}}-\d{{2}}-\d{{2}}{_SPACE}+\d{{2}}:\d{{2}}{_SPACE}+[A-Za-z]{{2,5}}\][ \t]*", ""),
+        ("\0", r"\x00", ""),
+        ("\n\n\n", r"\n{3,}", "\n\n"),
     ]
-    return reduce(lambda t, s: F.regexp_replace(t, s[0], s[1]), steps, text)
+    return reduce(lambda text, s: let(text, lambda t: F.when(t.contains(s[0]), F.regexp_replace(t, s[1], s[2])).otherwise(t)), steps, text)
 
 
 def sanitize(text: Column, config: Config = DEFAULT) -> Column:

@@ -38,8 +38,8 @@ RUN = 1000
 KEY = ["session_key", "run"]
 #: Characters of the longest token, white space and quotes aside.
 TOKEN = 48
+LINE_ENDS = ("\n", "\r", "\u2028", "\u2029")
 
-_SKIP = f'["{T.SPACES}]'
 
 
 def _in_order() -> WindowSpec:
@@ -55,27 +55,34 @@ def _whole() -> WindowSpec:
 
 
 def _open_end(text: Column) -> Column:
-    """Whether a token may begin before a piece's end and go on behind it: one of `<`, backtick, quote or bracket with less than a token behind it, or a piece that could lie within one."""
-    begun = text.rlike(rf"[<`\[\"](?:{_SKIP}*+[^{_SKIP[1:-1]}`<\[]){{0,{TOKEN}}}{_SKIP}*+\z")
-    return begun | (F.length(F.regexp_replace(text, f"{_SKIP}+", "")) < TOKEN)
+    """Whether a token may begin before a piece's end and go on behind it: one of `<`, backtick, quote or bracket with less than a token behind it, or a piece that could lie within one.
+
+    White space doesn't count, nor do quotes, of which a run is one. What begins before more than a token is no matter, so the
+    last characters mostly tell.
+    """
+    squeezed = lambda t: F.regexp_replace(F.regexp_replace(t, f"[{T.SPACES}]+", ""), '"+', '"')
+    solid = lambda t: F.length(F.replace(t, F.lit('"'), F.lit("")))
+    begun = lambda t: t.rlike(rf'[<`\["](?:"?[^"`<\[]){{0,{TOKEN}}}"?\z')
+    every = lambda: T.let(squeezed(text), lambda t: begun(t) | (solid(t) < TOKEN))
+    return T.let(squeezed(F.right(text, F.lit(2 * TOKEN))), lambda t: F.when(solid(t) > TOKEN, begun(t)).otherwise(every()))
 
 
-def _mid_line(text: Column) -> Column:
-    return ~text.rlike(r"[\n\r  ]\z") | _open_end(text)
+def _kept(rows: DataFrame, name: str) -> DataFrame:
+    """rows (session_key, run, text) written to the shared folder without empty ones, with what is known of their ends: `_open`, and `_mid` if it is so or lies within a line."""
+    rows = rows.where("text != ''").withColumn("_open", _open_end(F.col("text")))
+    return shared.settled(rows.select(*KEY, "text", "_open", (F.col("_open") | ~F.right("text", F.lit(1)).isin(*LINE_ENDS)).alias("_mid")), name)
 
 
-def _merged(pieces: DataFrame, unsafe) -> DataFrame:
-    """Pieces with those put together that a token may straddle; empty ones go."""
-    pieces = pieces.where("text != ''")
-    flags = pieces.select(*KEY, unsafe(F.col("text")).alias("_unsafe"))
-    flags = flags.withColumn("_glued", F.coalesce(F.lag("_unsafe").over(_in_order()), F.lit(False)))
+def _merged(pieces: DataFrame, unsafe: str) -> DataFrame:
+    """Pieces with those put together that a token may straddle."""
+    flags = pieces.select(*KEY, F.coalesce(F.lag(unsafe).over(_in_order()), F.lit(False)).alias("_glued"))
     if flags.where("_glued").isEmpty():
         return pieces
     first = F.max(F.when(~F.col("_glued"), F.col("run"))).over(_upto(0))
     rows = pieces.join(flags.select(*KEY, first.alias("_first")), KEY)
     parts = F.array_sort(F.collect_list(F.struct("run", "text")))
     rows = rows.groupBy("session_key", F.col("_first").alias("run")).agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"))
-    return shared.settled(rows, "merged")
+    return _kept(rows, "merged")
 
 
 def _passed(piece: DataFrame, block: T.Block, inside: bool, n: int) -> DataFrame:
@@ -112,7 +119,7 @@ def _unblocked(pieces: DataFrame, block: T.Block) -> DataFrame:
     """Pieces without a kind of block."""
     if pieces.where(F.col("text").contains(block.closer)).isEmpty():
         return pieces
-    pieces = _merged(pieces, _open_end)
+    pieces = _merged(pieces, "_open")
     marks = {"_later": block.closer, **{f"_later{k}": need for k, need in enumerate(block.needs)}}
     facts = pieces.select(*KEY, *[F.when(F.col("text").contains(part), F.col("run")).alias(name) for name, part in marks.items()])
     facts = facts.select(*KEY, *[F.coalesce(F.max(name).over(_whole()) > F.col("run"), F.lit(False)).alias(name) for name in marks])
@@ -126,7 +133,7 @@ def _unblocked(pieces: DataFrame, block: T.Block) -> DataFrame:
     odd = (F.col("_since") - F.coalesce("_base._swaps", F.lit(0))) % 2 == 1
     state = state.select(*KEY, (F.coalesce("_base.exit0", F.lit(False)) != odd).alias("_inside"))
     rows = both.join(state, KEY).select(*KEY, F.when(F.col("_inside"), F.col("out1")).otherwise(F.col("out0")).alias("text"))
-    return shared.settled(rows, "unblocked")
+    return _kept(rows, "unblocked")
 
 
 def _gathered(pieces: DataFrame, cap: int, tails: DataFrame | None) -> DataFrame:
@@ -160,19 +167,22 @@ def sanitized(texts: DataFrame, cap: int, config: Config = DEFAULT, tails: DataF
     """
     texts = texts.where("session_key is not null")
     runs = M.joined(texts.withColumn("session_key", F.struct("session_key", F.floor(F.col("idx") / step).alias("run")))).select("session_key.*", "text")
-    spread = texts.groupBy("session_key").agg(F.min(F.floor(F.col("idx") / step)).alias("lo"), F.max(F.floor(F.col("idx") / step)).alias("hi"))
-    long = spread.where("lo < hi").select("session_key")
+    runs = shared.settled(runs, "runs")  # so that the texts are worked out once
+    several = F.min("run") < F.max("run")
+    long = shared.settled(runs.groupBy("session_key").agg(several.alias("_several")).where("_several").select("session_key"), "long")
+    none = long.isEmpty()
+    short = runs if none else runs.join(long, "session_key", "left_anti")  # before they are sanitized
     clean = T.sanitize(F.col("text"), config)
     if tails is None:
-        short = runs.select("session_key", F.left(clean, F.lit(cap)).alias("text"), "run")
+        short = short.select("session_key", F.left(clean, F.lit(cap)).alias("text"))
     else:
-        rows = runs.join(tails.select("session_key", F.lit(True).alias("_tail")), "session_key", "left").withColumn("text", clean)
-        short = rows.select("session_key", F.when(F.col("_tail"), F.right("text", F.lit(cap))).otherwise(F.left("text", F.lit(cap))).alias("text"), "run")
-    if long.isEmpty():
-        return short.drop("run")
+        rows = short.join(tails.select("session_key", F.lit(True).alias("_tail")), "session_key", "left").withColumn("text", clean)
+        short = rows.select("session_key", F.when(F.col("_tail"), F.right("text", F.lit(cap))).otherwise(F.left("text", F.lit(cap))).alias("text"))
+    if none:
+        return short
     pieces = runs.join(long, "session_key", "left_semi").withColumn("text", F.concat("text", F.lit("\n\n")))  # behind the last text the trim takes it away
-    pieces = reduce(_unblocked, T.blocks(config), shared.settled(pieces.select(*KEY, "text"), "pieces"))
-    pieces = _merged(pieces, _mid_line).withColumn("text", T.without_noise(F.col("text")))
+    pieces = reduce(_unblocked, T.blocks(config), _kept(pieces, "pieces"))
+    pieces = _merged(pieces, "_mid").select(*KEY, T.without_noise(F.col("text")).alias("text"))
     found = _gathered(shared.settled(pieces, "pieces"), cap, tails)
     found = long.join(found, "session_key", "left").select("session_key", F.coalesce("text", F.lit("")).alias("text"))
-    return short.join(long, "session_key", "left_anti").drop("run").unionByName(found)
+    return short.unionByName(found)

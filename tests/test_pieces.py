@@ -86,3 +86,28 @@ def test_blank_pieces_at_the_ends_and_only_blank_ones(spark):
     given = spark.createDataFrame(rows, "session_key string, idx long, block int, text string")
     got = {r.session_key: r.text for r in pieces.sanitized(given, 10**6, step=1).collect()}
     assert got == {"a": plain("\n\n".join(t for s, _, _, t in rows if s == "a")), "b": ""}
+
+
+def test_end_of_a_piece_is_judged_in_linear_time(spark):
+    texts = ['"' * 150_000 + "x" * 100, '"' * 150_000 + "x" * 60 + " " * 200, "<" + ' "' * 300 + "x" * 48, "<" + "x" * 49, "<" + "x" * 48, "x" * 48 + " " * 200, "x" * 47 + " " * 200]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", pieces._open_end(F.col("t")).alias("o"))
+    began = time.perf_counter()
+    assert [r.o for r in sorted(rows.collect())] == [False, False, True, False, True, False, True]
+    assert time.perf_counter() - began < 3  # each quote looked at all behind it
+
+
+def test_texts_are_worked_out_once(spark, monkeypatch):
+    seen, kept, settled = spark.sparkContext.accumulator(0), [], pieces.shared.settled
+    monkeypatch.setattr(pieces.shared, "settled", lambda df, name: kept.append(name) or settled(df, name))
+    rows = [("a", i, "user" if i % 2 else "assistant", f"message {i} that is long enough") for i in range(12)] + [("b", 0, "user", "a session of one message only")]
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    given = spark.createDataFrame(rows, "session_key string, idx long, role string, content string").mapInArrow(counted, "session_key string, idx long, role string, content string")
+    texts = capture.M.extract_texts(given)
+    out = pieces.sanitized(texts, 10**6, step=2).collect()
+    assert {r.session_key for r in out} == {"a", "b"} and kept[:2] == ["runs", "long"]
+    assert seen.value == len(rows)
