@@ -17,6 +17,7 @@ from memloom.functions import provenance
 from memloom.functions import text as T
 from memloom.operators import messages as M
 from memloom.operators import pieces
+from memloom.sources import shared
 
 COLUMNS = ("session_key", "content", "role_type", "role", "name", "timestamp", "source_description")
 
@@ -58,7 +59,7 @@ def after_turn(messages: DataFrame, counts: DataFrame, now: str, now_ms: int, co
     if not config.auto_capture:
         messages = messages.limit(0)
     new = M.new_of_turn(_awake(messages), counts)
-    sweeps = new.groupBy("session_key").agg(F.bool_or("sweep").alias("sweep"))
+    sweeps = shared.settled(new.groupBy("session_key").agg(F.bool_or("sweep").alias("sweep")), "sweeps")
     texts = M.extract_texts(new, config.message_cap, config.min_text)
     rows = pieces.sanitized(texts, config.episode_cap, config, sweeps.where("sweep"), step).where("text != ''").join(sweeps, "session_key")
     event = F.when(F.col("sweep"), "after_turn_sweep").otherwise("after_turn")

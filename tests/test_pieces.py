@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions import text as T
 from memloom.operators import capture, pieces
+from tests.test_blocked import _plan
 
 WS = "[" + re.escape(T.SPACES) + "]"
 TOKENS = [
@@ -111,3 +112,10 @@ def test_texts_are_worked_out_once(spark, monkeypatch):
     out = pieces.sanitized(texts, 10**6, step=2).collect()
     assert {r.session_key for r in out} == {"a", "b"} and kept[:2] == ["runs", "long"]
     assert seen.value == len(rows)
+
+
+def test_episodes_of_turns_do_not_read_the_messages_again(spark):
+    given = spark.createDataFrame([("a", i, "user", f"message {i} that is long enough") for i in range(12)], "session_key string, idx long, role string, content string")
+    out = capture.after_turn(given, spark.createDataFrame([("a", 50)], "session_key string, before int"), "now", 1, step=3)
+    assert not re.search("ExistingRDD|LocalTableScan", _plan(out))
+    assert out.first().content.endswith("message 11 that is long enough")
