@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from memloom.operators import blocked, search
 
@@ -76,3 +77,23 @@ def test_cell_of_common_terms_only():
     post = pa.table({"doc_id": [1, 2, 2], "term": ["a", "a", "b"], "part": [1.0, 2.0, 1.0]})
     found = blocked.bm25(post, pa.table({"query_id": [7, 7, 8], "term": ["a", "b", "x"], "idf": [0.5, 1.0, 2.0]}), 5, 6)
     assert found.to_pylist() == [{"query_id": 7, "doc_id": 2, "score": 2.0}, {"query_id": 7, "doc_id": 1, "score": 0.5}]
+
+
+def test_text_search_reads_each_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    texts = [(1, "a b"), (1, "b c"), (2, None), (3, "?"), (4, "b"), (5, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").select("doc_id", F.udf(seen, "string")("text").alias("text"))
+    found = search.bm25(docs, spark.createDataFrame([(1, "a b")], "query_id int, query string"))
+    _same(sorted(map(tuple, found.collect())), _bm25(texts, [(1, "a b")], 10))
+    assert read.value == len(texts)
+
+
+def test_text_search_without_texts(spark):
+    queries = spark.createDataFrame([(1, "a b")], "query_id int, query string")
+    for texts in [], [(1, None), (2, "?")]:
+        assert search.bm25(spark.createDataFrame(texts, "doc_id long, text string"), queries).collect() == []
